@@ -91,8 +91,8 @@ def _sectors() -> str:
 
 _P3_REGIONS = f"""
 WITH e(sector, x1, y1, x2, y2) AS (VALUES {_sectors()}),
-s AS (SELECT station_id, min({{'lat': lat, 'lon': lon}}) AS at FROM stations WHERE isfinite(lat) AND isfinite(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY 1),
-edge AS (SELECT station_id, sector, CASE WHEN (y1 > at.lat) <> (y2 > at.lat) AND at.lon < (x2 - x1) * (at.lat - y1) / (CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END) + x1 THEN 1 ELSE 0 END AS crossed FROM s CROSS JOIN e),
+s AS (SELECT station_id, min({{'lat': lat, 'lon': lon}}) AS pos FROM stations WHERE isfinite(lat) AND isfinite(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY 1),
+edge AS (SELECT station_id, sector, CASE WHEN (y1 > pos.lat) <> (y2 > pos.lat) AND pos.lon < (x2 - x1) * (pos.lat - y1) / (CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END) + x1 THEN 1 ELSE 0 END AS crossed FROM s CROSS JOIN e),
 hit AS (SELECT station_id, sector FROM (SELECT station_id, sector, sum(crossed) AS n FROM edge GROUP BY station_id, sector) WHERE n % 2 = 1)
 SELECT station_id, min(sector) AS sector FROM hit GROUP BY station_id"""
 
