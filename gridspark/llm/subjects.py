@@ -37,6 +37,8 @@ MIN_DOCS = 3
 STUB_WORDS = 60
 BEAM = 8
 TERM_SHARE = 0.35
+#: a word is ordinary if this share of the labelled documents has it; a page with fewer than NONSENSE of them is nonsense
+ORDINARY, NONSENSE = 0.01, 0.3
 
 _TABLE = re.compile(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", re.M | re.S)
 _HEADING = re.compile(r"^[ \t]*=+[^\n]*=+[ \t]*$", re.M)
@@ -63,8 +65,8 @@ def page_kind(text: str) -> str:
 
 # --- terms ----------------------------------------------------------------------------------------------------
 
-def learn_terms(texts: list[str], labels: list[set[int]], k: int, rounds: int = 8) -> dict[str, np.ndarray]:
-    """Word -> log weight for each of ``k`` subjects, for words that speak for one."""
+def learn_terms(texts: list[str], labels: list[set[int]], k: int, rounds: int = 8) -> tuple[dict[str, np.ndarray], frozenset[str]]:
+    """(word -> log weight for each of ``k`` subjects, for words that speak for one; words of ordinary language)."""
     sentences, allowed, docs_with, labelled_with = [], [], Counter(), Counter()
     for text, own in zip(texts, labels):
         seen: set[str] = set()
@@ -78,10 +80,11 @@ def learn_terms(texts: list[str], labels: list[set[int]], k: int, rounds: int =
         docs_with.update(seen)
         labelled_with.update((w, s) for w in seen for s in own)
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in docs_with.items() if n >= MIN_DOCS))}
+    ordinary = frozenset(w for w, n in docs_with.items() if n >= max(MIN_DOCS, ORDINARY * len(texts)))
     ids = [np.array([vocab[w] for w in s if w in vocab]) for s in sentences]
     use = [i for i, x in enumerate(ids) if len(x)]
     if not use:
-        return {}
+        return {}, ordinary
     size = np.array([len(ids[i]) for i in use])
     tok, at, first = np.concatenate([ids[i] for i in use]), np.repeat(np.arange(len(use)), size), np.append(0, np.cumsum(size)[:-1])
     may = np.zeros((k, len(use)), bool)
@@ -114,7 +117,7 @@ def learn_terms(texts: list[str], labels: list[set[int]], k: int, rounds: int =
     w = np.log(TERM_SHARE * p + (1 - TERM_SHARE) * b) - np.log(b)
     w = np.where(pure, w, np.minimum(w, 0.0))
     keep = w.max(0) > 1.0
-    return {t: w[:, i] for t, i in vocab.items() if keep[i]}
+    return {t: w[:, i] for t, i in vocab.items() if keep[i]}, ordinary
 
 
 # --- features -------------------------------------------------------------------------------------------------
@@ -128,6 +131,7 @@ PAGE = ("short", "long", "table_page")
 class TermModel:
     subjects: list[str]
     terms: dict[str, np.ndarray]
+    ordinary: frozenset[str] = frozenset()
     top: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -140,16 +144,20 @@ class TermModel:
             return x
         paragraphs, tables = page_units(text)
         terms, top = self.terms, self.top
-        units, total, n_words = [], np.zeros(k), 0
+        units, total, n_words, n_all, n_ordinary = [], np.zeros(k), 0, 0, 0
         for is_table, group in ((False, paragraphs), (True, tables)):
             for u in group:
                 w = words(u).split()
                 n_words += 0 if is_table else len(w)
+                n_all += len(w)
+                n_ordinary += sum([t in self.ordinary for t in w])
                 hits = [t for t in w if t in top]
                 if hits:
                     n = np.bincount([top[t] for t in hits], minlength=k)
                     total += n
                     units.append((is_table, n, np.sum([terms[t] for t in hits], 0)))
+        if n_ordinary < NONSENSE * n_all:
+            return x
         par, tab = np.zeros(k), np.zeros(k)
         lean, best = np.log((total + 1) / (total.sum() + k)), int(total.argmax())
         for is_table, n, score in units:
@@ -249,7 +257,7 @@ class SubjectModel:
 
 
 def train(texts: list[str], sources: list[str | None], labels: list[set[int]], subjects: list[str]) -> SubjectModel:
-    terms = TermModel(subjects, learn_terms(texts, labels, len(subjects)))
+    terms = TermModel(subjects, *learn_terms(texts, labels, len(subjects)))
     known = {s: i for i, s in enumerate(sorted({s for s in sources if s is not None})[:64])}
     y = np.zeros((len(texts), len(subjects)))
     for i, own in enumerate(labels):
