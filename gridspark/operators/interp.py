@@ -104,15 +104,15 @@ def barnes(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float
     w, w2 = _weights(F.col("d2"), k), _weights(F.col("d2"), gamma * k)
     near = at_nodes.join(o, "station_id")
     if passes == 1:
-        g = near.groupBy("date", "iy", "ix").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"), F.count("*").alias("n"))
+        g = near.groupBy("date", "iy", "ix").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("value"), F.count("*").alias("n"))
         return g.filter(F.col("n") >= min_neighbours).drop("n")
     s = stations.select("station_id", "x", "y")
     pairs = radius_join(s.withColumnRenamed("station_id", "s1"), s, radius).select("s1", "station_id", "d2")
-    guess = pairs.join(o, "station_id").groupBy("date", "s1").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("guess")).withColumnRenamed("s1", "station_id")
+    guess = pairs.join(o, "station_id").groupBy("date", "s1").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("guess")).withColumnRenamed("s1", "station_id")
     r = o.join(guess, ["date", "station_id"], "left").withColumn("r", F.coalesce(F.col("v") - F.col("guess"), F.lit(0.0)))
     # one join and one aggregate give both passes
     g = at_nodes.join(r, "station_id").groupBy("date", "iy", "ix").agg(
-        (F.sum(w * F.col("v")) / F.sum(w)).alias("first"), (F.sum(w2 * F.col("r")) / F.nullif(F.sum(w2), F.lit(0.0))).alias("second"), F.count("*").alias("n"))
+        (F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("first"), (F.sum(w2 * F.col("r")) / F.nullif(F.sum(w2), F.lit(0.0))).alias("second"), F.count("*").alias("n"))
     return g.filter(F.col("n") >= min_neighbours).select("date", "iy", "ix", (F.col("first") + F.coalesce("second", F.lit(0.0))).alias("value"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gridspark.plans import core_found, core_sql
+from gridspark.plans import core_found, core_sql, reference
 
 
 def queries() -> dict:
-    return {**core_found.QUERIES}
+    return {**core_found.QUERIES, **reference.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core_sql.SQL}
+    return {**core_sql.SQL, **reference.SQL}
