@@ -93,6 +93,13 @@ def neighbours(nodes: DataFrame, stations: DataFrame, radius: float) -> DataFram
     return radius_join(nodes.select("iy", "ix", "x", "y"), stations.select("station_id", "x", "y"), radius).select("iy", "ix", "station_id", "d2")
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    """Narrow observations spread by day: a node's sums for a day then stay where the join makes them, so the wide
+    result of the join (observations times neighbours) is never shuffled. The number of partitions is explicit, as the
+    observations are too small for their own size to ask for the parallelism that the join needs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "date")
+
+
 def barnes(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float = BARNES_RADIUS_KM, k: float = BARNES_KAPPA, gamma: float = GAMMA, min_neighbours: int = MIN_NEIGHBOURS, passes: int = 2) -> DataFrame:
     """``date, iy, ix, value`` of observations (``date, station_id, value``): Gaussian means of the stations within the
     radius, corrected in a second pass by the sharper-weighted residuals at the stations.
@@ -100,18 +107,19 @@ def barnes(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float
     A node needs ``min_neighbours`` valid stations that day; stations need none for their first guess.
     """
     o = obs.filter(finite(F.col("value"))).select("date", "station_id", F.col("value").cast("double").alias("v"))
+    # distances only between what is ever observed and what is asked for
+    stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi")
     at_nodes = neighbours(nodes, stations, radius)
     w, w2 = _weights(F.col("d2"), k), _weights(F.col("d2"), gamma * k)
-    near = at_nodes.join(o, "station_id")
     if passes == 1:
-        g = near.groupBy("date", "iy", "ix").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("value"), F.count("*").alias("n"))
+        g = _by_day(o).join(at_nodes, "station_id").groupBy("date", "iy", "ix").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("value"), F.count("*").alias("n"))
         return g.filter(F.col("n") >= min_neighbours).drop("n")
     s = stations.select("station_id", "x", "y")
     pairs = radius_join(s.withColumnRenamed("station_id", "s1"), s, radius).select("s1", "station_id", "d2")
-    guess = pairs.join(o, "station_id").groupBy("date", "s1").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("guess")).withColumnRenamed("s1", "station_id")
+    guess = _by_day(o).join(pairs, "station_id").groupBy("date", "s1").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("guess")).withColumnRenamed("s1", "station_id")
     r = o.join(guess, ["date", "station_id"], "left").withColumn("r", F.coalesce(F.col("v") - F.col("guess"), F.lit(0.0)))
     # one join and one aggregate give both passes
-    g = at_nodes.join(r, "station_id").groupBy("date", "iy", "ix").agg(
+    g = _by_day(r).join(at_nodes, "station_id").groupBy("date", "iy", "ix").agg(
         (F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("first"), (F.sum(w2 * F.col("r")) / F.nullif(F.sum(w2), F.lit(0.0))).alias("second"), F.count("*").alias("n"))
     return g.filter(F.col("n") >= min_neighbours).select("date", "iy", "ix", (F.col("first") + F.coalesce("second", F.lit(0.0))).alias("value"))
 
@@ -120,7 +128,8 @@ def idw_log(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float
     """``date, iy, ix, value``: inverse-square-distance mean of log1p; a node on a station takes its value (that of the
     smallest station id), results below ``drizzle`` are 0. Negative and missing values don't count."""
     o = obs.filter(finite(F.col("value")) & (F.col("value") >= 0)).select("date", "station_id", F.log1p(F.col("value").cast("double")).alias("lv"))
-    g = neighbours(nodes, stations, radius).join(o, "station_id").groupBy("date", "iy", "ix").agg(
+    stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi")
+    g = _by_day(o).join(neighbours(nodes, stations, radius), "station_id").groupBy("date", "iy", "ix").agg(
         F.min_by(F.when(F.col("d2") == 0, F.col("lv")), F.when(F.col("d2") == 0, F.col("station_id"))).alias("hit"),
         F.sum(F.col("lv") / F.nullif("d2", F.lit(0.0))).alias("num"), F.sum(1 / F.nullif("d2", F.lit(0.0))).alias("den"), F.count("*").alias("n"))
     v = F.expm1(F.coalesce("hit", F.col("num") / F.nullif("den", F.lit(0.0))))

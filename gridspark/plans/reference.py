@@ -358,7 +358,7 @@ def join06_inner_align(spark, d):
 
 
 @query(f"""WITH {_LAI}, days AS (SELECT CAST(unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS DATE) AS day FROM lai), m AS (SELECT day, (SELECT max(time) FROM lai WHERE time <= day) AS obs FROM days)
-  SELECT day AS time, iy, ix, round(LAI_norm, 6) AS LAI_norm, CASE WHEN day = obs THEN LAI_flag ELSE 2 END AS LAI_flag FROM m JOIN lai ON lai.time = m.obs""")
+  SELECT day AS time, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm, CASE WHEN day = obs THEN LAI_flag ELSE 2 END AS LAI_flag FROM m JOIN lai ON lai.time = m.obs""")
 def join07_join08_win03_asof_daily(spark, d):
     return align.asof_daily(lai_cube(spark, d)).select("time", "iy", "ix", *_r("LAI_norm"), "LAI_flag")
 
@@ -558,14 +558,14 @@ _FC = f"""{_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i
   lead AS (SELECT CAST(unnest(generate_series(1, 5)) AS INT) AS lead)"""
 
 
-@query(f"""WITH {_FC} SELECT time AS init_date, 0 AS lead, iy, ix, round(LAI_norm, 6) AS LAI_norm FROM c WHERE it >= 3
-  UNION ALL SELECT time, lead, iy, ix, round(CASE WHEN it + 5 <= last THEN LAI_norm ELSE 0 END, 6) FROM c, l, lead WHERE it >= 3""")
+@query(f"""WITH {_FC} SELECT time AS init_date, 0 AS lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm FROM c WHERE it >= 3
+  UNION ALL SELECT time, lead, iy, ix, round(CASE WHEN it + 5 <= last THEN LAI_norm ELSE 0 END, 6) + 0 FROM c, l, lead WHERE it >= 3""")
 def fc01_fc03_forecast_cube(spark, d):
     c = _lai_steps(spark, d)
     return forecast.forecast_cube(c, forecast.persistence(c, 4, 5), 4, 5).select("init_date", "lead", "iy", "ix", *_r("LAI_norm"))
 
 
-@query(f"""WITH {_FC} SELECT time AS init_date, CAST(time + lead AS DATE) AS valid_date, lead, iy, ix, round(LAI_norm, 6) AS LAI_norm FROM c, l, lead WHERE it >= 3 AND it + 5 <= last AND lead BETWEEN 2 AND 4""")
+@query(f"""WITH {_FC} SELECT time AS init_date, CAST(time + lead AS DATE) AS valid_date, lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm FROM c, l, lead WHERE it >= 3 AND it + 5 <= last AND lead BETWEEN 2 AND 4""")
 def fc05_win08_lead_range(spark, d):
     c = _lai_steps(spark, d)
     f = forecast.forecast_cube(c, forecast.persistence(c, 4, 5), 4, 5, tail="drop", leads=forecast.Leads(2, 4))
