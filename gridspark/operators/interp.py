@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from gridspark.functions.missing import finite
 from gridspark.operators.grid import Grid
+from gridspark.session import cut_lineage
 
 BARNES_RADIUS_KM, IDW_RADIUS_KM = 150.0, 50.0
 MIN_NEIGHBOURS = 3
@@ -67,7 +68,8 @@ def nearest_spacing(df: DataFrame, key: str, x: str, y: str, start: float, k: in
             rank = F.row_number().over(Window.partitionBy("k1").orderBy("d2"))
             near = pairs.withColumn("rank", rank).filter(F.col("rank") <= need).groupBy("k1").agg(F.avg(F.sqrt("d2")).alias("spacing"), F.count("*").alias("n")).filter(F.col("n") == need).drop("n")
         parts.append(near)
-        open_ = open_.join(near.select("k1"), "k1", "left_anti")
+        # each round builds on what the last one left; without a cut the plan would double with every round
+        open_ = cut_lineage(open_.join(near.select("k1"), "k1", "left_anti"))
         if open_.isEmpty():
             break
         radius *= 4

@@ -47,17 +47,19 @@ def _quoting_ok(parts: Column) -> Column:
     return (n % 2 == 1) & ~F.exists(F.transform(parts, bad), lambda x: x)
 
 
-def csv_fields(line: Column) -> tuple[Column, Column]:
-    """(fields of one CSV line without their quotes, whether its quoting is sound)."""
-    parts = F.split(line, '"', -1)
-    n = F.size(parts)
+def csv_fields(line: Column) -> Column:
+    """Struct of ``fields``, those of one CSV line without their quotes, and ``sound``, whether its quoting is."""
+    def quoted(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def piece(s: Column, i: Column) -> Column:
+            return F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.translate(s, ",", _SEP))
 
-    def piece(s: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.translate(s, ",", _SEP))
+        return F.struct(F.split(F.array_join(F.transform(parts, piece), ""), _SEP, -1).alias("fields"), _quoting_ok(parts).alias("sound"))
 
-    plain = ~line.contains('"')
-    quoted = F.split(F.array_join(F.transform(parts, piece), ""), _SEP, -1)
-    return F.when(plain, F.split(line, ",", -1)).otherwise(quoted), plain | _quoting_ok(parts)
+    # the one-element transform binds the pieces to a variable, so they are made once and not for each of them again
+    bound = F.get(F.transform(F.array(F.split(line, '"', -1)), quoted), F.lit(0))
+    return F.when(~line.contains('"'), F.struct(F.split(line, ",", -1).alias("fields"), F.lit(True).alias("sound"))).otherwise(bound)
 
 
 def split_lines(df: DataFrame, line_id: str = "line_id", file_name: str = "file_name", line: str = "line") -> DataFrame:
@@ -67,11 +69,12 @@ def split_lines(df: DataFrame, line_id: str = "line_id", file_name: str = "file_
     """
     d = df.select(F.col(line_id).alias("line_id"), F.xxhash64(F.col(line_id), F.col(file_name), F.col(line)).alias("rid"),
                   F.when(F.lower(F.trim(F.col(file_name))) == "stations.txt", F.lit("fixed")).otherwise(F.lit("csv")).alias("kind"),
-                  F.translate(F.coalesce(F.col(line), F.lit("")), _SEP, "�").alias("text"))
-    fields, sound = csv_fields(F.col("text"))
-    d = d.withColumn("fields", F.when(F.col("kind") == "csv", fields).otherwise(F.array(*[F.substring("text", a, n) for _, a, n in FIXED_COLUMNS])))
+                  F.translate(F.coalesce(F.col(line), F.lit("")), _SEP, "\ufffd").alias("text"))
+    fixed = F.struct(F.array(*[F.substring("text", a, n) for _, a, n in FIXED_COLUMNS]).alias("fields"), F.lit(True).alias("sound"))
+    d = d.withColumn("c", F.when(F.col("kind") == "csv", csv_fields(F.col("text"))).otherwise(fixed))
+    d = d.select("line_id", "rid", "kind", "text", "c.fields", "c.sound")
     pair = lambda c, v: F.struct(F.lit(c).alias("column"), v.alias("value"))
-    shape = F.when(F.col("kind") == "csv", F.array(pair("#quoting", F.when(sound, F.lit("ok")).otherwise(F.lit("bad"))), pair("#columns", F.size("fields").cast("string")))).otherwise(
+    shape = F.when(F.col("kind") == "csv", F.array(pair("#quoting", F.when(F.col("sound"), F.lit("ok")).otherwise(F.lit("bad"))), pair("#columns", F.size("fields").cast("string")))).otherwise(
         F.array(pair("#columns", F.when(F.length("text") >= FIXED_MIN_CHARS, F.lit("ok")).otherwise(F.lit("short")))))
     return d.select("line_id", "rid", "kind", "fields", shape.alias("shape"))
 

@@ -53,7 +53,7 @@ def period_middle(period: Column) -> Column:
 
 def days_since_epoch(time: Column) -> Column:
     day = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
-    return day + (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)) / F.lit(86400.0)
+    return day + (F.hour(time) * 3600 + F.minute(time) * 60 + F.date_part(F.lit("SECOND"), time).cast("double")) / F.lit(86400.0)
 
 
 def regular_grid(df: DataFrame, source: Sequence[str], time: str, value: str, flag: str | None = None,

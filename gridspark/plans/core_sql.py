@@ -18,7 +18,7 @@ WITH r AS (
   FROM lai_readings WHERE time IS NOT NULL),
 span AS (SELECT iy, ix, min(q) AS lo, max(q) AS hi FROM r GROUP BY iy, ix),
 spine AS (SELECT iy, ix, unnest(generate_series(lo, hi)) AS p FROM span),
-once AS (SELECT iy, ix, q, date_diff('day', DATE '1970-01-01', CAST(time AS DATE)) + (hour(time) * 3600 + minute(time) * 60 + second(time)) / 86400.0::DOUBLE AS t, max(y) AS y
+once AS (SELECT iy, ix, q, date_diff('day', DATE '1970-01-01', CAST(time AS DATE)) + (hour(time) * 3600 + minute(time) * 60 + microsecond(time) / 1e6::DOUBLE) / 86400.0::DOUBLE AS t, max(y) AS y
          FROM r WHERE y IS NOT NULL GROUP BY ALL),
 mid AS (SELECT DISTINCT p, (date_diff('day', DATE '1970-01-01', {_start('p')}) + date_diff('day', DATE '1970-01-01', {_end('p')})) / 2.0::DOUBLE AS c FROM spine),
 pairs AS (SELECT s.iy, s.ix, s.p, o.q, o.y, (o.t - m.c) / 14.0::DOUBLE AS x
