@@ -109,9 +109,13 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 for i, t in zip(pdf["doc_id"], pdf["text"]):
                     found = finder.find(t)
                     if found and where:
-                        rows += [(i, finder.items[n][0], c, a, b) for n, c, a, b in finder.longest(t, found)]
+                        best: dict = {}  # an item may be listed more than once
+                        for n, c, a, b in sorted(finder.longest(t, found)):
+                            if c > best.get(finder.items[n][0], (0,))[0]:
+                                best[finder.items[n][0]] = (c, a, b)
+                        rows += [(i, item, *run) for item, run in best.items()]
                     else:
-                        rows += [(i, finder.items[n][0]) for n in found]
+                        rows += [(i, item) for item in {finder.items[n][0] for n in found}]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", *(["n_words", "start", "end"] if where else [])])
 
         parts.append(d.mapInPandas(scan, schema))

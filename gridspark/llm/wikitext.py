@@ -15,17 +15,19 @@ import numpy as np
 
 #: templates whose arguments are text on the page
 SHOWN = frozenset("quote blockquote cquote quotation bq rquote quotebox zitat cita poemquote talkquote pullquote lang nowrap small big url center centre".split())
+MAX_DEPTH = 40
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _REF = re.compile(r"<(/?)ref(?=[\s/>])[^<>]*>", re.I)
 _BRACKET = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 _HIDDEN_LINK = re.compile(r"\s*(?:category|kategorie|categoría|categoria|[a-z]{2,3})\s*:", re.I)
 _FILE_LINK = re.compile(r"\s*(?:file|image|datei|bild|archivo|imagen)\s*:", re.I)
 _TABLE_LINE = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|-[^\n]*|\|\}|\|\+)", re.M)
-_CELL_ATTRIBUTES = re.compile(r"(?:^[ \t]*[|!]|\|\||!!)(?:[ \t]*\w+[ \t]*=[ \t]*(?:\"[^\"\n]*\"|[^\s|\"]+))+[ \t]*\|(?!\|)", re.M)
+_ATTRIBUTE = r"\w+[ \t]*=[ \t]*(?:\"[^\"\n]*\"|[^\s|\"]+)"
+_CELL_ATTRIBUTES = re.compile(rf"(?:^[ \t]*[|!]|\|\||!!)[ \t]*{_ATTRIBUTE}(?:[ \t]+{_ATTRIBUTE})*[ \t]*\|(?!\|)", re.M)
 _CELL = re.compile(r"^[ \t]*[|!]|\|\||!!", re.M)
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)[^<>]*>")
 _INLINE = frozenset("b i u s em strong span sup sub small big font a abbr code tt kbd ins del mark q cite nowiki".split())
-_URL = re.compile(r"\[(?:(?:https?|ftp):)?//[^\s\]]*[ \t]?([^\]\n]*)\]")
+_URL = re.compile(r"\[(?:(?:https?|ftp):)?//[^\s\[\]]*[ \t]?([^\[\]\n]*)\]")
 _QUOTES = re.compile(r"'{2,}")
 _SWITCH = re.compile(r"__[A-Z]+__")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?")
@@ -119,7 +121,8 @@ def _without_brackets(s: str, off):
         if tok == "|":
             stack[-1][1].append([])
         elif tok in ("{{", "[["):
-            stack.append((tok, [[]]))
+            if len(stack) < MAX_DEPTH:  # deeper ones are no markup anybody renders
+                stack.append((tok, [[]]))
         else:
             opener = "{{" if tok == "}}" else "[["
             if not any(k == opener for k, _ in stack[-4:]):
@@ -131,9 +134,8 @@ def _without_brackets(s: str, off):
             put(_template(s, args) if tok == "}}" else _link(s, args))
     if at < len(s):
         put([(at, len(s))])
-    while stack:
-        _, args = stack.pop()
-        put([x for g in args for x in [*g, (-1, 0)]])
+    for _, args in stack:  # what an open frame holds comes before what the frames inside it hold
+        base += [x for g in args for x in [*g, (-1, 0)]]
     return _slices(s, off, base)
 
 
