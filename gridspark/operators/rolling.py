@@ -51,13 +51,13 @@ def rolling_totals(df: DataFrame, entity: Sequence[str], day: str, value: Column
         tile = halo
     epoch = F.lit("1970-01-01").cast("date")
     d = df.filter(F.col(day).isNotNull()).withColumn("__d", F.datediff(F.to_date(F.col(day)), epoch)).withColumn("__v", nan_to_null(value.cast("double")))
-    daily = d.groupBy(*entity, "__d").agg(F.max("__v").alias("__v"), *[c.cast("double").alias(f"__c{i}") for i, c in enumerate(carry.values())])
+    daily = d.groupBy(*entity, "__d").agg(F.max("__v").alias("__v"), *[c.alias(f"__c{i}") for i, c in enumerate(carry.values())])
     t = F.floor(F.col("__d") / tile).cast("int")
     later = F.floor((F.col("__d") + halo) / tile).cast("int")
     rows = daily.withColumn("__t", F.explode(F.sequence(t, later))).withColumns({"__lo": F.lit(None).cast("int"), "__hi": F.lit(None).cast("int")})
     span = d.groupBy(*entity).agg(F.min("__d").alias("__lo"), F.max("__d").alias("__hi"))
     marks = span.withColumn("__t", F.explode(F.sequence(F.floor(F.col("__lo") / tile).cast("int"), F.floor(F.col("__hi") / tile).cast("int"))))
-    marks = marks.withColumns({"__d": F.lit(None).cast("int"), "__v": F.lit(None).cast("double")} | {f"__c{i}": F.lit(None).cast("double") for i in range(len(carry))})
+    marks = marks.withColumns({"__d": F.lit(None).cast("int"), "__v": F.lit(None).cast("double")} | {f"__c{i}": F.lit(None).cast(daily.schema[f"__c{i}"].dataType) for i in range(len(carry))})
     both = rows.unionByName(marks)
     both = both.repartition(*entity, "__t").sortWithinPartitions(*entity, "__t", F.col("__d").asc_nulls_first())
     both = both.select(*entity, "__t", "__d", "__v", "__lo", "__hi", *[f"__c{i}" for i in range(len(carry))])

@@ -34,7 +34,7 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prcp_rolling(spark: SparkSession, d: str) -> DataFrame:
-    carry = {f"{x}_{w}": getattr(F, x)(F.col(f"prcp_{w}d_norm").cast("double")) for w in WINDOWS for x in ("min", "max")}
+    carry = {f"{x}_{w}": getattr(F, x)(f"prcp_{w}d_norm") for w in WINDOWS for x in ("min", "max")}
     return rolling_totals(table(spark, d, "weather_daily"), ["iy", "ix"], "time", in_range(F.col("prcp"), 0, 2000), WINDOWS, carry)
 
 

@@ -108,5 +108,10 @@ SQL = {
     "p3_neighbours": _P3 + "SELECT station_id, count(*) AS neighbours, round(min(km), 5) AS nearest_km FROM (SELECT a AS station_id, b, min(km) AS km FROM (SELECT a, b, km FROM p WHERE km <= 5 UNION ALL SELECT b, a, km FROM p WHERE km <= 5) GROUP BY 1, 2) GROUP BY 1",
     "p3_regions": _P3_REGIONS,
     "p5_found": _P5 + "SELECT line_id, reason FROM e WHERE reason IS NOT NULL",
+    "p5_clean": _P5 + "SELECT c.line_id, CASE WHEN fixed THEN 'fixed' ELSE 'csv' END AS kind, CASE WHEN fixed THEN trim(substr(line, 1, 11), ' ') ELSE trim(" + _cell(0) + ", ' ') END AS station_id, "
+    "CASE WHEN NOT fixed THEN CAST(try_strptime(" + _cell(1) + ", '%Y%m%d') AS DATE) END AS date, CASE WHEN NOT fixed THEN " + _cell(2) + " END AS element, CASE WHEN NOT fixed THEN TRY_CAST(trim(" + _cell(3) + ", ' ') AS DOUBLE) END AS value, "
+    + ", ".join(f"CASE WHEN NOT fixed THEN nullif(trim({_cell(i)}, ' '), '') END AS {n}" for i, n in ((4, "mflag"), (5, "qflag"), (6, "sflag"), (7, "obs_time"))) + ", "
+    + ", ".join(f"CASE WHEN fixed THEN TRY_CAST(trim(substr(line, {a}, {n}), ' ') AS DOUBLE) END AS {c}" for c, a, n in (("lat", 12, 9), ("lon", 21, 10), ("elev", 31, 7)))
+    + ", CASE WHEN fixed THEN nullif(trim(substr(line, 39), ' '), '') END AS name FROM c JOIN e USING (line_id) WHERE e.reason IS NULL",
     "p6_found": _P6,
 }
