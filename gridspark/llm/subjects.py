@@ -45,7 +45,7 @@ _HEADING = re.compile(r"^[ \t]*=+[^\n]*=+[ \t]*$", re.M)
 _BLANK = re.compile(r"\n[ \t]*\n")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n")
 _REDIRECT = re.compile(r"\s*#\s*(?:redirect|weiterleitung|redirección|redireccion)\b", re.I)
-_SIGNED = re.compile(r"^\s*[:*]+|~~~~|\[\[\s*(?:user|benutzer|usuario)\b|\{\{\s*(?:unsigned|ping)\b", re.I)
+_SIGNED = re.compile(r"^\s*:|~~~~|\[\[\s*(?:user|benutzer|usuario)\b|\{\{\s*(?:unsigned|ping)\b", re.I)
 
 
 def page_units(text: str) -> tuple[list[str], list[str]]:
