@@ -60,8 +60,11 @@ def rolling_totals(df: DataFrame, entity: Sequence[str], day: str, value: Column
     marks = marks.withColumns({"__d": F.lit(None).cast("int"), "__v": F.lit(None).cast("double")} | {f"__c{i}": F.lit(None).cast(daily.schema[f"__c{i}"].dataType) for i in range(len(carry))})
     both = rows.unionByName(marks)
     both = both.repartition(*entity, "__t").sortWithinPartitions(*entity, "__t", F.col("__d").asc_nulls_first())
+    # a NULL turns a column of integers into floats in pandas, which hold 32-bit keys exactly, but not 64-bit ones
+    wide = {f.name: f.dataType for f in df.select(*entity).schema if f.dataType.simpleString() == "bigint"}
+    both = both.withColumns({c: F.col(f"`{c}`").cast("string") for c in wide})
     both = both.select(*entity, "__t", "__d", "__v", "__lo", "__hi", *[f"__c{i}" for i in range(len(carry))])
-    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*entity).schema]
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*entity).schema]
     out = ", ".join([*keys, "day int, has_row boolean, value double", *[f"total_{w} double, n_{w} int, mean_{w} double" for w in windows], *[f"`{c}` double" for c in carry]])
     bands = [(w, band(w, halo, tile)) for w in windows]
     names = list(carry)
@@ -101,5 +104,6 @@ def rolling_totals(df: DataFrame, entity: Sequence[str], day: str, value: Column
 
     done = both.mapInPandas(pack, out)
     nulls = {c: nan_to_null(F.col(f"`{c}`")) for c in ["value", *[f"mean_{w}" for w in windows], *names]}
+    done = done.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in wide.items()})
     return done.withColumns({"day": F.date_from_unix_date("day")} | nulls)
 

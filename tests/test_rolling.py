@@ -61,3 +61,10 @@ def test_long_gap_and_many_batches(spark):
 
 def test_empty(spark):
     assert roll(spark, []).count() == 0
+
+
+def test_wide_keys_with_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, DAY, 1.0), (None, DAY, 2.0), (big - 1, DAY, 4.0)], "k bigint, d date, v double")
+    got = {r["k"]: r["total_2"] for r in rolling_totals(df, ["k"], "d", F.col("v"), [2]).collect()}
+    assert got == {big: 1.0, None: 2.0, big - 1: 4.0}
