@@ -131,9 +131,12 @@ def idw_log(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float
     smallest station id), results below ``drizzle`` are 0. Negative and missing values don't count."""
     o = obs.filter(finite(F.col("value")) & (F.col("value") >= 0)).select("date", "station_id", F.log1p(F.col("value").cast("double")).alias("lv"))
     stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi")
-    g = _by_day(o).join(neighbours(nodes, stations, radius), "station_id").groupBy("date", "iy", "ix").agg(
-        F.min_by(F.when(F.col("d2") == 0, F.col("lv")), F.when(F.col("d2") == 0, F.col("station_id"))).alias("hit"),
-        F.sum(F.col("lv") / F.nullif("d2", F.lit(0.0))).alias("num"), F.sum(1 / F.nullif("d2", F.lit(0.0))).alias("den"), F.count("*").alias("n"))
+    # stations on the node itself are ranked once, as numbers: a hash aggregate can't keep strings
+    near = neighbours(nodes, stations, radius)
+    rank = F.when(F.col("d2") == 0, F.row_number().over(Window.partitionBy("iy", "ix", F.col("d2") == 0).orderBy("station_id")))
+    near = near.select("iy", "ix", "station_id", rank.alias("rank"), (1 / F.nullif("d2", F.lit(0.0))).alias("w"))
+    g = _by_day(o).join(near, "station_id").groupBy("date", "iy", "ix").agg(
+        F.min_by(F.when(F.col("rank").isNotNull(), F.col("lv")), F.col("rank")).alias("hit"), F.sum(F.col("lv") * F.col("w")).alias("num"), F.sum("w").alias("den"), F.count("*").alias("n"))
     v = F.expm1(F.coalesce("hit", F.col("num") / F.nullif("den", F.lit(0.0))))
     return g.filter(F.col("n") >= min_neighbours).select("date", "iy", "ix", F.when(v < drizzle, F.lit(0.0)).otherwise(v).alias("value"))
 
