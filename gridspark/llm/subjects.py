@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,10 +292,11 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subject_table: DataFr
     texts, sources, own = labelled_sample(d, labels, subjects)
     if not texts:
         return documents.sparkSession.createDataFrame([], schema)
-    model = documents.sparkSession.sparkContext.broadcast(train(texts, sources, own, subjects))
+    # as bytes: a broadcast value is otherwise pickled by reference to this package, which executors may not have
+    model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(train(texts, sources, own, subjects)))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        m = cloudpickle.loads(model.value)
         for pdf in batches:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i: i + 1000]
