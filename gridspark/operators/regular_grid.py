@@ -1,9 +1,9 @@
 """Irregular readings onto a regular grid of periods, by compact-kernel weighted local polynomial regression.
 
-A period's estimate is the value at its midpoint of a line fitted to the readings of the period and of
-``REACH`` periods on either side, weighted by the kernel ``1 - (dt / h)^2``. The fit needs five sums per
-(source, period), so it is one aggregate: every reading is indexed by its period, handed to the few periods in
-reach and summed there. Nothing is ever gathered per source: the work is spread over (source, block of
+A period's estimate is the value at its midpoint of a line fitted to all readings within ``h`` days of it, weighted
+by the kernel ``1 - (dt / h)^2``. The fit needs five sums per (source, period), so it is one aggregate: every reading
+is handed to the periods of the days from ``t - h`` to ``t + h``, short last periods of a year among them, and summed
+there. Nothing is ever gathered per source: the work is spread over (source, block of
 ``BLOCK`` periods), readings near a block's edge go to both blocks, and within a block the sums are built by
 streaming hash aggregates. One shuffle carries the narrow readings; de-duplication, fan-out and fit need none.
 
@@ -17,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from gridspark.functions.missing import finite
 
 PER_YEAR = 92
-REACH = 3
 BLOCK = 23
 HALF_WIDTH_DAYS = 14.0
+#: periods on either side that the default kernel may touch, one of them the short last one of a year
+REACH = math.ceil(HALF_WIDTH_DAYS / 4) + 1
 MIN_SUPPORT = 1.5
 
 
@@ -56,6 +58,12 @@ def days_since_epoch(time: Column) -> Column:
     return day + (F.hour(time) * 3600 + F.minute(time) * 60 + F.date_part(F.lit("SECOND"), time).cast("double")) / F.lit(86400.0)
 
 
+def reached(t: Column, half_width: float) -> tuple[Column, Column]:
+    """First and last period whose midpoint can lie within ``half_width`` days of ``t`` (days since 1970)."""
+    day = lambda x: F.date_add(F.lit("1970-01-01").cast("date"), F.floor(x).cast("int"))
+    return period_of(day(t - F.lit(float(half_width)))), period_of(day(t + F.lit(float(half_width))))
+
+
 def regular_grid(df: DataFrame, source: Sequence[str], time: str, value: str, flag: str | None = None,
                  half_width: float = HALF_WIDTH_DAYS, min_support: float = MIN_SUPPORT) -> DataFrame:
     """One row per source and period from its first to its last row.
@@ -71,8 +79,9 @@ def regular_grid(df: DataFrame, source: Sequence[str], time: str, value: str, fl
     d = d.withColumn("__q", period_of(F.col("__time")))
     null_int, null_y = F.lit(None).cast("int"), F.lit(None).cast("double")
     block = lambda p: F.floor(p / BLOCK).cast("int")
+    first, last = reached(F.col("__t"), half_width)
     readings = (d.filter(F.col("__y").isNotNull()).withColumn("__t", days_since_epoch(F.col("__time")))
-                .withColumn("__b", F.explode(F.sequence(block(F.col("__q") - REACH), block(F.col("__q") + REACH))))
+                .withColumn("__b", F.explode(F.sequence(block(first), block(last))))
                 .select(*source, "__b", "__q", "__t", "__y", null_int.alias("__lo"), null_int.alias("__hi")))
     span = d.groupBy(*source).agg(F.min("__q").alias("__lo"), F.max("__q").alias("__hi"))
     marks = (span.withColumn("__b", F.explode(F.sequence(block(F.col("__lo")), block(F.col("__hi")))))
@@ -81,7 +90,7 @@ def regular_grid(df: DataFrame, source: Sequence[str], time: str, value: str, fl
     once = both.groupBy(*source, "__b", "__q", "__t").agg(F.max("__y").alias("__y"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     mark = F.col("__q").isNull()
     a, b = F.col("__b") * BLOCK, F.col("__b") * BLOCK + BLOCK - 1
-    reach = F.sequence(F.greatest(F.when(mark, F.col("__lo")).otherwise(F.col("__q") - REACH), a), F.least(F.when(mark, F.col("__hi")).otherwise(F.col("__q") + REACH), b))
+    reach = F.sequence(F.greatest(F.when(mark, F.col("__lo")).otherwise(first), a), F.least(F.when(mark, F.col("__hi")).otherwise(last), b))
     fan = once.withColumn("period", F.explode(reach))
     x = (F.col("__t") - period_middle(F.col("period"))) / F.lit(float(half_width))
     fan = fan.withColumn("__x", x)

@@ -80,3 +80,40 @@ def test_dirt(spark):
 def test_empty(spark):
     g = grid(spark, [])
     assert g.count() == 0 and g.columns == ["iy", "ix", "period", "period_start", "value", "n_readings", "support", "mark"]
+
+
+def by_days(data, half_width):
+    """(support, value) of each period from all readings within ``half_width`` days of its midpoint."""
+    times = [t for t, *_ in data]
+    out = {}
+    for p in range(min(map(period, times)), max(map(period, times)) + 1):
+        start = dt.datetime(p // 92, 1, 1) + dt.timedelta(days=4 * (p % 92))
+        mid = start + (min(start + dt.timedelta(days=4), dt.datetime(start.year + 1, 1, 1)) - start) / 2
+        x = np.array([(t - mid).total_seconds() / 86400 / half_width for t in times])
+        x, y = x[abs(x) < 1], np.array([r[3] for r in data])[abs(x) < 1]
+        w = 1 - x * x
+        det = w.sum() * (w * x * x).sum() - (w * x).sum() ** 2
+        a = np.stack([np.ones(len(x)), x], 1)
+        out[p] = (w.sum() ** 2 / (w * w).sum() if len(x) else 0.0, np.linalg.solve(a.T @ (w[:, None] * a), a.T @ (w * y))[0] if det > w.sum() ** 2 * 1e-3 else None)
+    return out
+
+
+@pytest.mark.parametrize("half_width", [14.0, 5.0, 40.0, 500.0])
+def test_every_reading_in_the_kernel(spark, half_width):
+    rng = np.random.default_rng(8)
+    data = [reading(float(d), float(np.float32(rng.normal())), hour=0) for d in np.cumsum(rng.uniform(0.5, 6, 260))]
+    g = regular_grid(spark.createDataFrame(data, SCHEMA), ["iy", "ix"], "time", "LAI_norm", "LAI_flag", half_width=half_width)
+    got = {r["period"]: r for r in g.collect()}
+    want = by_days(data, half_width)
+    assert set(got) == set(want)
+    for p, (support, value) in want.items():
+        assert got[p]["support"] == pytest.approx(support, abs=1e-6), p
+        if value is not None and got[p]["value"] is not None:
+            assert got[p]["value"] == pytest.approx(value, abs=1e-5), p
+
+
+def test_new_year_gap_is_filled(spark):
+    """Readings 11 and 12 days before the middle of Jan 1-4 lie four periods back."""
+    g = grid(spark, [reading(d, 1.0) for d in (355, 356, 390)])
+    r = {str(x["period_start"]): x for x in g.collect()}["2021-01-01"]
+    assert r["mark"] == "filled" and r["value"] == pytest.approx(1.0)
