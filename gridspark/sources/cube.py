@@ -52,12 +52,23 @@ def new_steps(df: DataFrame, stored: DataFrame, time: str = "time") -> DataFrame
     return df.join(stored.select(time).distinct(), time, "left_anti")
 
 
-def append_cube(df: DataFrame, path: str, float32: bool = True) -> None:
-    """Add the time steps that aren't stored yet; running it again changes nothing."""
+def new_cells(df: DataFrame, stored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of the cells (time step and place) that ``stored``, partitioned by year, doesn't have yet; NULL keys count as equal."""
+    first, last = df.agg(F.min(F.year("time")), F.max(F.year("time"))).first()
+    years = F.col("year").between(F.lit(first), F.lit(last)) | F.col("year").isNull()
+    s = stored.filter(years).select([F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(s, same, "left_anti")
+
+
+def append_cube(df: DataFrame, path: str, float32: bool = True, by_cell: bool = False) -> None:
+    """Add the time steps that aren't stored yet, or with ``by_cell`` the cells; running it again changes nothing."""
     spark = df.sparkSession
     if _exists(spark, path):
         stored = spark.read.parquet(path)
-        df = new_steps(df, stored)
+        df = new_cells(df, stored) if by_cell else new_steps(df, stored)
     _write(df, path, "append", None, float32)
 
 

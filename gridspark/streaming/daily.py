@@ -18,9 +18,10 @@ def read_arrivals(spark: SparkSession, path: str, schema: str, files_at_once: in
 
 
 def grow_cube(arrivals: DataFrame, cube: str, checkpoint: str) -> StreamingQuery:
-    """Append every arriving time step once; a batch that is run again, or a step that comes again, changes nothing."""
+    """Append every arriving cell (time, iy, ix) once, also where a time step is split over batches or completed late; a
+    batch that is run again, or a cell that comes again, changes nothing."""
     def take(batch: DataFrame, _: int) -> None:
-        append_cube(batch.dropDuplicates(["time", "iy", "ix"]), cube)
+        append_cube(batch.dropDuplicates(["time", "iy", "ix"]), cube, by_cell=True)
 
     return arrivals.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -313,6 +313,20 @@ def test_streaming(spark, tmp_path):
     assert daily.windowed_totals(ev, "ts", ["k"], "v").count() == 2
 
 
+def test_streaming_split_step(spark, tmp_path):
+    """Cells of one time step in files of several batches, one of them repeated in a later file, one without a row number."""
+    src, cube, check = (str(tmp_path / x) for x in ("in", "cube", "check"))
+    schema = "time date, iy int, ix int, LAI_norm float"
+    day, late = dt.date(2021, 1, 1), dt.date(2020, 12, 31)
+    files = [[(day, 0, 0, 1.0)], [(day, 0, 1, 2.0)], [(day, 0, 0, 9.0), (day, 1, 0, 3.0), (day, None, 0, 5.0)], [(late, 0, 0, 4.0), (day, None, 0, 5.0)]]
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    daily.grow_cube(daily.read_arrivals(spark, src, schema, files_at_once=1), cube, check).awaitTermination(120)
+    daily.grow_cube(daily.read_arrivals(spark, src, schema), cube, str(tmp_path / "again")).awaitTermination(120)
+    got = [tuple(r) for r in cubes.scan_cube(spark, cube).select("time", "iy", "ix").collect()]
+    assert sorted(got, key=str) == sorted([(late, 0, 0), (day, 0, 0), (day, 0, 1), (day, 1, 0), (day, None, 0)], key=str)
+
+
 def test_config(tmp_path):
     c = {"dataset": {"data": {"path": "/x"}, "features": ["a", "LAI_norm"], "lc_features": ["lc_grass"], "input_seq_length": 14}, "root_dir": str(tmp_path), "train_test_split": 0.8}
     r = RunConfig.from_dict(c)
