@@ -11,7 +11,8 @@
 
 Training uses at most ``MAX_LABELLED`` labelled documents (``MAX_LABELLED_CHARS`` characters), chosen by hash; every
 document is classified, over its whole text, where it lies, without a shuffle. The model sent to the executors is as
-large as the vocabulary of that sample (terms found in at least ``MIN_DOCS`` of its documents).
+large as the vocabulary of that sample (terms found in at least ``MIN_DOCS`` of its documents). Every source of the
+sample is a feature of its own; more than ``MAX_SUBJECTS`` subjects are an error.
 
 Defined results: labels are compared without case and spaces, unknown subjects and NULLs ignored, repeated ones count
 once; NULL or empty texts have no subject; without any usable label, or on an empty table, the result is empty;
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.wikitext import render, words
 
 MAX_LABELLED, MAX_LABELLED_CHARS = 8000, 40_000_000
+MAX_SUBJECTS = 1000
 MIN_DOCS = 3
 STUB_WORDS = 60
 BEAM = 8
@@ -259,7 +261,7 @@ class SubjectModel:
 
 def train(texts: list[str], sources: list[str | None], labels: list[set[int]], subjects: list[str]) -> SubjectModel:
     terms = TermModel(subjects, *learn_terms(texts, labels, len(subjects)))
-    known = {s: i for i, s in enumerate(sorted({s for s in sources if s is not None})[:64])}
+    known = {s: i for i, s in enumerate(sorted({s for s in sources if s is not None}))}
     y = np.zeros((len(texts), len(subjects)))
     for i, own in enumerate(labels):
         y[i, list(own)] = 1
@@ -286,7 +288,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) -> DataFrame:
     """``doc_id, subject``: the subjects of every document that has one."""
-    subjects = sorted(r[0] for r in subject_table.filter("subject IS NOT NULL").select("subject").distinct().limit(1000).collect())
+    subjects = sorted(r[0] for r in subject_table.filter("subject IS NOT NULL").select("subject").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(subjects) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     d = documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "source")
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, subject string"
     texts, sources, own = labelled_sample(d, labels, subjects)

@@ -103,3 +103,18 @@ def test_empty(spark, labels):
     lab = spark.createDataFrame(labels, LABELS)
     assert subject_areas(spark.createDataFrame([], DOCS), lab, subjects).count() == 0
     assert subject_areas(spark.createDataFrame([(1, "court", "s", "")], DOCS), lab, subjects).count() == 0
+
+
+def test_every_source_has_its_own_feature():
+    docs = sample(160, 6)
+    names = [f"s{i % 80:02}" for i in range(160)]
+    m = train([t for t, _ in docs], [*names[:-1], None], [{SUBJECTS.index(x) for x in own} for _, own in docs], SUBJECTS)
+    one = m.source_columns([*sorted(set(names)), None, "new"])
+    assert one.shape == (82, 80) and (one[:80] == np.eye(80)).all() and not one[80:].any()
+    assert m.classify([t for t, _ in docs[:5]], names[75:80]).shape == (5, 3)
+
+
+def test_too_many_subjects(spark):
+    subjects = spark.range(1001).selectExpr("concat('s', id) AS subject", "'g' AS gloss")
+    with pytest.raises(ValueError, match="more than 1000 subjects"):
+        subject_areas(spark.createDataFrame([(1, "court", "s", "")], DOCS), spark.createDataFrame([], LABELS), subjects)
