@@ -1,14 +1,20 @@
 """Implausible readings per source: spikes, stuck values and physical impossibilities.
 
-Each series (station and element) is folded into a matrix of daily profiles, a row for every ``PROFILE_DAYS`` days.
-Robust principal components split it into a low-rank part, what this source normally reports around that time of
-year, and a sparse part: the fit alternates between a shrunken truncated SVD of the matrix with its sparse entries
-removed and the choice of the sparse entries by their distance in robust standard deviations. Constant runs and
-physical ranges are tested on their own.
+Each series (station and element) is folded into a matrix of daily profiles, a row for every few days, a column for
+each day of the profile. Robust principal components split it into a low-rank part, what this source normally reports
+around that time of year, a sparse part, the spikes, and noise. The low-rank part is the series' level plus one
+component (a score per profile times a weight per day of it), fitted by alternating least squares in which
 
-``level`` elements (temperatures) are measured from the running median of the days around, with the deviations'
-robust standard deviation as unit. ``amount`` elements (precipitation: many zeros, long tail) are measured from
-zero, with the upper decile of the source's own wet days, spikes trimmed away, as unit.
+* a profile's score is shrunk towards its neighbours' and theirs towards zero, by ratios of noise to signal variance
+  taken from the matrix itself, so a component that the readings don't support vanishes;
+* readings far from the fit get little weight at first and none in the end: they are the sparse part.
+
+The matrix is folded twice, half a profile apart, and the two low-rank parts are averaged, so no day is always at a
+profile's edge. Nothing is smoothed beforehand. Constant runs and physical ranges are tested on their own.
+
+``level`` elements (temperatures) enter as they are; a reading's score is its distance from the low-rank part in robust
+standard deviations. ``amount`` elements (precipitation: many zeros, long tail) enter as logarithms of the wet days, and
+the score is the ratio of a reading to the upper decile that the source has around that time of year.
 
 Repeated (series, date) rows are merged by a partial aggregate first, so a series holds at most one row per
 calendar day and no group grows beyond the length of the calendar; series are spread by (station, element).
@@ -33,10 +39,13 @@ from pyspark.sql import functions as F
 from gridspark.functions.missing import finite
 from gridspark.operators.grouped import whole_groups
 
-PROFILE_DAYS = 15
-RANK = 1
-SPIKE_LEVEL, SPIKE_AMOUNT = 6.8, 5.5
+#: limits chosen on the tables of sf0.01 alone, inside the gap between the scores of normal readings and of spikes
+SPIKE_LEVEL, SPIKE_AMOUNT = 6.2, 5.5
 RUN = 7
+ROUNDS = 8
+#: how far, in profiles, a profile's score looks for its neighbours', and their weights
+REACH = 60
+_AWAY = np.arange(-REACH, REACH + 1)
 
 
 @dataclass(frozen=True)
@@ -50,68 +59,92 @@ class Element:
 ELEMENTS = {"TMAX": Element(-900, 600), "TMIN": Element(-900, 600), "TOBS": Element(-900, 600), "PRCP": Element(0, 20000, "amount")}
 
 
-def running_level(day: np.ndarray, v: np.ndarray, need: int = 4) -> np.ndarray:
-    """Median of the other readings within 7 days, within 15 or 30 where fewer than ``need`` are there."""
-    at = day - day.min() + 30
-    x = np.full(at.max() + 31, np.nan)
-    x[at] = v
-    out, open_ = np.full(len(v), np.median(v)), np.ones(len(v), bool)
-    for h in (7, 15, 30):
-        i = np.nonzero(open_)[0]
-        if not len(i):
-            break
-        win = np.lib.stride_tricks.sliding_window_view(x, 2 * h + 1)[at[i] - h].copy()
-        win[:, h] = np.nan
-        enough = (~np.isnan(win)).sum(1) >= need
-        out[i[enough]] = np.nanmedian(win[enough], 1)
-        open_[i[enough]] = False
-    return out
-
-
-def amount_unit(v: np.ndarray) -> float:
-    """Upper decile of the positive values after trimming far outliers, first against the median, then the decile."""
-    w = v[v > 0]
-    if not len(w):
-        return 1.0
-    w = w[w <= 20 * np.median(w)]
+@dataclass(frozen=True)
+class Profile:
+    """How a kind of element is folded and fitted."""
+
+    days: int
+    near: float  # standard deviation, in profiles, of the weights of the neighbours' scores
+    own: bool  # whether a profile may differ from its neighbours
+    even: float  # how many readings' worth a day of the profile is held to the same weight as the others
+    floor: float  # least standard deviation of the noise
+
+
+#: the wet days of two weeks are too few to tell one profile from the next, so amounts only follow the season
+PROFILES = {"level": Profile(15, 2.0, True, 4.0, 5.0), "amount": Profile(30, 1.0, False, 40.0, 0.3)}
+
+
+def upper_decile(rest: np.ndarray) -> tuple[float, np.ndarray]:
+    """(upper decile of log residuals without their outliers, which ones were kept)."""
+    keep, q = rest <= np.median(rest) + np.log(20), 0.0
     for _ in range(20):
-        q = np.quantile(w, 0.9)
-        keep = w[w <= 4 * q]
-        if len(keep) == len(w):
+        q = float(np.quantile(rest[keep], 0.9))
+        still = keep & (rest <= q + np.log(4))
+        if still.sum() == keep.sum():
             break
-        w = keep
-    return float(q)
-
-
-def low_rank_split(x: np.ndarray, ok: np.ndarray, unit: float | None, rank: int = RANK, cut: float = 4.5, floor: float = 5.0, rounds: int = 8) -> tuple[np.ndarray, float]:
-    """(low-rank part, robust unit of what is left) of a profile matrix; entries where ``ok`` is False are missing."""
-    low, scale = np.zeros_like(x), unit
-    for _ in range(rounds):
-        rest = x - low
-        scale = unit or max(1.4826 * float(np.median(np.abs(rest[ok]))), floor)
-        normal = np.where(ok & (np.abs(rest) <= cut * scale), x, np.where(ok, low, 0.0))
-        u, d, vt = np.linalg.svd(normal, full_matrices=False)
-        d = np.maximum(d - scale * np.sqrt(max(x.shape)), 0.0)[:rank]
-        new = (u[:, :rank] * d) @ vt[:rank]
-        done = np.abs(new - low).max() < 0.1 * scale
-        low = new
-        if done:
-            break
-    return low, unit or max(1.4826 * float(np.median(np.abs((x - low)[ok]))), floor)
+        keep = still
+    return q, keep
+
+
+def _weights(rest: np.ndarray, kind: str, floor: float, settle: bool) -> np.ndarray:
+    """Weight of each reading in the next round; 0 for the sparse part."""
+    if kind == "amount":
+        return upper_decile(rest)[1].astype(float)
+    unit, far = max(1.4826 * float(np.median(np.abs(rest - np.median(rest)))), floor), np.abs(rest)
+    return (far <= 4.5 * unit).astype(float) if settle else np.minimum(1.0, 1.5 * unit / np.maximum(far, 1e-9))
+
+
+def low_rank_part(row: np.ndarray, col: np.ndarray, y: np.ndarray, kind: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Low-rank part at the given entries (profile ``row``, day ``col``, value ``y``) of a profile matrix."""
+    p, n_rows = PROFILES[kind], int(row.max()) + 1
+    kernel = np.exp(-0.5 * (_AWAY / p.near) ** 2) + 1e-3 * np.exp(-np.abs(_AWAY) / 20.0)
+    if p.own:
+        kernel[REACH] = 0.0  # its own readings count apart
+    around = lambda a: np.convolve(a, kernel)[REACH: REACH + n_rows]
+    score, day, level = np.zeros(n_rows), np.ones(p.days), float(np.median(y))
+    low = np.full(len(y), level)
+    for k in range(rounds):
+        w = _weights(y - low, kind, p.floor, k >= rounds // 2)
+        total = max(w.sum(), 1e-9)
+        level = (w * (y - score[row] * day[col])).sum() / total
+        z = y - level
+        n, s = np.bincount(row, w * day[col] ** 2, n_rows), np.bincount(row, w * z * day[col], n_rows)
+        mean, used = s / np.maximum(n, 1e-9), max(int((n > 0).sum()), 1)
+        noise = max((w * (z - mean[row] * day[col]) ** 2).sum() / max(total - used, 1.0), (p.floor / 2) ** 2)
+        # what neighbouring profiles share is signal; what profiles differ by beyond noise and that is their own
+        both = np.sqrt(n[1:] * n[:-1])
+        shared = max((both * mean[1:] * mean[:-1]).sum() / both.sum(), 0.0) if both.sum() > 0 and used > 3 else 0.0
+        own = max((n * mean ** 2).sum() / total - noise * used / total - shared, 1e-3 * noise)
+        pull = noise / max(shared, 1e-6 * noise)
+        score = around(s) / (around(n) + (pull * 1e-3 if p.own else pull) + 1e-12)
+        if p.own:
+            score = (s + noise / own * score) / (n + noise / own)
+        few = p.even * (w * score[row] ** 2).sum() / total
+        day = (np.bincount(col, w * score[row] * z, p.days) + few) / (np.bincount(col, w * score[row] ** 2, p.days) + few + 1e-12) if few > 0 else day
+        low = level + score[row] * day[col]
+    return low
+
+
+def normal_behaviour(day: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """What the series normally reports on the days of its readings, from two foldings half a profile apart."""
+    size, first = PROFILES[kind].days, day - day.min()
+    return np.mean([low_rank_part((first + o) // size, (first + o) % size, y, kind) for o in (0, (size + 1) // 2)], 0)
 
 
 def spike_scores(day: np.ndarray, v: np.ndarray, kind: str) -> np.ndarray:
     """Distance of each reading from the series' normal behaviour, in its own units."""
-    if not len(v):
-        return np.zeros(0)
-    r, c = (day - day.min()) // PROFILE_DAYS, (day - day.min()) % PROFILE_DAYS
-    rows, r = np.unique(r, return_inverse=True)  # stretches without a reading need no row
-    x, ok = np.zeros((len(rows), PROFILE_DAYS)), np.zeros((len(rows), PROFILE_DAYS), bool)
-    base = running_level(day, v) if kind == "level" else np.zeros(len(v))
-    x[r, c], ok[r, c] = v - base, True
-    low, unit = low_rank_split(x, ok, None if kind == "level" else amount_unit(v))
-    score = (x - low)[r, c] / unit
-    return np.abs(score) if kind == "level" else score
+    score = np.zeros(len(v))
+    if kind == "level":
+        if len(v):
+            rest = v - normal_behaviour(day, v, kind)
+            score = np.abs(rest) / max(1.4826 * float(np.median(np.abs(rest))), PROFILES[kind].floor)
+        return score
+    wet = v > 0
+    if wet.any():
+        y = np.log(v[wet])
+        rest = y - normal_behaviour(day[wet], y, kind)
+        score[wet] = np.exp(rest - upper_decile(rest)[0])
+    return score
 
 
 def stuck(v: np.ndarray, run: int = RUN) -> np.ndarray:
