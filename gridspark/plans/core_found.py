@@ -99,6 +99,12 @@ def p4_flags(spark: SparkSession, d: str) -> DataFrame:
     return implausible(table(spark, d, "obs_by_year")).select("station_id", "date", "element", "value", "spike", "stuck", "impossible")
 
 
+def p4_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that fail the tests for constant runs and for physical ranges."""
+    f = implausible(table(spark, d, "obs_by_year")).filter("stuck OR impossible")
+    return f.select("station_id", "date", "element", "value", "stuck", "impossible")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return parse_errors(table(spark, d, "raw_records")).select("line_id", "reason")
 
@@ -123,4 +129,4 @@ def p6_filled(spark: SparkSession, d: str) -> DataFrame:
     return f.select("iy", "ix", "time", *[c for x in FIELDS for c in (F.round(x.name, 4).alias(x.name), F.col(f"{x.name}_filled"))])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_totals, p3_found, p3_neighbours, p3_regions, p4_found, p4_flags, p5_found, p5_clean, p6_found, p6_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_totals, p3_found, p3_neighbours, p3_regions, p4_found, p4_flags, p4_rules, p5_found, p5_clean, p6_found, p6_filled)}

@@ -22,7 +22,7 @@ once AS (SELECT iy, ix, q, date_diff('day', DATE '1970-01-01', CAST(time AS DATE
          FROM r WHERE y IS NOT NULL GROUP BY ALL),
 mid AS (SELECT DISTINCT p, (date_diff('day', DATE '1970-01-01', {_start('p')}) + date_diff('day', DATE '1970-01-01', {_end('p')})) / 2.0::DOUBLE AS c FROM spine),
 pairs AS (SELECT s.iy, s.ix, s.p, o.q, o.y, (o.t - m.c) / 14.0::DOUBLE AS x
-          FROM spine s JOIN mid m USING (p) LEFT JOIN once o ON o.iy = s.iy AND o.ix = s.ix AND o.q BETWEEN s.p - 3 AND s.p + 3),
+          FROM spine s JOIN mid m USING (p) LEFT JOIN once o ON o.iy = s.iy AND o.ix = s.ix AND o.t BETWEEN m.c - 14 AND m.c + 14),
 w AS (SELECT *, greatest(1 - x * x, 0) AS w FROM pairs),
 g AS (SELECT iy, ix, p, coalesce(sum(CASE WHEN q = p THEN 1 ELSE 0 END), 0)::BIGINT AS n, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2,
              sum(w * w) AS ww, sum(w * y) AS r0, sum(w * x * y) AS r1 FROM w GROUP BY iy, ix, p),
@@ -82,6 +82,18 @@ p AS (SELECT a.station_id AS a, b.station_id AS b, 2 * 6371.0::DOUBLE * asin(lea
 """
 
 
+_P4_RULES = """
+WITH r AS (SELECT station_id, element, date, max(TRY_CAST(trim(value) AS DOUBLE)) AS value FROM obs_by_year
+           WHERE isfinite(TRY_CAST(trim(value) AS DOUBLE)) GROUP BY 1, 2, 3),
+t AS (SELECT *, coalesce(CASE WHEN element IN ('TMAX', 'TMIN', 'TOBS') THEN value < -900 OR value > 600 WHEN element = 'PRCP' THEN value < 0 OR value > 20000 END, false) AS impossible FROM r),
+s AS (SELECT *, CAST(try_strptime(date, '%Y%m%d') AS DATE) AS day FROM t WHERE NOT impossible AND try_strptime(date, '%Y%m%d') IS NOT NULL),
+n AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY station_id, element ORDER BY day) THEN 0 ELSE 1 END AS starts FROM s),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY station_id, element ORDER BY day) AS run FROM n),
+k AS (SELECT *, count(*) OVER (PARTITION BY station_id, element, run) AS length FROM g)
+SELECT station_id, date, element, value, true AS stuck, false AS impossible FROM k WHERE length >= 7 AND value <> 0
+UNION ALL SELECT station_id, date, element, value, false, true FROM t WHERE impossible"""
+
+
 def _sectors() -> str:
     from gridspark.plans.core_found import SECTORS
 
@@ -107,6 +119,7 @@ SQL = {
     "p3_found": _P3 + "SELECT DISTINCT a AS station_id_a, b AS station_id_b FROM p WHERE km <= 5",
     "p3_neighbours": _P3 + "SELECT station_id, count(*) AS neighbours, round(min(km), 5) AS nearest_km FROM (SELECT a AS station_id, b, min(km) AS km FROM (SELECT a, b, km FROM p WHERE km <= 5 UNION ALL SELECT b, a, km FROM p WHERE km <= 5) GROUP BY 1, 2) GROUP BY 1",
     "p3_regions": _P3_REGIONS,
+    "p4_rules": _P4_RULES,
     "p5_found": _P5 + "SELECT line_id, reason FROM e WHERE reason IS NOT NULL",
     "p5_clean": _P5 + "SELECT c.line_id, CASE WHEN fixed THEN 'fixed' ELSE 'csv' END AS kind, CASE WHEN fixed THEN trim(substr(line, 1, 11), ' ') ELSE trim(" + _cell(0) + ", ' ') END AS station_id, "
     "CASE WHEN NOT fixed THEN CAST(try_strptime(" + _cell(1) + ", '%Y%m%d') AS DATE) END AS date, CASE WHEN NOT fixed THEN " + _cell(2) + " END AS element, CASE WHEN NOT fixed THEN TRY_CAST(trim(" + _cell(3) + ", ' ') AS DOUBLE) END AS value, "
