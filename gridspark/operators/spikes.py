@@ -74,11 +74,17 @@ class Profile:
 PROFILES = {"level": Profile(15, 2.0, True, 4.0, 5.0), "amount": Profile(30, 1.0, False, 40.0, 0.3)}
 
 
+def _at(a: np.ndarray, q: float) -> float:
+    """The reading at quantile ``q`` (the lower one of two)."""
+    k = int(q * (len(a) - 1))
+    return float(np.partition(a, k)[k])
+
+
 def upper_decile(rest: np.ndarray) -> tuple[float, np.ndarray]:
     """(upper decile of log residuals without their outliers, which ones were kept)."""
-    keep, q = rest <= np.median(rest) + np.log(20), 0.0
+    keep, q = rest <= _at(rest, 0.5) + np.log(20), 0.0
     for _ in range(20):
-        q = float(np.quantile(rest[keep], 0.9))
+        q = _at(rest[keep], 0.9)
         still = keep & (rest <= q + np.log(4))
         if still.sum() == keep.sum():
             break
@@ -90,7 +96,8 @@ def _weights(rest: np.ndarray, kind: str, floor: float, settle: bool) -> np.ndar
     """Weight of each reading in the next round; 0 for the sparse part."""
     if kind == "amount":
         return upper_decile(rest)[1].astype(float)
-    unit, far = max(1.4826 * float(np.median(np.abs(rest - np.median(rest)))), floor), np.abs(rest)
+    far = np.abs(rest)
+    unit = max(1.4826 * _at(far, 0.5), floor)
     return (far <= 4.5 * unit).astype(float) if settle else np.minimum(1.0, 1.5 * unit / np.maximum(far, 1e-9))
 
 
@@ -101,7 +108,7 @@ def low_rank_part(row: np.ndarray, col: np.ndarray, y: np.ndarray, kind: str, ro
     if p.own:
         kernel[REACH] = 0.0  # its own readings count apart
     around = lambda a: np.convolve(a, kernel)[REACH: REACH + n_rows]
-    score, day, level = np.zeros(n_rows), np.ones(p.days), float(np.median(y))
+    score, day, level = np.zeros(n_rows), np.ones(p.days), _at(y, 0.5)
     low = np.full(len(y), level)
     for k in range(rounds):
         w = _weights(y - low, kind, p.floor, k >= rounds // 2)
@@ -137,7 +144,7 @@ def spike_scores(day: np.ndarray, v: np.ndarray, kind: str) -> np.ndarray:
     if kind == "level":
         if len(v):
             rest = v - normal_behaviour(day, v, kind)
-            score = np.abs(rest) / max(1.4826 * float(np.median(np.abs(rest))), PROFILES[kind].floor)
+            score = np.abs(rest) / max(1.4826 * _at(np.abs(rest), 0.5), PROFILES[kind].floor)
         return score
     wet = v > 0
     if wet.any():
@@ -168,27 +175,25 @@ def implausible(df: DataFrame, station: str = "station_id", date: str = "date",
     d = d.withColumn("impossible", F.coalesce(wrong, F.lit(False)))
     day = F.try_to_timestamp(F.col("date"), F.lit("yyyyMMdd")).cast("date")
     d = d.withColumn("__d", F.datediff(day, F.lit("1970-01-01").cast("date")))
-    series = d.filter("__d IS NOT NULL AND NOT impossible").select("station_id", "element", "date", "value", "__d")
-    series = series.repartition("station_id", "element").sortWithinPartitions("station_id", "element", "__d")
+    d = d.repartition("station_id", "element").sortWithinPartitions("station_id", "element", "__d")
     kinds = {k: e.kind for k, e in elements.items()}
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         warnings.simplefilter("ignore")
         for pdf, start in whole_groups(batches, ["station_id", "element"]):
-            day, v = pdf["__d"].to_numpy(np.int64), pdf["value"].to_numpy(float)
-            score, held, names = np.zeros(len(pdf)), np.zeros(len(pdf), bool), pdf["element"].to_numpy()
-            spike = np.zeros(len(pdf), bool)
+            day, v, names = pdf["__d"].to_numpy(float), pdf["value"].to_numpy(float), pdf["element"].to_numpy()
+            outside = pdf["impossible"].to_numpy(bool)
+            usable = ~outside & ~np.isnan(day)
+            score, held, spike = np.full(len(pdf), np.nan), np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
             for a, b in zip(start, np.append(start[1:], len(pdf))):
-                kind = kinds.get(names[a], "level")
-                score[a:b] = spike_scores(day[a:b], v[a:b], kind)
-                spike[a:b] = score[a:b] > (SPIKE_LEVEL if kind == "level" else SPIKE_AMOUNT)
-                held[a:b] = stuck(v[a:b])
-            hit = spike | held
+                kind, use = kinds.get(names[a], "level"), a + np.nonzero(usable[a:b])[0]
+                score[use] = spike_scores(day[use].astype(np.int64), v[use], kind)
+                spike[use] = score[use] > (SPIKE_LEVEL if kind == "level" else SPIKE_AMOUNT)
+                held[use] = stuck(v[use])
+            hit = spike | held | outside
             out = pdf.loc[hit, ["station_id", "date", "element", "value"]]
-            yield out.assign(spike=spike[hit], stuck=held[hit], impossible=False, score=score[hit])
+            yield out.assign(spike=spike[hit], stuck=held[hit], impossible=outside[hit], score=score[hit])
 
     schema = ", ".join(f"{c} {df.schema[n].dataType.simpleString()}" for c, n in (("station_id", station), ("date", date), ("element", element)))
-    found = series.mapInPandas(test, schema + ", value double, spike boolean, stuck boolean, impossible boolean, score double")
-    no, yes = F.lit(False), F.lit(True)
-    outside = d.filter("impossible").select("station_id", "date", "element", "value", no.alias("spike"), no.alias("stuck"), yes.alias("impossible"), F.lit(None).cast("double").alias("score"))
-    return found.unionByName(outside)
+    found = d.mapInPandas(test, schema + ", value double, spike boolean, stuck boolean, impossible boolean, score double")
+    return found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
