@@ -3,13 +3,17 @@
 1. *Terms.* From the labelled documents, an expectation-maximisation over their sentences learns which words speak
    for which subject against the language at large (a sentence belongs to one of its document's labels or to none),
    so passing remarks and neutral prose don't blur the weights.
-2. *Features* per document and subject: paragraphs and tables mainly about it, its share of the subject words, whether
-   it is all there is to a stub, and structure and source of the page.
+2. *Features* per document and subject: how many paragraphs and tables are mainly about it, its words and their share,
+   whether it leads, also on a short page; per document its length, its source, and whether it is a redirect, a talk
+   page or a page of few ordinary words.
 3. *Chain.* One calibrated logistic model per subject, in the order of their frequency, each also sees the decisions
-   before it, so the co-occurrence of subjects counts; a beam search decodes the most likely combination.
-4. *Check.* Redirects, talk pages and pages of nonsense have no subject; a subject must have lasting support.
+   before it, so the co-occurrence of subjects counts; a beam search decodes the most likely combination. What makes a
+   subject a lasting part of a page is learnt from the labels; nothing overrules the chain's answer.
+4. *Pages without a subject.* Annotators label pages that have one, so redirects, talk pages and nonsense are missing
+   among the labels; such pages of a bounded sample of all documents join the training with no label.
 
-Training uses at most ``MAX_LABELLED`` labelled documents (``MAX_LABELLED_CHARS`` characters), chosen by hash; every
+Training uses at most ``MAX_LABELLED`` labelled documents and ``MAX_PLAIN`` others (``MAX_LABELLED_CHARS`` characters
+in all), chosen by hash; every
 document is classified, over its whole text, where it lies, without a shuffle. The model sent to the executors is as
 large as the vocabulary of that sample (terms found in at least ``MIN_DOCS`` of its documents). Every source of the
 sample is a feature of its own; more than ``MAX_SUBJECTS`` subjects are an error.
@@ -33,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.wikitext import render, words
+from gridspark.session import cut_lineage
 
-MAX_LABELLED, MAX_LABELLED_CHARS = 8000, 40_000_000
+MAX_LABELLED, MAX_PLAIN, MAX_LABELLED_CHARS = 8000, 2000, 40_000_000
 MAX_SUBJECTS = 1000
 MIN_DOCS = 3
 STUB_WORDS = 60
@@ -126,8 +131,10 @@ def learn_terms(texts: list[str], labels: list[set[int]], k: int, rounds: int =
 # --- features -------------------------------------------------------------------------------------------------
 
 #: features of one subject on one page; the page's own come after all subjects'
-PER_SUBJECT = ("lasting", "paragraphs", "tables", "words", "share", "stub")
-PAGE = ("short", "long", "table_page")
+PER_SUBJECT = ("paragraph", "paragraphs", "more_paragraphs", "table", "tables", "words", "share", "leads", "short_leads", "short_only")
+PAGE = ("short", "long", "mostly_table", "redirect", "talk", "nonsense")
+#: the features that tell a page that can't have a subject
+DEAD = slice(3, 6)
 
 
 @dataclass
@@ -159,21 +166,21 @@ class TermModel:
                     n = np.bincount([top[t] for t in hits], minlength=k)
                     total += n
                     units.append((is_table, n, np.sum([terms[t] for t in hits], 0)))
-        if n_ordinary < NONSENSE * n_all:
+        kind = page_kind(text)
+        x[k * len(PER_SUBJECT):] = n_words <= STUB_WORDS, n_words > 400, bool(tables) and not len(paragraphs) > 2, kind == "redirect", kind == "talk", n_ordinary < NONSENSE * n_all
+        if not total.any():
             return x
         par, tab = np.zeros(k), np.zeros(k)
+        # a passing remark has one word of its subject, in a unit that is about something else
         lean, best = np.log((total + 1) / (total.sum() + k)), int(total.argmax())
         for is_table, n, score in units:
             j = int((score + lean).argmax())
             if n[j] >= 2 or (n[j] == 1 and j == best and not is_table):
                 (tab if is_table else par)[j] += 1
-        stub = np.zeros(k)
-        if n_words <= STUB_WORDS and total.any():
-            stub[best] = total[best] >= 2 or (total[best] == 1 and total.sum() == 1)
-        lasting = (par >= 2) | (tab >= 1) | (stub > 0)
-        share = total / max(total.sum(), 1)
-        x[: k * len(PER_SUBJECT)] = np.stack([lasting, np.minimum(par, 4) / 4, np.minimum(tab, 2) / 2, np.log1p(total) / 4, share, stub], 1).ravel()
-        x[k * len(PER_SUBJECT):] = n_words <= STUB_WORDS, n_words > 400, bool(tables) and not len(paragraphs) > 2
+        leads = np.arange(k) == best
+        short = n_words <= STUB_WORDS
+        x[: k * len(PER_SUBJECT)] = np.stack([par >= 1, par >= 2, par >= 3, tab >= 1, tab >= 2, np.log1p(total) / 4, total / total.sum(), leads,
+                                              short & leads & (total >= 2), short & leads & (total == total.sum())], 1).ravel()
         return x
 
 
@@ -215,7 +222,8 @@ class Chain:
     def _inputs(self, x: np.ndarray, s: int, before: np.ndarray, sources: np.ndarray) -> np.ndarray:
         m = len(PER_SUBJECT)
         own, page = x[:, s * m: (s + 1) * m], x[:, self.k * m:]
-        return np.column_stack([own, page, own[:, :1] * page, sources, before]) if before.shape[1] else np.column_stack([own, page, own[:, :1] * page, sources])
+        dead = page[:, DEAD].max(1, keepdims=True)
+        return np.column_stack([own, page, own * dead, own[:, 7:8] * page[:, :3], sources, before])
 
     def decode(self, x: np.ndarray, sources: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Most likely label combination of each row, by beam search along the chain."""
@@ -253,37 +261,44 @@ class SubjectModel:
         if not len(texts):
             return np.zeros((0, self.chain.k), bool)
         x = np.stack([self.terms.features(t) for t in texts])
-        y = self.chain.decode(x, self.source_columns(sources))
-        y &= x[:, : self.chain.k * len(PER_SUBJECT): len(PER_SUBJECT)] > 0
-        live = np.array([bool(t) and page_kind(t) == "page" for t in texts])
-        return y & live[:, None]
+        return self.chain.decode(x, self.source_columns(sources))
 
 
-def train(texts: list[str], sources: list[str | None], labels: list[set[int]], subjects: list[str]) -> SubjectModel:
+def train(texts: list[str], sources: list[str | None], labels: list[set[int]], subjects: list[str], plain: list[tuple[str, str | None]] = ()) -> SubjectModel:
+    """``plain``: (text, source) of other documents; those that can't have a subject teach the chain so."""
     terms = TermModel(subjects, *learn_terms(texts, labels, len(subjects)))
+    x = [terms.features(t) for t in texts]
+    for text, source in plain:
+        f = terms.features(text)
+        if f[len(subjects) * len(PER_SUBJECT):][DEAD].any():
+            x.append(f)
+            sources, labels = [*sources, source], [*labels, set()]
     known = {s: i for i, s in enumerate(sorted({s for s in sources if s is not None}))}
-    y = np.zeros((len(texts), len(subjects)))
+    y = np.zeros((len(x), len(subjects)))
     for i, own in enumerate(labels):
         y[i, list(own)] = 1
     model = SubjectModel(terms, None, known)
-    model.chain = Chain(np.stack([terms.features(t) for t in texts]), y, model.source_columns(sources))
+    model.chain = Chain(np.stack(x), y, model.source_columns(sources))
     return model
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], limit: int = MAX_LABELLED, chars: int = MAX_LABELLED_CHARS):
-    """(texts, sources, label sets) of at most ``limit`` labelled documents, the same for any order of the rows."""
+def training_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], limit: int = MAX_LABELLED, plain: int = MAX_PLAIN, chars: int = MAX_LABELLED_CHARS) -> list[tuple]:
+    """(text, source, label set or None) of at most ``limit`` labelled documents and ``plain`` others, the same for any
+    order of the rows; one reading of the texts."""
     known = {s.strip().lower(): i for i, s in enumerate(subjects)}
     name = F.lower(F.trim("subject"))
     own = labels.filter(F.col("doc_id").isNotNull() & name.isin(list(known))).groupBy("doc_id").agg(F.collect_set(name).alias("own"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.filter("text IS NOT NULL").select("doc_id", "text", "source").join(F.broadcast(own), "doc_id")
+    other = documents.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(plain).withColumn("own", F.lit(None).cast("array<string>"))
+    picked = own.unionByName(other).groupBy("doc_id").agg(F.max("own").alias("own"))
+    rows = documents.filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    rows = cut_lineage(rows.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d"), F.max("own").alias("own")).select("doc_id", "d.*", "own"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > chars:  # only whole documents are left out of the sample
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) < int(1000 * chars / size))
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in got], [r["source"] for r in got], [{known[x] for x in r["own"]} for r in got]
+    return [(r["text"], r["source"], None if r["own"] is None else {known[x] for x in r["own"]}) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) -> DataFrame:
@@ -293,11 +308,14 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subject_table: DataFr
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     d = documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "source")
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, subject string"
-    texts, sources, own = labelled_sample(d, labels, subjects)
-    if not texts:
+    got = training_sample(d, labels, subjects)
+    marked = [x for x in got if x[2] is not None]
+    if not marked:
         return documents.sparkSession.createDataFrame([], schema)
+    texts, sources, own = ([x[i] for x in marked] for i in range(3))
+    plain = [x[:2] for x in got if x[2] is None]
     # as bytes: a broadcast value is otherwise pickled by reference to this package, which executors may not have
-    model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(train(texts, sources, own, subjects)))
+    model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(train(texts, sources, own, subjects, plain)))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = cloudpickle.loads(model.value)
