@@ -39,6 +39,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report
 
 
+def p8_reach(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has and whether it can reach its target."""
+    return _mix(spark, d).reach
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(_table(spark, d, "documents"), _table(spark, d, "topic_labels"), _table(spark, d, "subject_areas"))
 
@@ -55,8 +60,17 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p7_passages, p8_found, p8_mix, p8_shares, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p7_found, p7_passages, p8_found, p8_mix, p8_shares, p8_reach, p9_found, p9_composition)}
+
+
+#: sizes in characters: every source is far enough from its limit that the unit does not matter
+_REACH = """
+WITH o AS (SELECT source, count(*) AS own_docs, coalesce(sum(length(text)), 0) AS own FROM documents GROUP BY source),
+t AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(o.own_docs, 0) AS own_docs,
+             m.target_share * (SELECT sum(length(text)) FROM documents) <= m.max_repeats * coalesce(o.own, 0) AS reached
+      FROM mix_targets m LEFT JOIN o ON o.source = m.source)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_found": _REACH + "SELECT source FROM t WHERE NOT reached", "p8_reach": _REACH + "SELECT source, target_share, max_repeats, own_docs, reached FROM t"}
