@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +31,17 @@ def build_session(master: str | None = None, app: str = "gridspark", **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir`` (shared by all executors).
 
-    Only where that setting is missing, as in tests, a temporary folder is used.
+    Only a local session without that setting, as in tests, gets a temporary folder, deleted when Python ends; on a
+    cluster a missing setting is an error, as a folder of one machine would not survive the loss of that machine.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="gridspark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
