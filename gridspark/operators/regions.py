@@ -7,19 +7,22 @@ triangles, which are tested exactly. All triangles of a region that meet a leaf
 lies on the edge between two triangles of a region is found once without another shuffle; a point on the boundary
 shared by two regions goes to the smaller region key where one region per point is asked for.
 
-The upper hierarchy is planned from a hash sample of at most ``PLAN_POINTS`` points and has at most
-``MAX_LEAVES`` leaves; it only decides where rows go, never whether they count. A leaf that holds more than
-``LEAF_ROWS`` points or triangles is split into blocks (its points by its regions), so no task gets an unbounded
-group, however dense a place is.
+The upper hierarchy is planned from hash samples of at most ``PLAN_POINTS`` points and only decides where rows go,
+never whether they count. Its leaves are counted; those with more than ``LEAF_POINTS`` points or ``LEAF_TRIANGLES``
+triangles are split again at their own medians, from a sample of their own points, until none is left or nothing can
+be told apart. So the leaves grow in number, not in size, and a point is sent to one task at any size of the data. Only
+a place that no cut divides (triangles that all lie over one another) is split into blocks, its points by its regions,
+so no task gets an unbounded group.
 
 Points near points: the disc of the given radius around each distinct position is a region, drawn as an octagon
-that encloses it (a box of full width where it reaches a pole, and a second copy across the date line), so the
+that encloses it (beyond 80 degrees its exact box, of full width where it holds a pole; with a second copy across the date line), so the
 search is the same; an exact great-circle test follows.
 
 Defined results: rows with a NULL, NaN or infinite coordinate (for positions: outside the valid ranges too) have no
 position and never appear; equal positions are searched once and their ids expanded afterwards; a repeated
-(id, position) counts once; a polygon of fewer than three distinct points is empty; an empty table gives an empty
-result; extra columns are ignored.
+(id, position) counts once; a polygon of fewer than three distinct points is empty; one that crosses itself is an
+error that names it (``broken_regions`` lists them beforehand); an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,47 +36,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.missing import finite
+from gridspark.session import cut_lineage
 
 EARTH_KM = 6371.0
-PLAN_POINTS = 20_000
-MAX_LEAVES = 4096
-LEAF_ROWS = 20_000
+PLAN_POINTS = 1_000_000
+LEAF_POINTS, LEAF_TRIANGLES = 50_000, 200_000
+#: sampled points behind a leaf of the plan, at least
+PER_LEAF = 16
+ROUNDS = 8
 FAN = 8
 
 
 # --- geometry -------------------------------------------------------------------------------------------------
 
+class _Reflex:
+    """The vertices at which a polygon is not convex, in the squares of a grid; those that become convex are skipped."""
+
+    def __init__(self, xs: list[float], ys: list[float], flags: list[bool]):
+        self.flags = flags
+        self.x0, self.y0 = min(xs), min(ys)
+        self.live = [i for i, f in enumerate(flags) if f]
+        n = max(1, int(math.sqrt(len(self.live))))
+        self.sx, self.sy = ((max(v) - min(v)) / n or 1.0 for v in (xs, ys))
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for i in self.live:
+            self.cells.setdefault((int((xs[i] - self.x0) / self.sx), int((ys[i] - self.y0) / self.sy)), []).append(i)
+
+    def within(self, x1: float, y1: float, x2: float, y2: float) -> Iterator[int]:
+        i1, i2, j1, j2 = int((x1 - self.x0) / self.sx), int((x2 - self.x0) / self.sx), int((y1 - self.y0) / self.sy), int((y2 - self.y0) / self.sy)
+        if (i2 - i1 + 1) * (j2 - j1 + 1) > len(self.live):
+            self.live = [k for k in self.live if self.flags[k]]
+            yield from self.live
+            return
+        for i in range(i1, i2 + 1):
+            for j in range(j1, j2 + 1):
+                for k in self.cells.get((i, j), ()):
+                    if self.flags[k]:
+                        yield k
+
+
 def ear_clip(xs: list[float], ys: list[float]) -> list[tuple[int, int, int]]:
-    """Triangles (index triples) of a simple polygon, either orientation, convex or not."""
+    """Triangles (index triples) of a simple polygon, either orientation, convex or not.
+
+    Only reflex vertices near a candidate ear can spoil it, so the work is near to linear for usual shapes. A polygon
+    that crosses itself is a ValueError: it leaves no ear, or triangles whose areas don't add up to its own.
+    """
     n = len(xs)
     if n > 1 and (xs[0], ys[0]) == (xs[-1], ys[-1]):
         n -= 1
     idx = [i for i in range(n) if (xs[i], ys[i]) != (xs[i - 1 if i else n - 1], ys[i - 1 if i else n - 1])]
     if len(idx) < 3:
         return []
-    if sum(xs[idx[k - 1]] * ys[idx[k]] - xs[idx[k]] * ys[idx[k - 1]] for k in range(len(idx))) < 0:
+    area = sum(xs[idx[k - 1]] * ys[idx[k]] - xs[idx[k]] * ys[idx[k - 1]] for k in range(len(idx)))
+    if area < 0:
         idx.reverse()
 
     def cross(a: int, b: int, c: int) -> float:
         return (xs[b] - xs[a]) * (ys[c] - ys[a]) - (ys[b] - ys[a]) * (xs[c] - xs[a])
 
-    out, k, stuck = [], 0, 0
-    while len(idx) > 3 and stuck <= len(idx):
-        m = len(idx)
-        a, b, c = idx[(k - 1) % m], idx[k % m], idx[(k + 1) % m]
+    after, before = dict(zip(idx, [*idx[1:], idx[0]])), dict(zip(idx, [idx[-1], *idx[:-1]]))
+    flags = [False] * len(xs)
+    for i in idx:
+        flags[i] = cross(before[i], i, after[i]) <= 0
+    reflex = _Reflex(xs, ys, flags)
+
+    def spoiled(a: int, b: int, c: int) -> bool:
+        corners = ((xs[a], ys[a]), (xs[b], ys[b]), (xs[c], ys[c]))
+        for p in reflex.within(min(xs[a], xs[b], xs[c]), min(ys[a], ys[b], ys[c]), max(xs[a], xs[b], xs[c]), max(ys[a], ys[b], ys[c])):
+            if p not in (a, b, c) and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 and (xs[p], ys[p]) not in corners:
+                return True
+        return False
+
+    out, b, left, stuck = [], idx[0], len(idx), 0
+    while left > 3:
+        if stuck > left:
+            raise ValueError("the polygon crosses itself")
+        a, c = before[b], after[b]
         turn = cross(a, b, c)
-        ear = turn >= 0 and not (turn > 0 and any(
-            cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0
-            for p in idx if p not in (a, b, c) and (xs[p], ys[p]) not in ((xs[a], ys[a]), (xs[b], ys[b]), (xs[c], ys[c]))))
-        if ear:
+        if turn >= 0 and not (turn > 0 and spoiled(a, b, c)):
             if turn > 0:
                 out.append((a, b, c))
-            idx.pop(k % m)
-            k, stuck = (k - 1) % max(len(idx), 1), 0
+            after[a], before[c] = c, a
+            flags[b] = False
+            for v in (a, c):
+                flags[v] = flags[v] and cross(before[v], v, after[v]) <= 0
+            left, stuck = left - 1, 0
         else:
-            k, stuck = (k + 1) % m, stuck + 1
-    if len(idx) == 3 and cross(*idx) != 0:
-        out.append(tuple(idx))
+            stuck += 1
+        b = c  # on to the next one, so that triangles don't all share a corner
+    a, c = before[b], after[b]
+    if cross(a, b, c) != 0:
+        out.append((a, b, c))
+    total = sum(abs(cross(*t)) for t in out)
+    # coordinates of this size carry rounding errors of this size
+    scale = max(max(map(abs, xs)), max(map(abs, ys)), 1e-300)
+    if abs(total - abs(area)) > 1e-9 * total + 1e-14 * scale * scale * n:
+        raise ValueError("the polygon crosses itself")
     return out
 
 
@@ -133,50 +191,105 @@ def in_triangle(p: np.ndarray, t: np.ndarray, slack: float) -> np.ndarray:
 # --- upper hierarchy ------------------------------------------------------------------------------------------
 
 class Plan:
-    """Binary splits of the plane; leaves are numbered from 0."""
+    """Binary splits of the plane; leaves are numbered from 0, the number of a leaf that is split again is free."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
         self.axis, self.cut, self.kids, self.leaves = [], [], [], 0
+        self._at: dict[int, int] = {}
         self._build(sample, leaves)
-        self.axis, self.cut, self.kids = np.array(self.axis), np.array(self.cut), np.array(self.kids).reshape(-1, 2)
+        self._freeze()
 
-    def _build(self, pts: np.ndarray, leaves: int) -> int:
-        node = len(self.axis)
+    def _freeze(self) -> None:
+        self.table = np.array(self.axis), np.array(self.cut), np.array(self.kids).reshape(-1, 2)
+
+    def _node(self) -> int:
         self.axis.append(-1), self.cut.append(0.0), self.kids.append((0, 0))
-        axis = int(np.argmax(np.ptp(pts, axis=0))) if len(pts) else 0
-        cut = float(np.median(pts[:, axis])) if len(pts) else 0.0
-        left = pts[:, axis] < cut if len(pts) else np.zeros(0, bool)
-        if leaves <= 1 or not left.any() or left.all():
-            self.kids[node] = (self.leaves, self.leaves)
-            self.leaves += 1
+        return len(self.axis) - 1
+
+    def _leaf(self, node: int) -> None:
+        self.kids[node] = (self.leaves, self.leaves)
+        self._at[self.leaves] = node
+        self.leaves += 1
+
+    def _build(self, pts: np.ndarray, leaves: int, node: int | None = None) -> int:
+        node = self._node() if node is None else node
+        found = self._halves(pts) if leaves > 1 else None
+        if found is None:
+            self._leaf(node)
             return node
+        axis, cut = found
+        left = pts[:, axis] < cut
         a = self._build(pts[left], leaves // 2)
         b = self._build(pts[~left], leaves - leaves // 2)
         self.axis[node], self.cut[node], self.kids[node] = axis, cut, (a, b)
         return node
 
+    @staticmethod
+    def _halves(pts: np.ndarray) -> tuple[int, float] | None:
+        """(axis, value) nearest to halving the points, on the wider axis if that one can be cut."""
+        if len(pts) < 2:
+            return None
+        for axis in np.argsort(-np.ptp(pts, axis=0)):
+            v = np.sort(pts[:, axis])
+            cut = v[len(v) // 2]
+            if cut == v[0]:  # more than half share the smallest value
+                cut = v[min(int(np.searchsorted(v, cut, "right")), len(v) - 1)]
+            if cut > v[0]:
+                return int(axis), float(cut)
+        return None
+
+    def split(self, leaf: int, sample: np.ndarray, leaves: int) -> bool:
+        """Cut a leaf at its own medians; False if its points can't be told apart."""
+        if leaves < 2 or self._halves(sample) is None:
+            return False
+        self._build(sample, leaves, self._at.pop(leaf))
+        self._freeze()
+        return True
+
     def boxes(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs of the boxes and the leaves they meet; a point is a box of no size."""
+        axis, cuts, kids = self.table
         row, node, rows, leaf = np.arange(len(lo)), np.zeros(len(lo), int), [], []
         while len(row):
-            end = self.axis[node] < 0
-            rows.append(row[end]), leaf.append(self.kids[node[end], 0])
+            end = axis[node] < 0
+            rows.append(row[end]), leaf.append(kids[node[end], 0])
             row, node = row[~end], node[~end]
-            ax, cut = self.axis[node], self.cut[node]
+            ax, cut = axis[node], cuts[node]
             go_l, go_r = lo[row, ax] < cut, hi[row, ax] >= cut
-            row, node = np.concatenate([row[go_l], row[go_r]]), np.concatenate([self.kids[node[go_l], 0], self.kids[node[go_r], 1]])
+            row, node = np.concatenate([row[go_l], row[go_r]]), np.concatenate([kids[node[go_l], 0], kids[node[go_r], 1]])
         return (np.concatenate(rows), np.concatenate(leaf)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def plan_leaves(points: DataFrame) -> Plan:
-    """Hierarchy over columns x, y of ``points``: a count and a bounded hash sample."""
-    n = points.count()
-    keep = min(1.0, PLAN_POINTS / max(n, 1))
-    sample = points.select("x", "y")
+def _sample(points: DataFrame, n: int, want: int) -> pd.DataFrame:
+    """About ``want`` of the ``n`` points, by hash."""
+    keep = min(1.0, want / max(n, 1))
     if keep < 1:
-        sample = sample.filter(F.pmod(F.xxhash64("x", "y"), F.lit(1_000_000)) < int(keep * 1_000_000))
-    pts = sample.limit(2 * PLAN_POINTS).toPandas()[["x", "y"]].to_numpy(float).reshape(-1, 2)
-    return Plan(pts, int(min(MAX_LEAVES, max(1, math.ceil(4 * n / LEAF_ROWS)))))
+        points = points.filter(F.pmod(F.xxhash64("x", "y"), F.lit(1_000_000_000)) < int(keep * 1_000_000_000))
+    return points.toPandas()
+
+
+def plan_leaves(points: DataFrame, triangles: DataFrame) -> tuple[Plan, dict[int, int], dict[int, int]]:
+    """(hierarchy, points per leaf, triangles per leaf) for ``points`` (x, y) and ``triangles`` (x1 .. y3)."""
+    n, n_tri = points.count(), triangles.count()
+    # also small inputs get enough leaves to keep a machine busy
+    leaves = math.ceil(max(2 * n / LEAF_POINTS, 3 * n_tri / LEAF_TRIANGLES, min(32, n / 256)))
+    pts = _sample(points.select("x", "y"), n, min(PLAN_POINTS, 4 * PER_LEAF * leaves)).to_numpy(float).reshape(-1, 2)
+    plan, fixed = Plan(pts, max(1, min(leaves, len(pts) // PER_LEAF))), set()
+    for _ in range(ROUNDS):
+        p, t = place_points(points.select("x", "y"), plan), place_triangles(triangles.select(*CORNERS), plan)
+        count = lambda d: {r["leaf"]: r["count"] for r in d.groupBy("leaf").count().collect()}
+        n_p, n_t = count(p), count(t)
+        need = {k: math.ceil(2 * max(n_p[k] / LEAF_POINTS, n_t[k] / LEAF_TRIANGLES)) for k in n_p.keys() & n_t.keys() - fixed if n_p[k] > LEAF_POINTS or n_t[k] > LEAF_TRIANGLES}
+        if not need:
+            break
+        own = _sample(p.filter(F.col("leaf").isin(list(need))) if len(need) < 1000 else p.join(F.broadcast(p.sparkSession.createDataFrame([(k,) for k in need], "leaf int")), "leaf"),
+                      sum(n_p[k] for k in need), min(PLAN_POINTS, 4 * PER_LEAF * sum(need.values())))
+        rows = own.groupby("leaf")[["x", "y"]]
+        for k, want in need.items():
+            at = rows.get_group(k).to_numpy(float) if k in rows.groups else np.zeros((0, 2))
+            if not plan.split(k, at, max(2, min(want, len(at) // PER_LEAF)) if len(at) >= 2 else 1):
+                fixed.add(k)
+    return plan, n_p, n_t
 
 
 # --- the join -------------------------------------------------------------------------------------------------
@@ -191,40 +304,82 @@ def triangulate(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys") ->
             for k, x, y in zip(pdf["rk"], pdf["xs"], pdf["ys"]):
                 if x is None or y is None or len(x) != len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
                     continue
-                rows += [(k, x[a], y[a], x[b], y[b], x[c], y[c]) for a, b, c in ear_clip(list(x), list(y))]
+                try:
+                    rows += [(k, x[a], y[a], x[b], y[b], x[c], y[c]) for a, b, c in ear_clip(list(x), list(y))]
+                except ValueError as e:
+                    raise ValueError(f"region {k!r}: {e}") from None
             yield pd.DataFrame(rows, columns=["rk", "x1", "y1", "x2", "y2", "x3", "y3"])
 
     d = regions.select(F.col(key).alias("rk"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys")).filter(F.col("rk").isNotNull())
     return d.mapInPandas(cut, f"rk {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
 
 
-def points_in_triangles(points: DataFrame, triangles: DataFrame, slack: float = 1e-12) -> DataFrame:
-    """Distinct pairs ``pk, rk``: points (``pk, x, y``) in or on a region's triangles (``rk, x1 .. y3``)."""
-    points = points.select("pk", "x", "y").filter(finite(F.col("x")) & finite(F.col("y")) & F.col("pk").isNotNull())
-    plan = plan_leaves(points)
-    pk, rk = points.schema["pk"].dataType.simpleString(), triangles.schema["rk"].dataType.simpleString()
-    corner = ["x1", "y1", "x2", "y2", "x3", "y3"]
+def broken_regions(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
+    """``key, reason`` of the polygons that can't be cut into triangles."""
+    kind = regions.schema[key].dataType.simpleString()
 
-    def place_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, x, y in zip(pdf["rk"], pdf["xs"], pdf["ys"]):
+                reason = None
+                if x is None or y is None or len(x) != len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    reason = "coordinates are missing"
+                else:
+                    try:
+                        reason = None if ear_clip(list(x), list(y)) else "no area"
+                    except ValueError as e:
+                        reason = str(e)
+                if reason:
+                    rows.append((k, reason))
+            yield pd.DataFrame(rows, columns=["rk", "reason"])
+
+    d = regions.select(F.col(key).alias("rk"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
+    return d.mapInPandas(test, f"rk {kind}, reason string").withColumnRenamed("rk", key)
+
+
+CORNERS = ("x1", "y1", "x2", "y2", "x3", "y3")
+
+
+def place_points(points: DataFrame, plan: Plan) -> DataFrame:
+    """Adds ``leaf``."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = pdf[["x", "y"]].to_numpy(float)
             row, leaf = plan.boxes(at, at)
             yield pdf.iloc[row].assign(leaf=leaf)
 
-    def place_triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return points.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", leaf int")
+
+
+def place_triangles(triangles: DataFrame, plan: Plan) -> DataFrame:
+    """Adds ``leaf``, a row for each leaf that the triangle's box meets."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            t = pdf[corner].to_numpy(float).reshape(-1, 3, 2)
+            t = pdf[list(CORNERS)].to_numpy(float).reshape(-1, 3, 2)
             row, leaf = plan.boxes(t.min(1), t.max(1))
             yield pdf.iloc[row].assign(leaf=leaf)
 
-    p = points.mapInPandas(place_points, f"pk {pk}, x double, y double, leaf int")
-    t = triangles.select("rk", *corner).mapInPandas(place_triangles, f"rk {rk}, " + ", ".join(f"{c} double" for c in corner) + ", leaf int")
-    # blocks per leaf, from exact counts: at most MAX_LEAVES rows each
-    blocks = lambda d: {r["leaf"]: -(-r["count"] // LEAF_ROWS) for r in d.groupBy("leaf").count().collect()}
-    np_, nt = blocks(p), blocks(t)
-    hot = {k for k in np_.keys() & nt.keys() if np_[k] > 1 or nt[k] > 1}
+    return triangles.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in triangles.schema) + ", leaf int")
+
+
+def points_in_triangles(points: DataFrame, triangles: DataFrame, slack: float = 1e-12) -> DataFrame:
+    """Distinct pairs ``pk, rk``: points (``pk, x, y``) in or on a region's triangles (``rk, x1 .. y3``).
+
+    Both inputs are read several times (planning, counting, joining); callers cut their lineage where it is long.
+    """
+    points = points.select("pk", "x", "y").filter(finite(F.col("x")) & finite(F.col("y")) & F.col("pk").isNotNull())
+    triangles = triangles.select("rk", *CORNERS)
+    plan, n_p, n_t = plan_leaves(points, triangles)
+    pk, rk = points.schema["pk"].dataType.simpleString(), triangles.schema["rk"].dataType.simpleString()
+    corner = list(CORNERS)
+    # a point whose leaf has no triangle, and the other way round, meets nothing
+    both = sorted(n_p.keys() & n_t.keys())
+    p, t = place_points(points, plan), place_triangles(triangles, plan)
+    blocks = {k: (-(-n_p[k] // LEAF_POINTS), -(-n_t[k] // LEAF_TRIANGLES)) for k in both}
+    hot = {k: b for k, b in blocks.items() if b != (1, 1)}
     if hot:
-        sizes = p.sparkSession.createDataFrame([(k, np_[k], nt[k]) for k in sorted(hot)], "leaf int, n_p int, n_t int")
+        sizes = p.sparkSession.createDataFrame([(k, *hot[k]) for k in sorted(hot)], "leaf int, n_p int, n_t int")
         one = F.lit(1)
         spread = lambda d: d.join(F.broadcast(sizes), "leaf", "left").withColumns({"n_p": F.coalesce("n_p", one), "n_t": F.coalesce("n_t", one)})
         p = spread(p).withColumn("pb", F.pmod(F.xxhash64("pk"), F.col("n_p")).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1))).drop("n_p", "n_t")
@@ -256,7 +411,7 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, slack: float =
 def assign_regions(points: DataFrame, regions: DataFrame, point_key: str, x: str, y: str, region_key: str) -> DataFrame:
     """``point_key, region_key``: the region that holds each point (the smallest key on shared boundaries)."""
     p = points.select(F.col(point_key).alias("pk"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    pairs = points_in_triangles(p, triangulate(regions, region_key))
+    pairs = points_in_triangles(cut_lineage(p), cut_lineage(triangulate(regions, region_key)))
     return pairs.groupBy("pk").agg(F.min("rk").alias("rk")).select(F.col("pk").alias(point_key), F.col("rk").alias(region_key))
 
 
@@ -299,26 +454,54 @@ def disc_triangles(positions: DataFrame, radius_km: float) -> DataFrame:
                     emit(s, np.stack([v for k in tri for v in (lon[s] + shift + wide[s] * _OCT[k][0], lat[s] + delta[s] * _OCT[k][1])], 1))
             s = np.nonzero(polar)[0]
             low, high = np.maximum(lat[s] - delta[s], -90.5), np.minimum(lat[s] + delta[s], 90.5)
-            corners = [(-180.5, low), (180.5, low), (180.5, high), (-180.5, high)]
-            for tri in _BOX_TRIANGLES:
-                emit(s, np.stack([v for k in tri for v in (np.full(len(s), corners[k][0]), corners[k][1])], 1).reshape(-1, 6))
+            # half the width of the disc's box in degrees; all the way round where the disc holds a pole
+            whole = np.abs(lat[s]) + delta[s] >= 90
+            half = np.where(whole, 180.5, np.degrees(np.arcsin(np.minimum(math.sin(rad) / np.maximum(np.cos(np.radians(lat[s])), 1e-300), 1.0))) * 1.0001 + 1e-9)
+            mid = np.where(whole, 0.0, lon[s])
+            for shift in (0.0, 360.0, -360.0):
+                k = np.arange(len(s)) if shift == 0 else np.nonzero(~whole & (mid + shift + half >= -180) & (mid + shift - half <= 180))[0]
+                west, east = mid[k] + shift - half[k], mid[k] + shift + half[k]
+                corners = [(west, low[k]), (east, low[k]), (east, high[k]), (west, high[k])]
+                for tri in _BOX_TRIANGLES:
+                    emit(s[k], np.stack([v for c in tri for v in corners[c]], 1).reshape(-1, 6))
             xy = np.concatenate(tris)
             yield pd.DataFrame({"rk": np.concatenate(keys)} | {c: xy[:, i] for i, c in enumerate(("x1", "y1", "x2", "y2", "x3", "y3"))})
 
     return positions.select("rk", "lat", "lon").mapInPandas(draw, f"rk {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
 
 
-def neighbours(df: DataFrame, key: str, lat: str, lon: str, radius_km: float) -> DataFrame:
-    """Distinct pairs ``a, b`` with a < b of different keys at most ``radius_km`` apart, and their distance in km."""
+def _sites(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """Distinct ``id, lat, lon, rk`` of the rows that have a position; ``rk`` names the position."""
     la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     sites = df.filter(F.col(key).isNotNull() & finite(la) & finite(lo) & la.between(-90, 90) & lo.between(-180, 180))
     sites = sites.select(F.col(key).alias("id"), (la + 0.0).alias("lat"), (lo + 0.0).alias("lon")).distinct()
-    sites = sites.withColumn("rk", F.concat_ws("|", "lat", "lon"))
-    spots = sites.select("rk", "lat", "lon").distinct()
+    return sites.withColumn("rk", F.concat_ws("|", "lat", "lon"))
+
+
+def near_positions(spots: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs ``pk, rk, km`` with pk <= rk of positions (``rk, lat, lon``, distinct) at most ``radius_km`` apart, each with
+    itself among them."""
     near = points_in_triangles(spots.select(F.col("rk").alias("pk"), F.col("lon").alias("x"), F.col("lat").alias("y")), disc_triangles(spots, radius_km))
     at = lambda c, i: F.element_at(F.split(c, r"\|"), i).cast("double")
     km = great_circle_km(at("pk", 1), at("pk", 2), at("rk", 1), at("rk", 2))
-    near = near.filter(F.col("pk") <= F.col("rk")).withColumn("km", km).filter(F.col("km") <= radius_km)
+    return near.filter(F.col("pk") <= F.col("rk")).withColumn("km", km).filter(F.col("km") <= radius_km)
+
+
+def neighbours(df: DataFrame, key: str, lat: str, lon: str, radius_km: float) -> DataFrame:
+    """Distinct pairs ``a, b`` with a < b of different keys at most ``radius_km`` apart, and their distance in km."""
+    sites = cut_lineage(_sites(df, key, lat, lon))
+    near = near_positions(cut_lineage(sites.select("rk", "lat", "lon").distinct()), radius_km)
     one, two = (sites.select(F.col("rk").alias(k), F.col("id").alias(i)) for k, i in (("pk", "i1"), ("rk", "i2")))
     pairs = near.join(one, "pk").join(two, "rk").filter((F.col("i1") < F.col("i2")) | ((F.col("pk") != F.col("rk")) & (F.col("i1") != F.col("i2"))))
     return pairs.groupBy(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).agg(F.min("km").alias("km"))
+
+
+def neighbour_counts(df: DataFrame, key: str, lat: str, lon: str, radius_km: float) -> DataFrame:
+    """Per position with another one at most ``radius_km`` away: ``lat, lon``, ``ids`` on it, ``positions`` and
+    ``neighbours`` (ids on them) that near, and ``nearest_km``. Ids that share a position are counted there, never paired."""
+    spots = cut_lineage(_sites(df, key, lat, lon).groupBy("rk", "lat", "lon").agg(F.count("*").alias("ids")))
+    near = near_positions(spots.select("rk", "lat", "lon"), radius_km).filter("pk <> rk")
+    both = near.select(F.col("pk").alias("rk"), F.col("rk").alias("other"), "km").unionByName(near.select("rk", F.col("pk").alias("other"), "km"))
+    size = spots.select(F.col("rk").alias("other"), F.col("ids").alias("n"))
+    g = both.join(size, "other").groupBy("rk").agg(F.count("*").alias("positions"), F.sum("n").alias("neighbours"), F.min("km").alias("nearest_km"))
+    return spots.join(g, "rk").select("lat", "lon", "ids", "positions", "neighbours", "nearest_km")

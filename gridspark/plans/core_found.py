@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.impute import FIELDS, fill_missing
 from gridspark.operators.parse import parse_clean, parse_errors
-from gridspark.operators.regions import assign_regions, neighbours
+from gridspark.operators.regions import assign_regions, neighbour_counts, neighbours
 from gridspark.operators.regular_grid import regular_grid
 from gridspark.operators.rolling import rolling_totals
 from gridspark.operators.spikes import implausible
@@ -69,10 +69,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Per station with a neighbour: how many, and the distance to the nearest."""
-    pairs = neighbours(table(spark, d, "stations"), "station_id", "lat", "lon", NEAR_KM)
-    both = pairs.select(F.col("a").alias("station_id"), "km").union(pairs.select("b", "km"))
-    return both.groupBy("station_id").agg(F.count("*").alias("neighbours"), F.round(F.min("km"), 5).alias("nearest_km"))
+    """Per position with others within 5 km: the station ids on it, how many positions and ids are near, the nearest."""
+    n = neighbour_counts(table(spark, d, "stations"), "station_id", "lat", "lon", NEAR_KM)
+    return n.withColumn("nearest_km", F.round("nearest_km", 5))
 
 
 #: simple polygons (longitudes, latitudes), one of them concave, two sharing an edge

@@ -117,7 +117,11 @@ SQL = {
     "p2_found": _P2 + " UNION ALL ".join(f"""SELECT DISTINCT r.iy, r.ix, strftime(r.day, '%Y-%m-%d') AS day, {w} AS window_days FROM r JOIN weather_daily x ON x.iy = r.iy AND x.ix = r.ix AND x.time = r.day
       WHERE x.prcp_{w}d_norm IS NOT NULL AND abs(x.prcp_{w}d_norm - ({_RIGHT.format(w=w)})) > 0.01""" for w in (14, 30, 60)),
     "p3_found": _P3 + "SELECT DISTINCT a AS station_id_a, b AS station_id_b FROM p WHERE km <= 5",
-    "p3_neighbours": _P3 + "SELECT station_id, count(*) AS neighbours, round(min(km), 5) AS nearest_km FROM (SELECT a AS station_id, b, min(km) AS km FROM (SELECT a, b, km FROM p WHERE km <= 5 UNION ALL SELECT b, a, km FROM p WHERE km <= 5) GROUP BY 1, 2) GROUP BY 1",
+    "p3_neighbours": """
+WITH s AS (SELECT lat, lon, count(DISTINCT station_id) AS ids FROM stations WHERE isfinite(lat) AND isfinite(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY 1, 2),
+p AS (SELECT a.lat, a.lon, a.ids, b.ids AS n, 2 * 6371.0::DOUBLE * asin(least(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)), 1)) AS km
+      FROM s a JOIN s b ON (a.lat <> b.lat OR a.lon <> b.lon) AND abs(a.lat - b.lat) < 0.05)
+SELECT lat, lon, ids, count(*) AS positions, CAST(sum(n) AS BIGINT) AS neighbours, round(min(km), 5) AS nearest_km FROM p WHERE km <= 5 GROUP BY 1, 2, 3""",
     "p3_regions": _P3_REGIONS,
     "p4_rules": _P4_RULES,
     "p5_found": _P5 + "SELECT line_id, reason FROM e WHERE reason IS NOT NULL",

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridspark.operators import regions
-from gridspark.operators.regions import BoxTree, Plan, assign_regions, ear_clip, in_triangle, neighbours
+from gridspark.operators.regions import BoxTree, Plan, assign_regions, broken_regions, ear_clip, in_triangle, neighbour_counts, neighbours, place_points, plan_leaves, triangulate
 
 SCHEMA = "station_id string, lat double, lon double, id string, km string, rk string"
 
@@ -68,10 +69,11 @@ def brute(rows, km):
     return out
 
 
-@pytest.mark.parametrize("leaf_rows", [20_000, 40])
+@pytest.mark.parametrize("leaf_rows", [50_000, 40])
 def test_neighbours(spark, monkeypatch, leaf_rows):
-    """Also with tiny leaves, so that hot ones are split into blocks."""
-    monkeypatch.setattr(regions, "LEAF_ROWS", leaf_rows)
+    """Also with tiny leaves, so that leaves are split again and what can't be split goes into blocks."""
+    monkeypatch.setattr(regions, "LEAF_POINTS", leaf_rows)
+    monkeypatch.setattr(regions, "LEAF_TRIANGLES", leaf_rows)
     rng = np.random.default_rng(7)
     rows = []
     for c, (a, o) in enumerate([(30, -100), (0, 179.99), (0, -179.99), (89.97, 10), (89.99, -170), (-79.9, 50), (-85, 0), (60, 20)]):
@@ -81,7 +83,14 @@ def test_neighbours(spark, monkeypatch, leaf_rows):
     rows += [("bad", None, 1.0, "", "", ""), ("bad2", float("nan"), 1.0, "", "", ""), ("bad3", 95.0, 1.0, "", "", ""), ("bad4", 1.0, 500.0, "", "", ""), (None, 10.0, 10.0, "", "", "")]
     got = neighbours(spark.createDataFrame(rows, SCHEMA), "station_id", "lat", "lon", 5.0).select("a", "b").collect()
     assert len(got) == len({(r.a, r.b) for r in got})
-    assert {(r.a, r.b) for r in got} == brute(rows, 5.0)
+    want = brute(rows, 5.0)
+    assert {(r.a, r.b) for r in got} == want
+    here = {(a, o): {i for i, x, y, *_ in rows if i and x == a and y == o} for i, a, o, *_ in rows if i}
+    counts = {(r.lat, r.lon): r for r in neighbour_counts(spark.createDataFrame(rows, SCHEMA), "station_id", "lat", "lon", 5.0).collect()}
+    for at, ids in here.items():
+        near = {y if x in ids else x for x, y in want if (x in ids) != (y in ids)}
+        assert (at in counts) == bool(near)
+        assert not near or (counts[at].ids, counts[at].neighbours) == (len(ids), len(near))
 
 
 def test_regions_and_shared_edges(spark):
@@ -92,3 +101,72 @@ def test_regions_and_shared_edges(spark):
 
 def test_empty(spark):
     assert neighbours(spark.createDataFrame([], SCHEMA), "station_id", "lat", "lon", 5.0).count() == 0
+
+
+def test_crossing_polygons_are_reported(spark):
+    for x, y in (([0, 2, 2, 0], [0, 2, 0, 2]), ([0, 4, 4, 1, 1, 3, 3, 0], [0, 0, 2, 2, -1, -1, 4, 4])):
+        with pytest.raises(ValueError, match="crosses itself"):
+            ear_clip(x, y)
+    shapes = spark.createDataFrame([("bow", [0.0, 2.0, 2.0, 0.0], [0.0, 2.0, 0.0, 2.0]), ("ok", [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]), ("nul", None, None), ("flat", [0.0, 1.0], [0.0, 1.0])], "k string, xs array<double>, ys array<double>")
+    assert {r["k"]: r["reason"] for r in broken_regions(shapes, "k").collect()} == {"bow": "the polygon crosses itself", "nul": "coordinates are missing", "flat": "no area"}
+    with pytest.raises(Exception, match="region 'bow'"):
+        triangulate(shapes, "k").count()
+
+
+def test_a_hole_by_a_keyhole():
+    x, y = [0, 10, 10, 0, 0, 3, 3, 7, 7, 3], [0, 0, 10, 10, 0, 3, 7, 7, 3, 3]
+    x, y = x[:4] + [0] + [3, 3, 7, 7, 3] + [0], y[:4] + [0] + [3, 7, 7, 3, 3] + [0]
+    t = ear_clip(x, y)
+    assert sum(area([x[i] for i in p], [y[i] for i in p]) for p in t) == pytest.approx(84)
+
+
+def test_large_polygons_take_little_time():
+    import time
+
+    rng = np.random.default_rng(5)
+    n = 20_000
+    r = 1 + 0.3 * rng.random(n)
+    x, y = (r * f(2 * np.pi * np.arange(n) / n) for f in (np.cos, np.sin))
+    x, y = x.tolist(), y.tolist()
+    start = time.perf_counter()
+    t = ear_clip(x, y)
+    assert time.perf_counter() - start < 10
+    assert sum(area([x[i] for i in p], [y[i] for i in p]) for p in t) == pytest.approx(area(x, y), rel=1e-9)
+
+
+def test_plan_splits_leaves_again():
+    rng = np.random.default_rng(6)
+    p = Plan(rng.random((100, 2)), 2)
+    dense = np.array([0.1, 0.1]) + rng.random((500, 2)) * 1e-3
+    _, leaf = p.boxes(dense, dense)
+    assert len(set(leaf.tolist())) == 1 and p.split(int(leaf[0]), dense, 8)
+    row, leaf = p.boxes(dense, dense)
+    assert len(row) == 500 and len(set(leaf.tolist())) == 8
+    assert not p.split(int(leaf[0]), np.zeros((50, 2)), 4)
+    same_x = np.stack([np.zeros(64), np.arange(64.0)], 1)
+    assert Plan(same_x, 8).leaves == 8
+
+
+@pytest.mark.parametrize("n", [10_000, 300_000])
+def test_copies_do_not_grow_with_the_data(spark, monkeypatch, n):
+    """A thousandth of 10 million and of 300 million positions, with leaves a thousandth of the size: every point goes
+    to one task, triangles to a bounded number, and no leaf is overfull, though towns are a thousand times denser."""
+    monkeypatch.setattr(regions, "LEAF_POINTS", 50)
+    monkeypatch.setattr(regions, "LEAF_TRIANGLES", 200)
+    monkeypatch.setattr(regions, "PLAN_POINTS", 60_000)
+    town = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
+    pts = spark.range(n).select("id", F.when(town, 0.3 + u(2) * 0.03).otherwise(u(2)).alias("x"), F.when(town, 0.6 + u(3) * 0.03).otherwise(u(3)).alias("y"))
+    # about as many neighbours each, whatever the number of points
+    size = F.when(town, F.lit(0.03)).otherwise(F.lit(1.0)) * (2.0 / math.sqrt(n))
+    corner = lambda a, b: (F.col("x") + a * size, F.col("y") + b * size)
+    tri = pts
+    for i, (a, b) in enumerate(((-1, -1), (1, -1), (0, 1)), 1):
+        cx, cy = corner(a, b)
+        tri = tri.withColumns({f"x{i}": cx, f"y{i}": cy})
+    pts = pts.drop("id")
+    plan, n_p, n_t = plan_leaves(pts, tri.drop("id", "x", "y"))
+    assert sum(n_p.values()) == n == place_points(pts, plan).count()
+    blocks = sum(n_p[k] * -(-n_t.get(k, 1) // regions.LEAF_TRIANGLES) for k in n_p) / n
+    assert blocks < 1.05 and sum(n_t.values()) / n < 3
+    assert max(n_p.values()) <= 2 * regions.LEAF_POINTS
