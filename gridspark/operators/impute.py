@@ -3,8 +3,10 @@
 Numeric fields follow a mixed-effects model ``y = mu + day effect + cell effect + e``. The day effect is taken from
 the cells within ``SPACE`` of the same day, the cell effect from the same cell within ``TIME`` days, each shrunk
 towards zero by ``residual variance / effect variance``; the variances come from all rows. Categorical fields
-follow a multinomial model: class odds of the day's neighbours and of the cell's days, each smoothed towards the
-overall class shares, are multiplied. Every filled value is marked.
+follow a multinomial logistic model: the score of a class is an intercept plus weights times the class's log share among
+the day's neighbours and among the cell's days, both shares shrunk towards the overall ones. Intercepts and weights are
+fitted by Newton's method to observed values, each seen as if it were missing, of at most ``FIT_TILES`` tiles chosen by
+hash. Every filled value is marked.
 
 Cells and days are packed into dense numpy tiles with a halo, and neighbourhood sums are box filters, so the cost
 follows the rows, not the number of gaps. A tile's size is fixed, so no group grows with the data; rows that
@@ -29,6 +31,8 @@ from gridspark.functions.missing import in_range
 SPACE, TIME = 2, 3
 TILE, TILE_DAYS = 24, 30
 PRIOR = 1.0
+#: tiles whose observed values fit the multinomial model
+FIT_TILES = 64
 
 
 @dataclass(frozen=True)
@@ -82,16 +86,63 @@ def numeric_fit(v: np.ndarray, mu: float, lam_cell: float, lam_day: float) -> tu
     return mu + day + cell, nd + nc
 
 
-def category_fit(v: np.ndarray, classes: tuple[int, ...], share: list[float]) -> tuple[np.ndarray, np.ndarray]:
+def category_counts(v: np.ndarray, classes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Records of each class among the day's neighbours and among the cell's days, itself included: (class, y, x, day)."""
+    hits = [(v == k).astype(float) for k in classes]
+    return np.stack([np.rint(_box(h, SPACE, (0, 1))) for h in hits]), np.stack([np.rint(_box(h, TIME, (2,))) for h in hits])
+
+
+def class_scores(day: np.ndarray, cell: np.ndarray, model: dict) -> np.ndarray:
+    """Log-odds of each class (first axis) from its counts among the day's neighbours and the cell's days."""
+    p = np.asarray(model["share"]).reshape(-1, *[1] * (day.ndim - 1))
+    x = [np.log((c + PRIOR * p) / (c.sum(0) + PRIOR)) for c in (day, cell)]
+    return np.asarray(model["intercept"]).reshape(p.shape) + model["weight"][0] * x[0] + model["weight"][1] * x[1]
+
+
+def category_fit(v: np.ndarray, classes: tuple[int, ...], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(most likely class, number of records behind it)."""
-    ok = ~np.isnan(v)
-    nd, nc = np.rint(_box(ok.astype(float), SPACE, (0, 1))), np.rint(_box(ok.astype(float), TIME, (2,)))
-    odds = []
-    for k, p in zip(classes, share):
-        hit = (ok & (v == k)).astype(float)
-        a, b = np.rint(_box(hit, SPACE, (0, 1))), np.rint(_box(hit, TIME, (2,)))
-        odds.append(np.log(a + PRIOR * p) - np.log(nd + PRIOR) + np.log(b + PRIOR * p) - np.log(nc + PRIOR) - np.log(p))
-    return np.asarray(classes, float)[np.argmax(np.stack(odds), 0)], nd + nc
+    day, cell = category_counts(v, classes)
+    return np.asarray(classes, float)[np.argmax(class_scores(day, cell, model), 0)], day.sum(0) + cell.sum(0)
+
+
+def independent(share: list[float]) -> dict:
+    """The model before it has seen anything: day and cell speak independently of each other."""
+    return {"share": share, "intercept": [-float(np.log(p)) for p in share], "weight": [1.0, 1.0]}
+
+
+def fit_multinomial(own: np.ndarray, day: np.ndarray, cell: np.ndarray, n: np.ndarray, share: list[float], ridge: float = 1.0, rounds: int = 30) -> dict:
+    """Penalised maximum likelihood from ``n`` observed values each: class number ``own``, counts (class, row) of the others."""
+    k, start = len(share), independent(share)
+    theta0 = np.array([*start["intercept"], *start["weight"]])
+    p = np.asarray(share)[:, None]
+    x = np.zeros((k, day.shape[1], k + 2))
+    for c in range(k):
+        x[c, :, c] = 1.0
+    for j, counts in enumerate((day, cell)):
+        x[:, :, k + j] = np.log((counts + PRIOR * p) / (counts.sum(0) + PRIOR))
+    seen, theta = x[own, np.arange(len(own))], theta0.copy()
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        top = z.max(0)
+        return float((n * (np.log(np.exp(z - top).sum(0)) + top - seen @ t)).sum() + ridge / 2 * ((t - theta0) ** 2).sum())
+
+    now = loss(theta)
+    for _ in range(rounds):
+        z = x @ theta
+        q = np.exp(z - z.max(0))
+        q /= q.sum(0)
+        mean = np.einsum("kr,kri->ri", q, x)
+        grad = n @ (mean - seen) + ridge * (theta - theta0)
+        hess = np.einsum("kr,kri,krj->ij", q * n, x, x) - np.einsum("r,ri,rj->ij", n, mean, mean) + ridge * np.eye(k + 2)
+        step, scale = np.linalg.solve(hess, grad), 1.0
+        while scale > 1e-6 and loss(theta - scale * step) > now:
+            scale /= 2
+        theta = theta - scale * step
+        now = loss(theta)
+        if np.abs(scale * step).max() < 1e-8:
+            break
+    return {"share": share, "intercept": theta[:k].tolist(), "weight": theta[k:].tolist()}
 
 
 def variance_components(df: DataFrame, fields=FIELDS) -> dict[str, dict]:
@@ -122,7 +173,7 @@ def variance_components(df: DataFrame, fields=FIELDS) -> dict[str, dict]:
         out[f.name] = {"mu": mu, "lam_cell": min(rest / max(cell, 1e-12), 1e6), "lam_day": min(rest / max(day, 1e-12), 1e6)}
     for f in cats:
         k = [by_cell[f"K_{f.name}_{c}"] or 0 for c in f.classes]
-        out[f.name] = {"share": [(x + 0.5) / (sum(k) + 0.5 * len(k)) for x in k]}
+        out[f.name] = independent([(x + 0.5) / (sum(k) + 0.5 * len(k)) for x in k])
     return out
 
 
@@ -140,16 +191,48 @@ def fill_missing(df: DataFrame, fields=FIELDS) -> DataFrame:
 
     spread = placed.withColumn("__ty", tiles("iy", SPACE, TILE)).withColumn("__tx", tiles("ix", SPACE, TILE)).withColumn("__tt", tiles("__d", TIME, TILE_DAYS))
     spread = spread.select("__ty", "__tx", "__tt", "iy", "ix", "__d", *names)
-    schema = "iy int, ix int, __d int, " + ", ".join(f"{n} double, {n}_filled boolean" for n in names)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("iy", "ix")) + ", __d int, " + ", ".join(f"{n} double, {n}_filled boolean" for n in names)
+
+    cats = [f for f in fields if isinstance(f, Category)]
+    origin = lambda ty, tx, tt: (ty * TILE - SPACE, tx * TILE - SPACE, tt * TILE_DAYS - TIME)
+    shape = (TILE + 2 * SPACE, TILE + 2 * SPACE, TILE_DAYS + 2 * TIME)
+
+    def places(key: tuple, pdf: pd.DataFrame):
+        """Positions of the rows in their tile, and which of them are the tile's own."""
+        y, x, d = (pdf[c].to_numpy(np.int64) - o for c, o in zip(("iy", "ix", "__d"), origin(*(int(k) for k in key))))
+        return y, x, d, (y >= SPACE) & (y < TILE + SPACE) & (x >= SPACE) & (x < TILE + SPACE) & (d >= TIME) & (d < TILE_DAYS + TIME)
+
+    def observed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """How often each class is seen with each count of classes around it, the value itself left out."""
+        y, x, d, inner = places(key, pdf)
+        parts = []
+        for i, f in enumerate(cats):
+            v = np.full(shape, np.nan)
+            v[y, x, d] = pdf[f.name].to_numpy(float)
+            at = tuple(a[inner & ~np.isnan(v[y, x, d])] for a in (y, x, d))
+            own = np.searchsorted(np.asarray(f.classes, float), v[at]) if list(f.classes) == sorted(f.classes) else np.array([f.classes.index(int(c)) for c in v[at]], int)
+            day, cell = (c[(slice(None), *at)] for c in category_counts(v, f.classes))
+            for c in (day, cell):
+                c[own, np.arange(len(own))] -= 1
+            seen, n = np.unique(np.vstack([own, day, cell]).astype(int)[:, day.sum(0) + cell.sum(0) > 0], axis=1, return_counts=True)
+            parts.append(pd.DataFrame({"f": np.full(len(n), i), "seen": pd.Series(list(seen.T), dtype=object), "n": n}))
+        return pd.concat(parts)
+
+    if cats:
+        own_tile = [F.floor(F.col(c) / size).cast("int").alias(n) for c, size, n in (("iy", TILE, "__ty"), ("ix", TILE, "__tx"), ("__d", TILE_DAYS, "__tt"))]
+        keys = ["__ty", "__tx", "__tt"]
+        chosen = placed.select(*own_tile).distinct().orderBy(F.xxhash64(*keys), *keys).limit(FIT_TILES)
+        got = spread.join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys).applyInPandas(observed, "f int, seen array<int>, n long").groupBy("f", "seen").agg(F.sum("n").alias("n")).collect()
+        for i, f in enumerate(cats):
+            rows = sorted((tuple(r["seen"]), r["n"]) for r in got if r["f"] == i)
+            if rows:
+                k, seen = len(f.classes), np.array([r[0] for r in rows])
+                model[f.name] = fit_multinomial(seen[:, 0], seen[:, 1: k + 1].T.astype(float), seen[:, k + 1:].T.astype(float), np.array([r[1] for r in rows], float), model[f.name]["share"])
 
     def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, tt = (int(k) for k in key)
-        y0, x0, d0 = ty * TILE - SPACE, tx * TILE - SPACE, tt * TILE_DAYS - TIME
-        y, x, d = (pdf["iy"].to_numpy(np.int64) - y0, pdf["ix"].to_numpy(np.int64) - x0, pdf["__d"].to_numpy(np.int64) - d0)
-        shape = (TILE + 2 * SPACE, TILE + 2 * SPACE, TILE_DAYS + 2 * TIME)
-        inner = (y >= SPACE) & (y < TILE + SPACE) & (x >= SPACE) & (x < TILE + SPACE) & (d >= TIME) & (d < TILE_DAYS + TIME)
+        y, x, d, inner = places(key, pdf)
         at = (y[inner], x[inner], d[inner])
-        res = {"iy": pdf["iy"].to_numpy()[inner], "ix": pdf["ix"].to_numpy()[inner], "__d": pdf["__d"].to_numpy()[inner]}
+        res = {c: pdf[c].to_numpy()[inner] for c in ("iy", "ix", "__d")}
         for f in fields:
             v = np.full(shape, np.nan)
             v[y, x, d] = pdf[f.name].to_numpy(float)
@@ -158,7 +241,7 @@ def fill_missing(df: DataFrame, fields=FIELDS) -> DataFrame:
                 fit, n = numeric_fit(v, m["mu"], m["lam_cell"], m["lam_day"])
                 fit = np.clip(fit, f.low, f.high)
             else:
-                fit, n = category_fit(v, f.classes, m["share"])
+                fit, n = category_fit(v, f.classes, m)
             own = v[at]
             fill = np.isnan(own) & (n[at] > 0)
             res[f.name], res[f"{f.name}_filled"] = np.where(fill, fit[at], own), fill

@@ -128,4 +128,17 @@ def p6_filled(spark: SparkSession, d: str) -> DataFrame:
     return f.select("iy", "ix", "time", *[c for x in FIELDS for c in (F.round(x.name, 4).alias(x.name), F.col(f"{x.name}_filled"))])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_totals, p3_found, p3_neighbours, p3_regions, p4_found, p4_flags, p4_rules, p5_found, p5_clean, p6_found, p6_filled)}
+def p6_observed(spark: SparkSession, d: str) -> DataFrame:
+    """What was filled, and the observed values as they were."""
+    f = _filled(spark, d)
+    return f.select("iy", "ix", "time", *[c for x in FIELDS for c in (F.when(~F.col(f"{x.name}_filled"), F.round(x.name, 4)).alias(x.name), F.col(f"{x.name}_filled"))])
+
+
+def p6_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """The filled values of the numeric fields: predictions of the mixed-effects model."""
+    f = _filled(spark, d)
+    made = F.array(*[F.when(F.col(f"{x.name}_filled"), F.struct(F.lit(x.name).alias("field"), F.round(x.name, 5).alias("value"))) for x in FIELDS if x.name in ("prcp", "tmax")])
+    return f.select("iy", "ix", "time", F.explode(F.filter(made, lambda c: c.isNotNull())).alias("v")).select("iy", "ix", "time", "v.field", "v.value")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_totals, p3_found, p3_neighbours, p3_regions, p4_found, p4_flags, p4_rules, p5_found, p5_clean, p6_found, p6_filled, p6_observed, p6_numeric)}

@@ -75,6 +75,42 @@ AND (EXISTS (SELECT 1 FROM weather_daily v WHERE v.time = m.time AND v.iy BETWEE
   OR EXISTS (SELECT 1 FROM weather_daily v WHERE v.iy = m.iy AND v.ix = m.ix AND v.time BETWEEN m.time - 3 AND m.time + 3 AND NOT {c.replace(f, 'v.' + f)}))
 """ for f, c in _MISSING.items())
 
+
+
+def _p6_observed() -> str:
+    """Masks by neighbourhood counts, observed values as they are."""
+    once = ", ".join(f"max(CASE WHEN NOT {c} THEN CAST({f} AS DOUBLE) END) AS {f}" for f, c in _MISSING.items())
+    near = ", ".join(f"""n_{f} AS (SELECT m.iy, m.ix, m.time, 1 AS f_{f} FROM o m WHERE m.{f} IS NULL AND (
+        EXISTS (SELECT 1 FROM o v WHERE v.time = m.time AND v.iy BETWEEN m.iy - 2 AND m.iy + 2 AND v.ix BETWEEN m.ix - 2 AND m.ix + 2 AND v.{f} IS NOT NULL)
+        OR EXISTS (SELECT 1 FROM o v WHERE v.iy = m.iy AND v.ix = m.ix AND v.time BETWEEN m.time - 3 AND m.time + 3 AND v.{f} IS NOT NULL)))""" for f in _MISSING)
+    joins = " ".join(f"LEFT JOIN n_{f} USING (iy, ix, time)" for f in _MISSING)
+    return f"""WITH o AS (SELECT iy, ix, time, {once} FROM weather_daily GROUP BY 1, 2, 3), {near}
+    SELECT o.iy, o.ix, o.time, {", ".join(f"round(o.{f}, 4) AS {f}, f_{f} IS NOT NULL AS {f}_filled" for f in _MISSING)} FROM o {joins}"""
+
+
+def _p6_numeric(f: str, low: float, high: float) -> str:
+    """y = mu + day effect + cell effect, both shrunk by variance ratios, step by step."""
+    return f"""(WITH raw AS (SELECT iy, ix, time, CAST({f} AS DOUBLE) AS v FROM weather_daily WHERE NOT {_MISSING[f]}),
+    c AS (SELECT sum(n * w) / sum(n) AS within FROM (SELECT count(*) AS n, var_pop(v) AS w FROM raw GROUP BY iy, ix)),
+    t AS (SELECT sum(n * w) / sum(n) AS within FROM (SELECT count(*) AS n, var_pop(v) AS w FROM raw GROUP BY time)),
+    m AS (SELECT avg(v) AS mu, var_pop(v) AS total FROM raw),
+    k AS (SELECT mu, total, greatest(total - c.within, 0) AS cell, greatest(total - t.within, 0) AS day FROM m, c, t),
+    l AS (SELECT mu, least(rest / greatest(cell, 1e-12), 1e6) AS lc, least(rest / greatest(day, 1e-12), 1e6) AS ld
+          FROM (SELECT *, greatest(total - cell - day, 1e-6 * greatest(total, 1e-12), 1e-12) AS rest FROM k)),
+    o AS (SELECT iy, ix, time, max(v) AS v FROM (SELECT iy, ix, time, NULL::DOUBLE AS v FROM weather_daily UNION ALL SELECT * FROM raw) GROUP BY 1, 2, 3),
+    gone AS (SELECT iy, ix, time FROM o WHERE v IS NULL),
+    near AS (SELECT DISTINCT iy, ix, CAST(time + g.s AS DATE) AS day FROM gone, (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS s) g),
+    e AS (SELECT n.iy, n.ix, n.day, sum(o.v - l.mu) / (count(*) + any_value(l.ld)) AS effect, count(*) AS n
+          FROM near n JOIN o ON o.time = n.day AND o.iy BETWEEN n.iy - 2 AND n.iy + 2 AND o.ix BETWEEN n.ix - 2 AND n.ix + 2 CROSS JOIN l WHERE o.v IS NOT NULL GROUP BY 1, 2, 3),
+    d AS (SELECT g.iy, g.ix, g.time, any_value(CASE WHEN e.day = g.time THEN e.effect END) AS own, coalesce(avg(e.effect), 0) AS around, coalesce(any_value(CASE WHEN e.day = g.time THEN e.n END), 0) AS nd
+          FROM gone g LEFT JOIN e ON e.iy = g.iy AND e.ix = g.ix AND e.day BETWEEN g.time - 3 AND g.time + 3 GROUP BY 1, 2, 3),
+    h AS (SELECT g.iy, g.ix, g.time, count(o.v) AS nc, coalesce(sum(o.v - l.mu - e.effect), 0) AS s
+          FROM gone g LEFT JOIN o ON o.iy = g.iy AND o.ix = g.ix AND o.time BETWEEN g.time - 3 AND g.time + 3 AND o.v IS NOT NULL
+          LEFT JOIN e ON e.iy = o.iy AND e.ix = o.ix AND e.day = o.time CROSS JOIN l GROUP BY 1, 2, 3)
+    SELECT d.iy, d.ix, d.time, '{f}' AS field, round(greatest(least(l.mu + coalesce(d.own, d.around) + h.s / (h.nc + l.lc), {high}), {low}), 5) AS value
+    FROM d JOIN h USING (iy, ix, time) CROSS JOIN l WHERE d.nd + h.nc > 0)"""
+
+
 _P3 = """
 WITH s AS (SELECT DISTINCT station_id, lat, lon FROM stations WHERE isfinite(lat) AND isfinite(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180),
 p AS (SELECT a.station_id AS a, b.station_id AS b, 2 * 6371.0::DOUBLE * asin(least(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)), 1)) AS km
@@ -131,4 +167,6 @@ SELECT lat, lon, ids, count(*) AS positions, CAST(sum(n) AS BIGINT) AS neighbour
     + ", ".join(f"CASE WHEN fixed THEN TRY_CAST(trim(substr(line, {a}, {n}), ' ') AS DOUBLE) END AS {c}" for c, a, n in (("lat", 12, 9), ("lon", 21, 10), ("elev", 31, 7)))
     + ", CASE WHEN fixed THEN nullif(trim(substr(line, 39), ' '), '') END AS name FROM c JOIN e USING (line_id) WHERE e.reason IS NULL",
     "p6_found": _P6,
+    "p6_observed": _p6_observed(),
+    "p6_numeric": _p6_numeric("prcp", 0.0, 2000.0) + " UNION ALL " + _p6_numeric("tmax", -90.0, 60.0),
 }
