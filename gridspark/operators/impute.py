@@ -32,7 +32,7 @@ SPACE, TIME = 2, 3
 TILE, TILE_DAYS = 24, 30
 PRIOR = 1.0
 #: tiles whose observed values fit the multinomial model
-FIT_TILES = 64
+FIT_TILES = 16
 
 
 @dataclass(frozen=True)
@@ -182,15 +182,18 @@ def fill_missing(df: DataFrame, fields=FIELDS) -> DataFrame:
     names = [f.name for f in fields]
     model = variance_components(df, fields)
     epoch = F.lit("1970-01-01").cast("date")
-    once = df.groupBy("iy", "ix", "time").agg(*[F.max(valid_value(f)).alias(f.name) for f in fields])
-    placed = once.filter(F.col("iy").isNotNull() & F.col("ix").isNotNull() & F.col("time").isNotNull()).withColumn("__d", F.datediff(F.to_date("time"), epoch))
-
-    def tiles(c: str, r: int, size: int) -> Column:
-        at = lambda x: F.floor(x / size).cast("int")
-        return F.explode(F.sequence(at(F.col(c) - r), at(F.col(c) + r)))
-
-    spread = placed.withColumn("__ty", tiles("iy", SPACE, TILE)).withColumn("__tx", tiles("ix", SPACE, TILE)).withColumn("__tt", tiles("__d", TIME, TILE_DAYS))
-    spread = spread.select("__ty", "__tx", "__tt", "iy", "ix", "__d", *names)
+    values = [F.max(valid_value(f)).alias(f.name) for f in fields]
+    whole = F.col("iy").isNotNull() & F.col("ix").isNotNull() & F.col("time").isNotNull()
+    once = df.groupBy("iy", "ix", "time").agg(*values)
+    day = F.datediff(F.to_date("time"), epoch)
+
+    def tiles(d: DataFrame) -> DataFrame:
+        """Adds the tiles to which a row belongs, as one of their own or in their halo."""
+        for name, c, r, size in (("__ty", "iy", SPACE, TILE), ("__tx", "ix", SPACE, TILE), ("__tt", "__d", TIME, TILE_DAYS)):
+            d = d.withColumn(name, F.explode(F.sequence(F.floor((F.col(c) - r) / size).cast("int"), F.floor((F.col(c) + r) / size).cast("int"))))
+        return d
+
+    spread = tiles(once.filter(whole).withColumn("__d", day)).select("__ty", "__tx", "__tt", "iy", "ix", "__d", *names)
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("iy", "ix")) + ", __d int, " + ", ".join(f"{n} double, {n}_filled boolean" for n in names)
 
     cats = [f for f in fields if isinstance(f, Category)]
@@ -219,10 +222,13 @@ def fill_missing(df: DataFrame, fields=FIELDS) -> DataFrame:
         return pd.concat(parts)
 
     if cats:
-        own_tile = [F.floor(F.col(c) / size).cast("int").alias(n) for c, size, n in (("iy", TILE, "__ty"), ("ix", TILE, "__tx"), ("__d", TILE_DAYS, "__tt"))]
         keys = ["__ty", "__tx", "__tt"]
-        chosen = placed.select(*own_tile).distinct().orderBy(F.xxhash64(*keys), *keys).limit(FIT_TILES)
-        got = spread.join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys).applyInPandas(observed, "f int, seen array<int>, n long").groupBy("f", "seen").agg(F.sum("n").alias("n")).collect()
+        rows = df.filter(whole).withColumn("__d", day)
+        chosen = rows.select(*[F.floor(F.col(c) / size).cast("int").alias(n) for n, c, size in zip(keys, ("iy", "ix", "__d"), (TILE, TILE, TILE_DAYS))]).distinct()
+        chosen = chosen.orderBy(F.xxhash64(*keys), *keys).limit(FIT_TILES)
+        # repeated rows are merged after the choice, so only the chosen tiles are shuffled
+        part = tiles(rows).join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys, "iy", "ix", "__d").agg(*values)
+        got = part.groupBy(*keys).applyInPandas(observed, "f int, seen array<int>, n long").groupBy("f", "seen").agg(F.sum("n").alias("n")).collect()
         for i, f in enumerate(cats):
             rows = sorted((tuple(r["seen"]), r["n"]) for r in got if r["f"] == i)
             if rows:
@@ -249,6 +255,6 @@ def fill_missing(df: DataFrame, fields=FIELDS) -> DataFrame:
 
     done = spread.groupBy("__ty", "__tx", "__tt").applyInPandas(tile, schema)
     done = done.select("iy", "ix", F.date_from_unix_date("__d").alias("time"), *[x for n in names for x in (F.when(~F.isnan(n), F.col(n)).alias(n), F.col(f"{n}_filled"))])
-    lost = once.filter(F.col("iy").isNull() | F.col("ix").isNull() | F.col("time").isNull())
+    lost = once.filter(~whole)
     lost = lost.select("iy", "ix", F.to_date("time").alias("time"), *[x for n in names for x in (F.col(n), F.lit(False).alias(f"{n}_filled"))])
     return done.unionByName(lost)
