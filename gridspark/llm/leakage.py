@@ -6,8 +6,9 @@ normalised text meets every leak; each hit is extended word by word on both side
 words on. Documents are scanned where they lie: nothing of the corpus is shuffled. The positions of a hit are
 mapped back to the original markup.
 
-The evaluation side is split into automata of at most ``AUTOMATON_CHARS`` characters (a fixed bound on what is sent
-to the executors), one scan for each; the usual sets fit into one.
+The evaluation side is split into automata of at most ``AUTOMATON_CHARS`` characters (a fixed bound on what is on the
+driver at once and on what is sent to the executors), one scan for each; the usual sets fit into one. An automaton is
+built once, on the driver, and travels as bytes; a Python worker unpacks it once and keeps it for its later tasks.
 
 Defined results: case, punctuation, spacing, markup and invisible characters don't matter; evaluation texts under
 ``MIN_WORDS`` words can't leak; NULL texts and ids give no row; repeated documents and items give each pair once per
@@ -22,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.shared import broadcast_model
 from gridspark.llm.wikitext import render, words
 
 MIN_WORDS = 15
 BLOCK = (MIN_WORDS + 1) // 2
-AUTOMATON_CHARS = 50_000_000
+AUTOMATON_CHARS = 4_000_000
 
 
 class LeakFinder:
@@ -89,11 +91,13 @@ class LeakFinder:
         return [(n, c, int(pos[a + 1]), int(pos[max(a + 1, b - 2)]) + 1) for n, (c, a, b) in best.items()]
 
 
-def _finders(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple]]:
+def _groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
+    """(item, text) rows, about ``AUTOMATON_CHARS`` characters at a time; a group is let go before the next one is read."""
     rows = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-chars // AUTOMATON_CHARS) or 1
-    return [[(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["i"], r["t"]) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).toLocalIterator()]
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", where: bool = False) -> DataFrame:
@@ -101,9 +105,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     d = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}" + (", n_words int, start int, `end` int" if where else "")
     parts = []
-    for group in _finders(items, item_id, item_text):
-        def scan(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
-            finder = LeakFinder(group)
+    for group in _groups(items, item_id, item_text):
+        ready = broadcast_model(documents.sparkSession, LeakFinder(group))
+
+        def scan(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
+            finder = ready()
             for pdf in batches:
                 rows = []
                 for i, t in zip(pdf["doc_id"], pdf["text"]):

@@ -32,10 +32,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.shared import broadcast_model
 from gridspark.llm.wikitext import render, words
 from gridspark.session import cut_lineage
 
@@ -314,11 +314,10 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subject_table: DataFr
         return documents.sparkSession.createDataFrame([], schema)
     texts, sources, own = ([x[i] for x in marked] for i in range(3))
     plain = [x[:2] for x in got if x[2] is None]
-    # as bytes: a broadcast value is otherwise pickled by reference to this package, which executors may not have
-    model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(train(texts, sources, own, subjects, plain)))
+    model = broadcast_model(documents.sparkSession, train(texts, sources, own, subjects, plain))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = cloudpickle.loads(model.value)
+        m = model()
         for pdf in batches:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i: i + 1000]

@@ -15,7 +15,8 @@ import numpy as np
 
 #: templates whose arguments are text on the page
 SHOWN = frozenset("quote blockquote cquote quotation bq rquote quotebox zitat cita poemquote talkquote pullquote lang nowrap small big url center centre".split())
-MAX_DEPTH = 40
+#: longest beginning of a template name or link target that decides what becomes of it
+HEAD = 64
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _REF = re.compile(r"<(/?)ref(?=[\s/>])[^<>]*>", re.I)
 _BRACKET = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
@@ -32,6 +33,8 @@ _QUOTES = re.compile(r"'{2,}")
 _SWITCH = re.compile(r"__[A-Z]+__")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?")
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
+_SPACES = re.compile(r"\s+")
+_NAMED = re.compile(r"\s*\w{1,20}\s*=")
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -71,29 +74,70 @@ def _without_refs(s: str, off):
     return _slices(s, off, parts)
 
 
-def _first_text(s: str, parts: list[tuple[int, int]]) -> str:
-    return "".join(s[a:b] for a, b in parts[:3] if a >= 0)
+class _Part:
+    """What a closed template or link shows: slices and parts within it, and the beginning of its text."""
 
+    __slots__ = ("items", "head")
 
-def _template(s: str, args: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    name = _first_text(s, args[0]).strip().lower()
+    def __init__(self, s: str, items: list):
+        self.items, self.head = items, _head(s, items)
+
+
+def _head(s: str, items: list) -> str:
+    """The first ``HEAD`` characters, runs of white space as one space, none in front."""
+    out = ""
+    for x in items:
+        if isinstance(x, _Part):
+            t = x.head
+        elif x[0] < 0:
+            t = " "
+        else:
+            t = s[x[0]: min(x[1], x[0] + 4 * HEAD)]
+            if x[1] > x[0] + 4 * HEAD and len(_SPACES.sub(" ", t)) < HEAD:
+                t = s[x[0]: x[1]]
+        out = _SPACES.sub(" ", out + _SPACES.sub(" ", t)[:HEAD + 1]).lstrip()
+        if len(out) >= HEAD:
+            break
+    return out[:HEAD]
+
+
+def _flat(items: list) -> list[tuple[int, int]]:
+    """The slices of a tree of parts, in order."""
+    out, todo = [], [iter(items)]
+    while todo:
+        for x in todo[-1]:
+            if isinstance(x, _Part):
+                todo.append(iter(x.items))
+                break
+            out.append(x)
+        else:
+            todo.pop()
+    return out
+
+
+def _spaced(args: list[list]) -> list:
+    return [x for a in args for x in [*a, (-1, 0)]]
+
+
+def _template(s: str, args: list[list]) -> list:
+    name = _head(s, args[0]).strip().lower()
     if name == "convert":
-        return [x for a in args[1:3] for x in [*a, (-1, 0)]]
+        return _spaced(args[1:3])
     if name.replace(" ", "") not in SHOWN:
         return []
-    shown: list[tuple[int, int]] = [(-1, 0)]
-    for k, arg in enumerate(args[2:] if name == "lang" else args[1:]):
-        if arg and arg[0][0] >= 0:
+    shown: list = [(-1, 0)]
+    for arg in args[2:] if name == "lang" else args[1:]:
+        if arg and not isinstance(arg[0], _Part) and arg[0][0] >= 0:
             a, b = arg[0]
-            named = re.match(r"\s*\w{1,20}\s*=", s[a:b])
-            arg = [(a + named.end(), b), *arg[1:]] if named else arg
+            named = _NAMED.match(s, a, b)
+            arg = [(named.end(), b), *arg[1:]] if named else arg
         shown += [*arg, (-1, 0)]
     return shown
 
 
-def _link(s: str, args: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    target = _first_text(s, args[0])
-    if target.lstrip().startswith(":"):
+def _link(s: str, args: list[list]) -> list:
+    target = _head(s, args[0])
+    if target.startswith(":"):
         return args[-1]
     if _HIDDEN_LINK.match(target):
         return []
@@ -103,13 +147,16 @@ def _link(s: str, args: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
 
 
 def _without_brackets(s: str, off):
-    """Templates and links by one pass with a stack; what is never closed stays as text."""
-    base: list[tuple[int, int]] = []
+    """Templates and links by one pass with a stack; what is never closed stays as text. Each frame's content is handed on
+    as one part, whatever it holds, so the time is linear at any depth."""
+    base: list = []
     stack: list[tuple[str, list]] = []
+    open_ = {"{{": 0, "[[": 0}
     at = 0
 
-    def put(parts: list[tuple[int, int]]) -> None:
-        (stack[-1][1][-1] if stack else base).extend(parts)
+    def put(items: list) -> None:
+        if items:
+            (stack[-1][1][-1] if stack else base).append(items[0] if len(items) == 1 else _Part(s, items))
 
     for m in _BRACKET.finditer(s):
         tok, a, b = m[0], m.start(), m.end()
@@ -120,23 +167,25 @@ def _without_brackets(s: str, off):
         at = b
         if tok == "|":
             stack[-1][1].append([])
-        elif tok in ("{{", "[["):
-            if len(stack) < MAX_DEPTH:  # deeper ones are no markup anybody renders
-                stack.append((tok, [[]]))
+        elif tok in open_:
+            stack.append((tok, [[]]))
+            open_[tok] += 1
         else:
             opener = "{{" if tok == "}}" else "[["
-            if not any(k == opener for k, _ in stack[-4:]):
+            if not open_[opener]:
                 continue
-            while stack[-1][0] != opener:
-                _, args = stack.pop()
-                put([x for g in args for x in [*g, (-1, 0)]])
-            _, args = stack.pop()
+            while True:
+                kind, args = stack.pop()
+                open_[kind] -= 1
+                if kind == opener:
+                    break
+                put(_spaced(args))
             put(_template(s, args) if tok == "}}" else _link(s, args))
     if at < len(s):
         put([(at, len(s))])
     for _, args in stack:  # what an open frame holds comes before what the frames inside it hold
-        base += [x for g in args for x in [*g, (-1, 0)]]
-    return _slices(s, off, base)
+        base += _spaced(args)
+    return _slices(s, off, _flat(base))
 
 
 def _tag(m: re.Match) -> str:
