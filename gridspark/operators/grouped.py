@@ -28,6 +28,9 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], at_once:
     for pdf in batches:
         if not len(pdf):
             continue
+        if rest and not len(group_starts(pd.concat([rest[0].iloc[:1], pdf.iloc[[-1]]]), keys)[1:]):
+            rest.append(pdf)  # sorted rows: all of it belongs to the group that waits
+            continue
         if rest:
             pdf = pd.concat([*rest, pdf], ignore_index=True)
         start = group_starts(pdf, keys)
@@ -36,4 +39,4 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], at_once:
             yield pdf.iloc[start[i]: start[j]].reset_index(drop=True), start[i:j] - start[i]
         rest = [pdf.iloc[start[-1]:].reset_index(drop=True)]
     if rest:
-        yield rest[0], np.array([0])
+        yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0], np.array([0])

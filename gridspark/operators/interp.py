@@ -1,21 +1,24 @@
 """Station values onto grid nodes and fine cells: neighbour tables, two-pass Barnes analysis, inverse-distance weighting
 in log space, bilinear refinement, bounded gap filling.
 
-Distances don't depend on the day, so the neighbour table is built once, by a bucketed equi-join, and every day is an
-equi-join of observations with it and a hash aggregate; nothing loops over days, nodes or stations.
+Distances don't depend on the day, so the neighbour table is built once, by a bucketed equi-join. Targets are cut into
+blocks a few radii wide and days into stretches; per block and stretch the neighbours make one weight matrix, the
+observations another, and their product gives all values at once. So what is shuffled is the neighbour table and the
+observations, never their product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions.missing import finite
 from gridspark.operators.grid import Grid
-from gridspark.session import cut_lineage
 
 BARNES_RADIUS_KM, IDW_RADIUS_KM = 150.0, 50.0
 MIN_NEIGHBOURS = 3
@@ -48,35 +51,39 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x",
     return a.join(b, ["__bx", "__by"]).withColumn("d2", d2).filter(F.col("d2") <= float(radius) ** 2).drop("__bx", "__by", *(c for c in (rx, ry) if c.startswith("__r_")))
 
 
-def nearest_spacing(df: DataFrame, key: str, x: str, y: str, start: float, k: int = 1) -> DataFrame:
-    """``key, spacing``: mean distance to the k nearest other points, for any k and spread of points.
+def nearest_spacing(df: DataFrame, key: str, x: str, y: str, k: int = 1, levels: int = 12) -> DataFrame:
+    """``key, spacing``: mean distance to the k nearest points of other keys, for any k and spread of points.
 
-    Searches rings of doubling radius: points that already have k neighbours within the radius leave, the rest look
-    further, so dense places never meet far candidates. Points of the same position have distance 0 from each other.
+    Squares of ``levels`` sizes, each a quarter as wide as the last, are counted; a point looks as far as the diagonal of
+    the smallest square around it that holds k other keys, which is far enough, and one equi-join on the squares of
+    each size gives all candidates: few where points are dense, and no round is ever repeated. Points of the same
+    position have distance 0 from each other; with fewer than k other keys all of them count, with none it is NULL.
     """
-    pts = df.filter(F.col(key).isNotNull() & finite(F.col(x)) & finite(F.col(y))).select(F.col(key).alias("k1"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    total = pts.count()
-    need, radius, open_, parts = min(k, total - 1), float(start), pts, []
+    pts = df.filter(F.col(key).isNotNull() & finite(F.col(x)) & finite(F.col(y))).select(F.col(key).alias("k1"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
+    r = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count_distinct("k1")).first()
+    need = min(k, (r[4] or 0) - 1)
     if need < 1:
-        return pts.select(F.col("k1").alias(key), F.lit(None).cast("double").alias("spacing"))
-    other = pts.withColumnRenamed("k1", "k2")
-    while True:
-        pairs = radius_join(open_, other, radius).filter(F.col("k1") != F.col("k2"))
-        if need == 1:
-            near = pairs.groupBy("k1").agg(F.sqrt(F.min("d2")).alias("spacing"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("k1").orderBy("d2"))
-            near = pairs.withColumn("rank", rank).filter(F.col("rank") <= need).groupBy("k1").agg(F.avg(F.sqrt("d2")).alias("spacing"), F.count("*").alias("n")).filter(F.col("n") == need).drop("n")
-        parts.append(near)
-        # each round builds on what the last one left; without a cut the plan would double with every round
-        open_ = cut_lineage(open_.join(near.select("k1"), "k1", "left_anti"))
-        if open_.isEmpty():
-            break
-        radius *= 4
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("k1", key)
+        return pts.select(F.col("k1").alias(key), F.lit(None).cast("double").alias("spacing")).distinct()
+    wide = max(r[1] - r[0], r[3] - r[2]) * (1 + 1e-9) or 1.0
+    side = F.lit(wide) / F.pow(F.lit(4.0), F.col("l"))
+    square = {"bx": F.floor((F.col("x") - r[0]) / side), "by": F.floor((F.col("y") - r[2]) / side)}
+    every = pts.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns(square)
+    full = every.groupBy("l", "bx", "by").agg(F.count_distinct("k1").alias("n")).filter(F.col("n") > need)
+    own = every.join(full, ["l", "bx", "by"]).groupBy("k1", "x", "y").agg(F.max("l").alias("l"))
+    # one square of twice that side holds the diagonal on every side
+    double = {"bx": F.floor((F.col("x") - r[0]) / (2 * side)), "by": F.floor((F.col("y") - r[2]) / (2 * side))}
+    a = own.withColumns(double).withColumn("b", F.explode(F.array(*[F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    a = a.select("k1", "x", "y", "l", "b.bx", "b.by")
+    used = own.select("l").distinct()
+    other = pts.crossJoin(F.broadcast(used)).withColumns(double).select(F.col("k1").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "l", "bx", "by")
+    d2 = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)
+    pairs = a.join(other, ["l", "bx", "by"]).filter(F.col("k1") != F.col("k2")).groupBy("k1", "k2").agg(F.min(d2).alias("d2")) if need > 1 else a.join(other, ["l", "bx", "by"]).filter(F.col("k1") != F.col("k2")).select("k1", d2.alias("d2"))
+    if need == 1:
+        near = pairs.groupBy("k1").agg(F.sqrt(F.min("d2")).alias("spacing"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("k1").orderBy("d2"))
+        near = pairs.withColumn("rank", rank).filter(F.col("rank") <= need).groupBy("k1").agg(F.avg(F.sqrt("d2")).alias("spacing"))
+    return near.withColumnRenamed("k1", key)
 
 
 def spacing_summary(df: DataFrame, spacing: str = "spacing") -> DataFrame:
@@ -86,59 +93,126 @@ def spacing_summary(df: DataFrame, spacing: str = "spacing") -> DataFrame:
     return d.select("n", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "max")
 
 
-def _weights(d2: Column, k: float) -> Column:
-    return F.exp(-d2 / F.lit(float(k)))
-
-
 def neighbours(nodes: DataFrame, stations: DataFrame, radius: float) -> DataFrame:
     """``iy, ix, station_id, d2`` of nodes (``iy, ix, x, y``) and stations (``station_id, x, y``)."""
     return radius_join(nodes.select("iy", "ix", "x", "y"), stations.select("station_id", "x", "y"), radius).select("iy", "ix", "station_id", "d2")
 
 
-def _by_day(df: DataFrame) -> DataFrame:
-    """Narrow observations spread by day: a node's sums for a day then stay where the join makes them, so the wide
-    result of the join (observations times neighbours) is never shuffled. The number of partitions is explicit, as the
-    observations are too small for their own size to ask for the parallelism that the join needs."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "date")
+#: days of a stretch, width of a block of targets in radii, targets whose weights are held at once
+STRETCH, BLOCK_RADII, AT_ONCE = 128, 4, 256
+
+
+def _by_matrix(obs: DataFrame, values: Sequence[str], stations: DataFrame, targets: DataFrame, keys: Sequence[str], radius: float,
+               compute: Callable[[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``date, keys, value`` at targets (``keys, x, y``) from observations (``date, station_id`` and ``values``).
+
+    ``compute(near, d2, v, rank)`` gets, for some targets of a block and the days of a stretch, which stations are within
+    the radius (targets x stations) and how far, per value the (stations x days) matrix with NaN for missing, and the
+    stations' order by id; it gives (values, which of them there are), targets x days.
+    """
+    keys, values = list(keys), list(values)
+    side = F.lit(float(radius * BLOCK_RADII))
+    t = targets.select(*keys, "x", "y").withColumns({"__tx": F.floor(F.col("x") / side), "__ty": F.floor(F.col("y") / side)})
+    s = stations.select(F.col("station_id").alias("__s"), "x", "y")
+    near = radius_join(t, s, radius).select("__tx", "__ty", *keys, "__s", "d2")
+    epoch = F.lit("1970-01-01").cast("date")
+    o = obs.withColumns({"__d": F.datediff("date", epoch)}).withColumn("__q", F.floor(F.col("__d") / STRETCH).cast("int"))
+    spots = near.select("__tx", "__ty", "__s").distinct().toDF("__ox", "__oy", "__s")
+    o = o.withColumnRenamed("station_id", "__s").join(spots, "__s").select("__ox", "__oy", F.col("__q").alias("__oq"), "__d", "__s", *values)
+    stretches = obs.select(F.floor(F.datediff("date", epoch) / STRETCH).cast("int").alias("__q")).distinct()  # of the calendar's size
+    near = near.crossJoin(F.broadcast(stretches))
+    kinds = {f.name: f.dataType.simpleString() for f in targets.select(*keys).schema}
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("__d", *keys, "value")})
+        if a.empty or b.empty:
+            return empty
+        ids = np.unique(a["__s"].to_numpy())
+        days, day = np.unique(a["__d"].to_numpy(), return_inverse=True)
+        station = np.searchsorted(ids, a["__s"].to_numpy())
+        v = []
+        for c in values:
+            m = np.full((len(ids), len(days)), np.nan)
+            m[station, day] = a[c].to_numpy(float)
+            v.append(m)
+        b = b[b["__s"].isin(ids)]
+        target, names = b.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), b[keys].drop_duplicates()
+        col, d2 = np.searchsorted(ids, b["__s"].to_numpy()), b["d2"].to_numpy(float)
+        order = np.argsort(target, kind="stable")
+        target, col, d2 = target[order], col[order], d2[order]
+        parts = []
+        for first in range(0, len(names), AT_ONCE):
+            n = min(AT_ONCE, len(names) - first)
+            lo, hi = np.searchsorted(target, [first, first + n])
+            here, far = np.zeros((n, len(ids)), bool), np.zeros((n, len(ids)))
+            here[target[lo:hi] - first, col[lo:hi]], far[target[lo:hi] - first, col[lo:hi]] = True, d2[lo:hi]
+            out, ok = compute(here, far, v, np.arange(len(ids)))
+            i, j = np.nonzero(ok)
+            parts.append(pd.DataFrame({"__d": days[j], **{k: names[k].to_numpy()[first + i] for k in keys}, "value": out[i, j]}))
+        return pd.concat(parts) if parts else empty
+
+    done = o.groupBy("__ox", "__oy", "__oq").cogroup(near.groupBy("__tx", "__ty", "__q")).applyInPandas(block, "__d int, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", value double")
+    return done.select(F.date_from_unix_date("__d").alias("date"), *keys, "value")
+
+
+def _mean(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted means, sums of weights) of the valid values, targets x days."""
+    ok = ~np.isnan(v)
+    den = w @ ok
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den > 0, (w @ np.where(ok, v, 0.0)) / den, np.nan), den
 
 
 def barnes(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float = BARNES_RADIUS_KM, k: float = BARNES_KAPPA, gamma: float = GAMMA, min_neighbours: int = MIN_NEIGHBOURS, passes: int = 2) -> DataFrame:
     """``date, iy, ix, value`` of observations (``date, station_id, value``): Gaussian means of the stations within the
     radius, corrected in a second pass by the sharper-weighted residuals at the stations.
 
-    A node needs ``min_neighbours`` valid stations that day; stations need none for their first guess.
+    A node needs ``min_neighbours`` valid stations that day; stations need none for their first guess. Repeated
+    (date, station_id) rows count once, with the largest value.
     """
-    o = obs.filter(finite(F.col("value"))).select("date", "station_id", F.col("value").cast("double").alias("v"))
+    o = obs.filter(finite(F.col("value")) & F.col("date").isNotNull()).groupBy("date", "station_id").agg(F.max(F.col("value").cast("double")).alias("v"))
     # distances only between what is ever observed and what is asked for
-    stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi")
-    at_nodes = neighbours(nodes, stations, radius)
-    w, w2 = _weights(F.col("d2"), k), _weights(F.col("d2"), gamma * k)
+    stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi").select("station_id", "x", "y")
+
+    def first(near: np.ndarray, d2: np.ndarray, v: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        guess, den = _mean(np.where(near, np.exp(-d2 / k), 0.0), v[0])
+        return guess, near.astype(float) @ ~np.isnan(v[0]) >= least
+
+    def both(near: np.ndarray, d2: np.ndarray, v: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        guess, den = _mean(np.where(near, np.exp(-d2 / k), 0.0), v[0])
+        more, _ = _mean(np.where(near, np.exp(-d2 / (gamma * k)), 0.0), v[1])
+        return guess + np.nan_to_num(more), near.astype(float) @ ~np.isnan(v[0]) >= min_neighbours
+
+    least = min_neighbours
     if passes == 1:
-        g = _by_day(o).join(at_nodes, "station_id").groupBy("date", "iy", "ix").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("value"), F.count("*").alias("n"))
-        return g.filter(F.col("n") >= min_neighbours).drop("n")
-    s = stations.select("station_id", "x", "y")
-    pairs = radius_join(s.withColumnRenamed("station_id", "s1"), s, radius).select("s1", "station_id", "d2")
-    guess = _by_day(o).join(pairs, "station_id").groupBy("date", "s1").agg((F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("guess")).withColumnRenamed("s1", "station_id")
-    r = o.join(guess, ["date", "station_id"], "left").withColumn("r", F.coalesce(F.col("v") - F.col("guess"), F.lit(0.0)))
-    # one join and one aggregate give both passes
-    g = _by_day(r).join(at_nodes, "station_id").groupBy("date", "iy", "ix").agg(
-        (F.sum(w * F.col("v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("first"), (F.sum(w2 * F.col("r")) / F.nullif(F.sum(w2), F.lit(0.0))).alias("second"), F.count("*").alias("n"))
-    return g.filter(F.col("n") >= min_neighbours).select("date", "iy", "ix", (F.col("first") + F.coalesce("second", F.lit(0.0))).alias("value"))
+        g = _by_matrix(o, ["v"], stations, nodes, ["iy", "ix"], radius, first)
+        return g.select("date", "iy", "ix", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    least = 1
+    at = _by_matrix(o, ["v"], stations, stations.withColumnRenamed("station_id", "s1"), ["s1"], radius, first).select("date", F.col("s1").alias("station_id"), F.col("value").alias("guess"))
+    r = o.join(at, ["date", "station_id"], "left").withColumn("r", F.coalesce(F.col("v") - F.nanvl("guess", F.lit(None).cast("double")), F.lit(0.0)))
+    g = _by_matrix(r, ["v", "r"], stations, nodes, ["iy", "ix"], radius, both)
+    return g.select("date", "iy", "ix", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
 def idw_log(obs: DataFrame, stations: DataFrame, nodes: DataFrame, radius: float = IDW_RADIUS_KM, min_neighbours: int = MIN_NEIGHBOURS, drizzle: float = DRIZZLE) -> DataFrame:
     """``date, iy, ix, value``: inverse-square-distance mean of log1p; a node on a station takes its value (that of the
-    smallest station id), results below ``drizzle`` are 0. Negative and missing values don't count."""
-    o = obs.filter(finite(F.col("value")) & (F.col("value") >= 0)).select("date", "station_id", F.log1p(F.col("value").cast("double")).alias("lv"))
+    smallest station id), results below ``drizzle`` are 0. Negative and missing values don't count; repeated
+    (date, station_id) rows count once, with the largest value."""
+    o = obs.filter(finite(F.col("value")) & (F.col("value") >= 0) & F.col("date").isNotNull()).groupBy("date", "station_id").agg(F.max(F.log1p(F.col("value").cast("double"))).alias("lv"))
     stations = stations.join(o.select("station_id").distinct(), "station_id", "left_semi")
-    # stations on the node itself are ranked once, as numbers: a hash aggregate can't keep strings
-    near = neighbours(nodes, stations, radius)
-    rank = F.when(F.col("d2") == 0, F.row_number().over(Window.partitionBy("iy", "ix", F.col("d2") == 0).orderBy("station_id")))
-    near = near.select("iy", "ix", "station_id", rank.alias("rank"), (1 / F.nullif("d2", F.lit(0.0))).alias("w"))
-    g = _by_day(o).join(near, "station_id").groupBy("date", "iy", "ix").agg(
-        F.min_by(F.when(F.col("rank").isNotNull(), F.col("lv")), F.col("rank")).alias("hit"), F.sum(F.col("lv") * F.col("w")).alias("num"), F.sum("w").alias("den"), F.count("*").alias("n"))
-    v = F.expm1(F.coalesce("hit", F.col("num") / F.nullif("den", F.lit(0.0))))
-    return g.filter(F.col("n") >= min_neighbours).select("date", "iy", "ix", F.when(v < drizzle, F.lit(0.0)).otherwise(v).alias("value"))
+
+    def compute(near: np.ndarray, d2: np.ndarray, v: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore"):
+            out, _ = _mean(np.where(near & (d2 > 0), 1 / d2, 0.0), v[0])
+        on = near & (d2 == 0)
+        for i in np.nonzero(on.any(1))[0]:
+            for j in rank[on[i]][::-1]:  # the smallest id is written last
+                out[i] = np.where(np.isnan(v[0][j]), out[i], v[0][j])
+        out = np.expm1(out)
+        return np.where(out < drizzle, 0.0, out), near.astype(float) @ ~np.isnan(v[0]) >= min_neighbours
+
+    g = _by_matrix(o, ["lv"], stations, nodes, ["iy", "ix"], radius, compute)
+    return g.select("date", "iy", "ix", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
 def bilinear(values: DataFrame, coarse: Grid, fine: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:

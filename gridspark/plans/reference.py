@@ -221,7 +221,7 @@ def _spacing(spark: SparkSession, d: str) -> DataFrame:
     s = positions(spark, d)
     mean = s.agg(F.avg("lat")).first()[0]
     x, y = equirectangular_km(F.col("lat"), F.col("lon"), mean or 0.0)
-    return interp.nearest_spacing(s.select("station_id", x.alias("x"), y.alias("y")), "station_id", "x", "y", 10.0)
+    return interp.nearest_spacing(s.select("station_id", x.alias("x"), y.alias("y")), "station_id", "x", "y")
 
 
 @query(_SPACING_SQL + " SELECT station_id, round(spacing, 6) AS spacing FROM sp")

@@ -137,9 +137,9 @@ def test_population_deviation_and_percentiles(spark):
 
 def test_spacing(spark):
     d = spark.createDataFrame([("a", 0.0, 0.0), ("b", 3.0, 4.0), ("c", 3.0, 4.0), ("d", 500.0, 0.0), ("e", None, 1.0)], "k string, x double, y double")
-    assert {r["k"]: r["spacing"] for r in interp.nearest_spacing(d, "k", "x", "y", 1.0).collect()} == pytest.approx({"a": 5.0, "b": 0.0, "c": 0.0, "d": math.hypot(497, 4)})
-    assert {r["k"]: r["spacing"] for r in interp.nearest_spacing(d, "k", "x", "y", 1.0, 2).collect()}["b"] == pytest.approx(2.5)
-    assert interp.nearest_spacing(d.limit(1), "k", "x", "y", 1.0).first()["spacing"] is None
+    assert {r["k"]: r["spacing"] for r in interp.nearest_spacing(d, "k", "x", "y").collect()} == pytest.approx({"a": 5.0, "b": 0.0, "c": 0.0, "d": math.hypot(497, 4)})
+    assert {r["k"]: r["spacing"] for r in interp.nearest_spacing(d, "k", "x", "y", 2).collect()}["b"] == pytest.approx(2.5)
+    assert interp.nearest_spacing(d.limit(1), "k", "x", "y").first()["spacing"] is None
 
 
 def test_asof_daily(spark):
