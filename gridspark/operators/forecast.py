@@ -1,8 +1,8 @@
 """Forecast cubes and ConvLSTM inference.
 
-The network runs in numpy inside ``applyInPandas``, one spatial tile of one sequence at a time. A 3 x 3 convolution spreads
-one cell a step, so a tile with a halo of ``(steps) * (kernel // 2)`` cells around it gives exactly what the whole area
-would; zero padding happens only at the true edges of the domain.
+The network runs in numpy inside ``applyInPandas``, one spatial tile of a few sequences at a time, which share the steps
+they have in common. A 3 x 3 convolution spreads one cell a step, so a tile with a halo of ``(steps) * (kernel // 2)``
+cells around it gives exactly what the whole area would; zero padding happens only at the true edges of the domain.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import to_half
-from gridspark.operators.windows import WindowSpec, sequence_windows
+from gridspark.operators.windows import WindowSpec
 
 CLAMP = 1e6
 
@@ -112,44 +112,50 @@ def random_weights(n_in: int, hidden: int, kernel: int = 3, target: int = 1, two
     return w
 
 
-def predict(cube: DataFrame, spec: WindowSpec, features: Sequence[str], weights: dict[str, np.ndarray], tile: int = 64, doy: bool = True, time: str = "time", it: str = "it") -> DataFrame:
+def predict(cube: DataFrame, spec: WindowSpec, features: Sequence[str], weights: dict[str, np.ndarray], tile: int = 128, doy: bool = True, time: str = "time", it: str = "it", block: int = 8) -> DataFrame:
     """``seq, lead, iy, ix, pred`` for every sequence (stride and patches of ``spec`` don't apply: whole area, stride 1).
 
-    Cells missing from the cube count as 0, as at the edge of the domain.
+    Cells missing from the cube count as 0, as at the edge of the domain. ``block`` sequences are predicted by one task
+    from ``block + l_in - 1`` steps, so a step is sent to about ``1 + l_in / block`` tasks, not to every window it is in.
     """
     s = WindowSpec(spec.steps, spec.ny, spec.nx, spec.l_in, spec.l_out)
     kernel = next(a for n, a in weights.items() if n.endswith("conv.weight")).shape[-1]
-    halo = halo_cells(s.l_in, s.l_out, kernel, stacked(weights))
-    d = sequence_windows(cube, s, it)
-    at = lambda c, v: F.floor((F.col(c) + v) / tile).cast("int")
-    last_y, last_x = (s.ny - 1) // tile, (s.nx - 1) // tile
-    span = lambda c, last: F.explode(F.sequence(F.greatest(at(c, -halo), F.lit(0)), F.least(at(c, halo), F.lit(last))))
-    d = d.withColumn("ty", span("iy", last_y)).withColumn("tx", span("ix", last_x))
+    halo, n = halo_cells(s.l_in, s.l_out, kernel, stacked(weights)), len(features)
+    schema = "seq int, lead int, iy int, ix int, pred double"
+    if s.n_sequences == 0:
+        return cube.sparkSession.createDataFrame([], schema)
     from gridspark.functions.scalar import doy_encoding
 
-    sin, cos = doy_encoding(F.col(time))
-    inputs = [F.when(F.col("role") == "x", F.col(f).cast("float")).alias(f"f{k}") for k, f in enumerate(features)]
-    d = d.select("seq", "ty", "tx", "step", "iy", "ix", *inputs, sin.alias("sin"), cos.alias("cos"))
-    n, spec_in = len(features), s
+    # the calendar: two numbers a step
+    days = np.zeros((s.steps, 2))
+    for r in cube.select(F.col(it).alias("i"), *[c.alias(k) for c, k in zip(doy_encoding(F.col(time)), "sc")]).distinct().filter(F.col("i").between(0, s.steps - 1)).collect():
+        days[r["i"]] = r["s"], r["c"]
+    i = F.col(it)
+    first, last = F.greatest(i - (s.l_in - 1), F.lit(0)), F.least(i, F.lit(s.n_sequences - 1))
+    at = lambda c, v, size: F.floor((F.col(c) + v) / size).cast("int")
+    span = lambda c, n_cells: F.explode(F.sequence(F.greatest(at(c, -halo, tile), F.lit(0)), F.least(at(c, halo, tile), F.lit((n_cells - 1) // tile))))
+    d = cube.filter(first <= last).withColumn("b", F.explode(F.sequence(F.floor(first / block).cast("int"), F.floor(last / block).cast("int"))))
+    d = d.withColumn("ty", span("iy", s.ny)).withColumn("tx", span("ix", s.nx))
+    d = d.select("b", "ty", "tx", i.cast("int").alias("step"), "iy", "ix", *[F.col(f).cast("float").alias(f"f{k}") for k, f in enumerate(features)])
+    names = [f"f{k}" for k in range(n)]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, ty, tx = (int(k) for k in key)
-        y0, y1 = max(ty * tile - halo, 0), min((ty + 1) * tile + halo, spec_in.ny)
-        x0, x1 = max(tx * tile - halo, 0), min((tx + 1) * tile + halo, spec_in.nx)
-        step = pdf["step"].to_numpy(int)
-        iy, ix = pdf["iy"].to_numpy(int) - y0, pdf["ix"].to_numpy(int) - x0
-        x, days = np.zeros((spec_in.l_in, n, y1 - y0, x1 - x0)), np.zeros((spec_in.length, 2))
-        days[step] = pdf[["sin", "cos"]].to_numpy(float)
-        own = step < spec_in.l_in
-        for k in range(n):
-            x[step[own], k, iy[own], ix[own]] = np.nan_to_num(pdf[f"f{k}"].to_numpy(float)[own])
-        out = run_network(weights, x, days[: spec_in.l_in] if doy else None, days[spec_in.l_in:] if doy else None, spec_in.l_out)[:, 0]
-        a, b = ty * tile - y0, tx * tile - x0
-        out = out[:, a: a + tile, b: b + tile][:, : spec_in.ny - ty * tile, : spec_in.nx - tx * tile]
-        lead, yy, xx = (v.ravel() for v in np.indices(out.shape))
-        return pd.DataFrame({"seq": seq, "lead": lead + 1, "iy": yy + ty * tile, "ix": xx + tx * tile, "pred": out.ravel()})
-
-    return d.groupBy("seq", "ty", "tx").applyInPandas(run, "seq int, lead int, iy int, ix int, pred double")
+        b, ty, tx = (int(k) for k in key)
+        y0, y1 = max(ty * tile - halo, 0), min((ty + 1) * tile + halo, s.ny)
+        x0, x1 = max(tx * tile - halo, 0), min((tx + 1) * tile + halo, s.nx)
+        x = np.zeros((block + s.l_in - 1, n, y1 - y0, x1 - x0))
+        step = pdf["step"].to_numpy(int) - b * block
+        x[step, :, pdf["iy"].to_numpy(int) - y0, pdf["ix"].to_numpy(int) - x0] = np.nan_to_num(pdf[names].to_numpy(float))
+        a, c, parts = ty * tile - y0, tx * tile - x0, []
+        for k in range(min(block, s.n_sequences - b * block)):
+            seq = b * block + k
+            out = run_network(weights, x[k: k + s.l_in], days[seq: seq + s.l_in] if doy else None, days[seq + s.l_in: seq + s.length] if doy else None, s.l_out)[:, 0]
+            out = out[:, a: a + tile, c: c + tile][:, : s.ny - ty * tile, : s.nx - tx * tile]
+            lead, yy, xx = (v.ravel() for v in np.indices(out.shape))
+            parts.append(pd.DataFrame({"seq": seq, "lead": lead + 1, "iy": yy + ty * tile, "ix": xx + tx * tile, "pred": out.ravel()}))
+        return pd.concat(parts)
+
+    return d.groupBy("b", "ty", "tx").applyInPandas(run, schema)
 
 
 # --- forecast cube ---------------------------------------------------------------------------------------------
@@ -221,3 +227,54 @@ def score(forecast: DataFrame, cube: DataFrame, flag: str = "LAI_flag", time: st
     f = valid_date(forecast.filter("lead > 0")).withColumnRenamed("LAI_norm", "pred")
     obs = cube.select(F.to_date(F.col(time)).alias("valid_date"), "iy", "ix", F.col("LAI_norm").cast("double").alias("true"), F.col(flag).cast("int").alias("flag"))
     return f.join(obs, ["valid_date", "iy", "ix"]).select("init_date", "lead", "iy", "ix", "pred", "true", "flag")
+
+
+@dataclass(frozen=True)
+class Inference:
+    """What a forecast run needs beside the cube and the network."""
+
+    l_in: int
+    l_out: int
+    features: tuple[str, ...] = ("LAI_norm", "LAI_flag")
+    first_lead: int | None = None
+    last_lead: int | None = None
+    tail: str = "zero"
+    half: bool = True
+
+    def leads(self) -> Leads | None:
+        if (self.first_lead is None) != (self.last_lead is None):
+            raise ValueError("the first and the last lead time go together")
+        if self.first_lead is None:
+            return None
+        leads = Leads(self.first_lead, self.last_lead)
+        leads.check(self.l_out)
+        return leads
+
+
+def run_forecast(cube: DataFrame, weights: dict[str, np.ndarray], run: Inference, flags: DataFrame | None = None, flag: str = "LAI_flag", output: str | None = None, append: bool = False, time: str = "time") -> tuple[DataFrame, int]:
+    """(forecast cube, number of init times stored before it): from a cube of ``time, iy, ix`` and the features.
+
+    ``flags`` (``time, iy, ix`` and ``flag``, over the same labels) replaces the cube's flag. With ``output`` the cube is
+    written there, init time by init time; ``append`` adds those not stored yet to what is there, else it must be new.
+    """
+    from gridspark.operators.align import replace_variable
+    from gridspark.operators.windows import time_index
+    from gridspark.sources.cube import exists
+
+    leads = run.leads()
+    if flags is not None:
+        cube = replace_variable(cube, flags, flag)
+    c = time_index(cube, time)
+    r = c.agg(F.max("it"), F.max("iy"), F.max("ix")).first()
+    if r[0] is None:
+        raise ValueError("the cube is empty")
+    spec = WindowSpec(r[0] + 1, r[1] + 1, r[2] + 1, run.l_in, run.l_out)
+    f = forecast_cube(c, predict(c, spec, run.features, weights, time=time), run.l_in, run.l_out, run.tail, run.half, leads, time)
+    if output is None:
+        return f, 0
+    spark, offset = cube.sparkSession, 0
+    if append and exists(spark, output):
+        offset = spark.read.parquet(output).select("init_date").distinct().count()
+        f = f.join(spark.read.parquet(output).select("init_date").distinct(), "init_date", "left_anti")
+    f.withColumn("year", F.year("init_date")).write.mode("append" if append else "errorifexists").option("compression", "zstd").partitionBy("year").parquet(output)
+    return spark.read.parquet(output).drop("year"), offset

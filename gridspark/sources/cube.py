@@ -16,7 +16,7 @@ from gridspark.operators.grid import Grid
 KEYS = ("time", "iy", "ix")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
@@ -66,7 +66,7 @@ def new_cells(df: DataFrame, stored: DataFrame, keys: Sequence[str] = KEYS) -> D
 def append_cube(df: DataFrame, path: str, float32: bool = True, by_cell: bool = False) -> None:
     """Add the time steps that aren't stored yet, or with ``by_cell`` the cells; running it again changes nothing."""
     spark = df.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         stored = spark.read.parquet(path)
         df = new_cells(df, stored) if by_cell else new_steps(df, stored)
     _write(df, path, "append", None, float32)
