@@ -214,8 +214,10 @@ def materialise(df: DataFrame, spec: WindowSpec, features: Sequence[str], target
 
 
 def sample_cells(df: DataFrame, spec: WindowSpec, sample: int, it: str = "it") -> tuple[DataFrame, DataFrame]:
-    """The rows (input steps, target steps) of one sample, for looking at."""
+    """The rows (input steps, target steps) of one sample, for looking at; none where there is no such sample."""
     ny, nx = spec.patches
+    if not 0 <= sample < spec.n_samples:
+        return df.limit(0), df.limit(0)
     seq, rest = divmod(sample, ny * nx)
     lon_p, lat_p = divmod(rest, ny)
     if spec.patch is not None:

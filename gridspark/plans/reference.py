@@ -80,19 +80,32 @@ _OBS = """obs AS (SELECT station_id, date, element, max(CASE WHEN element IN ('T
   WHERE date IS NOT NULL AND isfinite(v) GROUP BY 1, 2, 3)"""
 
 
+def _own_projection() -> dict[str, float]:
+    """Constants of the projection from the formula sheet (WGS 84, centred on the box), apart from the library's own."""
+    import math
+
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    lat0, lon0 = math.radians((23.8 + 39.2) / 2), math.radians((-110.25 - 90.5) / 2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    qp, s0 = q(1.0), math.sin(lat0)
+    b0, rq = math.asin(q(s0) / qp), a * math.sqrt(qp / 2)
+    return {"e2": e2, "e": e, "qp": qp, "b0": b0, "rq": rq, "d": a * math.cos(lat0) / (math.sqrt(1 - e2 * s0 * s0) * rq * math.cos(b0)), "lon0": lon0}
+
+
 def _laea_sql() -> tuple[str, str]:
     """x and y of the projection as SQL over lat, lon."""
     import math
 
-    qp, radius, b1, dd = proj()._constants
-    e2 = proj()._e2
-    e = math.sqrt(e2)
-    s = "sin(radians(lat))"
+    k = _own_projection()
     num = lambda v: f"{v!r}::DOUBLE"
-    beta = f"asin(({num(1 - e2)} * ({s} / (1 - {num(e2)} * {s} * {s}) - ln((1 - {num(e)} * {s}) / (1 + {num(e)} * {s})) / {num(2 * e)})) / {num(qp)})"
-    dl = f"(radians(lon) - {num(math.radians(proj().lon0))})"
-    scale = f"({num(radius)} * sqrt(2 / (1 + {num(math.sin(b1))} * sin({beta}) + {num(math.cos(b1))} * cos({beta}) * cos({dl}))))"
-    return f"{scale} * {num(dd)} * cos({beta}) * sin({dl})", f"{scale} / {num(dd)} * ({num(math.cos(b1))} * sin({beta}) - {num(math.sin(b1))} * cos({beta}) * cos({dl}))"
+    s = "sin(radians(lat))"
+    beta = f"asin((1 - {num(k['e2'])}) * ({s} / (1 - {num(k['e2'])} * {s} * {s}) - ln((1 - {num(k['e'])} * {s}) / (1 + {num(k['e'])} * {s})) / (2 * {num(k['e'])})) / {num(k['qp'])})"
+    dl = f"(radians(lon) - {num(k['lon0'])})"
+    sb, cb = num(math.sin(k["b0"])), num(math.cos(k["b0"]))
+    scale = f"({num(k['rq'])} * sqrt(2 / (1 + {sb} * sin({beta}) + {cb} * cos({beta}) * cos({dl}))))"
+    return f"{scale} * {num(k['d'])} * cos({beta}) * sin({dl})", f"{scale} / {num(k['d'])} * ({cb} * sin({beta}) - {sb} * cos({beta}) * cos({dl}))"
 
 
 def _positions_sql() -> str:
@@ -101,15 +114,21 @@ def _positions_sql() -> str:
       FROM stations WHERE isfinite(lat) AND lat BETWEEN -90 AND 90 AND isfinite(lon) AND lon BETWEEN -180 AND 180 GROUP BY station_id))"""
 
 
+def _bounds_sql(res: float, name: str) -> str:
+    """Ends of the axes of the grid over the box: its projected corners, snapped outwards to multiples of ``res``."""
+    x, y = _laea_sql()
+    corners = ", ".join(f"({lat}, {lon})" for lat in (23.8, 39.2) for lon in (-110.25, -90.5))
+    return f"""{name} AS (SELECT floor(min(x) / {res!r}) * {res!r} AS x0, ceil(max(x) / {res!r}) * {res!r} AS x1, floor(min(y) / {res!r}) * {res!r} AS y0, ceil(max(y) / {res!r}) * {res!r} AS y1
+      FROM (SELECT {x} AS x, {y} AS y FROM (VALUES {corners}) t(lat, lon)))"""
+
+
 def _nodes_sql(res: float, name: str = "nodes") -> str:
-    g = grid(res)
-    return f"""{name} AS (SELECT CAST(a.i AS INT) AS iy, CAST(b.i AS INT) AS ix, {g.y0!r}::DOUBLE + a.i * {res!r}::DOUBLE AS y, {g.x0!r}::DOUBLE + b.i * {res!r}::DOUBLE AS x
-      FROM generate_series(0, {g.ny - 1}) a(i), generate_series(0, {g.nx - 1}) b(i))"""
+    return f"""{_bounds_sql(res, f'{name}_box')}, {name} AS (SELECT CAST(a.i AS INT) AS iy, CAST(b.i AS INT) AS ix, y0 + a.i * {res!r}::DOUBLE AS y, x0 + b.i * {res!r}::DOUBLE AS x
+      FROM {name}_box, generate_series(0, 400) a(i), generate_series(0, 400) b(i) WHERE x0 + b.i * {res!r} <= x1 AND y0 + a.i * {res!r} <= y1)"""
 
 
 def _cell_sql(res: float) -> str:
-    g = grid(res)
-    return f"""cells AS (SELECT *, CAST(floor((y - {g.y0 - res / 2!r}::DOUBLE) / {res!r}::DOUBLE) AS INT) AS iy, CAST(floor((x - {g.x0 - res / 2!r}::DOUBLE) / {res!r}::DOUBLE) AS INT) AS ix FROM sta)"""
+    return f"""{_bounds_sql(res, 'cells_box')}, cells AS (SELECT sta.*, CAST(floor((y - (y0 - {res / 2!r})) / {res!r}) AS INT) AS iy, CAST(floor((x - (x0 - {res / 2!r})) / {res!r}) AS INT) AS ix FROM sta, cells_box)"""
 
 
 QUERIES, SQL = {}, {}
@@ -299,9 +318,10 @@ def int05_idw_log(spark, d):
 _C = grid(KM50).coarse(4 * KM50)
 
 
-@query(f"""WITH {_positions_sql()}, {_nodes_sql(KM50, 'fine')}, c AS (SELECT CAST(floor((y - {_C.y0 - _C.res / 2!r}::DOUBLE) / {_C.res!r}::DOUBLE) AS INT) AS cy, CAST(floor((x - {_C.x0 - _C.res / 2!r}::DOUBLE) / {_C.res!r}::DOUBLE) AS INT) AS cx, avg(elev) AS v FROM sta GROUP BY 1, 2),
-  f AS (SELECT iy, ix, (x - {_C.x0!r}::DOUBLE) / {_C.res!r}::DOUBLE AS tx, (y - {_C.y0!r}::DOUBLE) / {_C.res!r}::DOUBLE AS ty FROM fine),
-  g AS (SELECT iy, ix, least(floor(tx), {_C.nx - 2}) AS i, least(floor(ty), {_C.ny - 2}) AS j, tx, ty FROM f WHERE tx BETWEEN 0 AND {_C.nx - 1} AND ty BETWEEN 0 AND {_C.ny - 1})
+@query(f"""WITH {_positions_sql()}, {_nodes_sql(KM50, 'fine')}, c AS (SELECT CAST(floor((y - (y0 - 100000)) / 200000) AS INT) AS cy, CAST(floor((x - (x0 - 100000)) / 200000) AS INT) AS cx, avg(elev) AS v FROM sta, fine_box GROUP BY 1, 2),
+  k AS (SELECT x0, y0, greatest(1, ceil((x1 - x0 + 100000) / 200000)) AS nx, greatest(1, ceil((y1 - y0 + 100000) / 200000)) AS ny FROM fine_box),
+  f AS (SELECT iy, ix, (x - x0) / 200000 AS tx, (y - y0) / 200000 AS ty, nx, ny FROM fine, k),
+  g AS (SELECT iy, ix, least(floor(tx), nx - 2) AS i, least(floor(ty), ny - 2) AS j, tx, ty FROM f WHERE tx BETWEEN 0 AND nx - 1 AND ty BETWEEN 0 AND ny - 1)
   SELECT g.iy, g.ix, round((1 - (ty - j)) * (1 - (tx - i)) * a.v + (1 - (ty - j)) * (tx - i) * b.v + (ty - j) * (1 - (tx - i)) * e.v + (ty - j) * (tx - i) * h.v, 8) AS value FROM g
   LEFT JOIN c a ON a.cy = j AND a.cx = i LEFT JOIN c b ON b.cy = j AND b.cx = i + 1 LEFT JOIN c e ON e.cy = j + 1 AND e.cx = i LEFT JOIN c h ON h.cy = j + 1 AND h.cx = i + 1
   WHERE a.cy IS NOT NULL OR b.cy IS NOT NULL OR e.cy IS NOT NULL OR h.cy IS NOT NULL""")
@@ -529,25 +549,79 @@ def ds01_ds02_scl13_sample_index(spark, d):
     return windows.sample_index(spec, windows.valid_patches(c, spec, 0.5, flag="temp_flag"))
 
 
-@query()
+LC_SLICES = ("2021-01-01", "2022-01-01")
+_GROUPS_SQL = ("(1, 2)", "(3, 4)", "(5)", "(6)", "(7)", "(8)")
+
+
+def _land_cover(spark: SparkSession, c: DataFrame) -> DataFrame:
+    """Invented annual land cover of the cube's cells: ``year_start, iy, ix`` and six one-hot columns."""
+    years = [F.lit(y).cast("date") for y in LC_SLICES]
+    cells = c.select("iy", "ix").distinct().withColumn("year_start", F.explode(F.array(*years)))
+    return features.land_cover_groups(cells.withColumn("c", (F.col("iy") * 7 + F.col("ix") * 3 + F.year("year_start")) % 12), "c")
+
+
+_SAMPLES = f"""{_PATCHES}, n AS (SELECT CAST(floor((count(*) - 28) / 14) + 1 AS INT) AS n_seq FROM st), q AS (SELECT CAST(unnest(generate_series(0, (SELECT n_seq FROM n) - 1)) AS INT) AS seq),
+  smp AS (SELECT CAST(seq * py * px + lon_patch * py + lat_patch AS BIGINT) AS sample_id, seq, lat_patch, lon_patch FROM v, q, sz)"""
+_CHANNELS = ("tmax_norm", "tmin_norm", "prcp_norm", "temp_flag")
+
+
+@query(f"""WITH {_SAMPLES}, e AS (SELECT f.*, it, CAST(floor(iy / 3) AS INT) AS lat_patch, CAST(floor(ix / 3) AS INT) AS lon_patch FROM f JOIN st USING (time)),
+  g AS (SELECT sample_id, {', '.join(f"coalesce(sum(CASE WHEN it < seq * 14 + 14 THEN CAST({c} AS FLOAT)::DOUBLE END), 0) AS c{k}" for k, c in enumerate(_CHANNELS))}, coalesce(sum(CASE WHEN it >= seq * 14 + 14 THEN CAST(tmax_norm AS FLOAT)::DOUBLE END), 0) AS y,
+        CAST(coalesce(sum(CASE WHEN it >= seq * 14 + 14 THEN temp_flag END), 0) AS BIGINT) AS flag
+        FROM smp LEFT JOIN e ON e.lat_patch = smp.lat_patch AND e.lon_patch = smp.lon_patch AND it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY sample_id),
+  yr AS (SELECT q.seq, CASE WHEN make_date(year(time), 1, 1) >= DATE '{LC_SLICES[1]}' THEN 2022 ELSE 2021 END AS y FROM q JOIN st ON st.it = q.seq * 14),
+  lc AS (SELECT sample_id, {', '.join(f"14 * count(CASE WHEN (iy * 7 + ix * 3 + y) % 12 IN {m} THEN 1 END)::DOUBLE AS c{k + 4}" for k, m in enumerate(_GROUPS_SQL))}
+         FROM smp JOIN yr USING (seq) JOIN (SELECT DISTINCT iy, ix FROM cube) c ON floor(iy / 3) = lat_patch AND floor(ix / 3) = lon_patch GROUP BY sample_id),
+  dy AS (SELECT seq, sum(CASE WHEN it < seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS doy_x,
+         sum(CASE WHEN it >= seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS doy_y FROM q JOIN st ON it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY seq)
+  SELECT sample_id, seq * 14 AS seq_start, {', '.join(f"round(c{k}, 3) + 0 AS c{k}" for k in range(10))}, round(y, 3) + 0 AS y, flag, round(doy_x, 6) + 0 AS doy_x, round(doy_y, 6) + 0 AS doy_y FROM smp JOIN g USING (sample_id) JOIN lc USING (sample_id) JOIN dy USING (seq)""")
 def ds03_join11_scl17_samples(spark, d):
-    """One row per training sample with its tensors."""
+    """Sums over the tensors of every training sample: per channel, land cover of the window's first year included."""
     c, spec = _indexed(spark, d)
-    index = windows.sample_index(spec, windows.valid_patches(c, spec, 0.5, flag="temp_flag"))
-    return windows.materialise(c, spec, ["tmax_norm", "tmin_norm", "prcp_norm", "temp_flag"], "tmax_norm", "temp_flag", index)
+    lc = _land_cover(spark, c)
+    s = windows.materialise(c, spec, _CHANNELS, "tmax_norm", "temp_flag", _samples(c, spec), land_cover=lc, land_cover_features=align.land_cover_columns(lc))
+    return _tensor_sums(s, 10, spec)
 
 
-@query()
+def _samples(c: DataFrame, spec: windows.WindowSpec) -> DataFrame:
+    return windows.sample_index(spec, windows.valid_patches(c, spec, 0.5, flag="temp_flag"))
+
+
+def _tensor_sums(s: DataFrame, channels: int, spec: windows.WindowSpec) -> DataFrame:
+    size = spec.patch * spec.patch
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v.cast("double"))
+    channel = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(spec.l_in - 1)), F.lit(0.0), lambda t, i: t + add(F.slice("x", i * (channels * size) + (k * size + 1), F.lit(size))))
+    zero = lambda c, digits: F.round(c, digits) + F.lit(0.0)
+    return s.select("sample_id", "seq_start", *[zero(channel(k), 3).alias(f"c{k}") for k in range(channels)], zero(add(F.col("y")), 3).alias("y"),
+                    F.aggregate("flag_y", F.lit(0).cast("long"), lambda t, v: t + v).alias("flag"), zero(add(F.col("doy_x")), 6).alias("doy_x"), zero(add(F.col("doy_y")), 6).alias("doy_y"))
+
+
+@query(f"WITH {_SAMPLES} SELECT sample_id, CAST(0 AS BIGINT) AS flag, CAST(126 AS INT) AS cells FROM smp")
+def ds04_samples_without_mask(spark, d):
+    c, spec = _indexed(spark, d)
+    s = windows.materialise(c, spec, ["tmax_norm"], "tmax_norm", "no such mask", _samples(c, spec))
+    return s.select("sample_id", F.aggregate("flag_y", F.lit(0).cast("long"), lambda t, v: t + v).alias("flag"), F.size("flag_y").alias("cells"))
+
+
+@query(f"""WITH {_SAMPLES}, k AS (SELECT count(*) AS n FROM smp) SELECT part, least(greatest(n - before, 0), size) AS samples, least(greatest(n - before, 0), size) AS of_index, CAST(0 AS BIGINT) AS shared
+  FROM k, (VALUES ('train', 0, 32), ('val', 32, 8)) p(part, before, size)""")
 def ds05_sample_subset(spark, d):
+    """Sizes of the two parts of a subset of 40 samples (0.8 for training), and that they are distinct samples of the index."""
     c, spec = _indexed(spark, d)
-    train, val = windows.sample_subset(windows.sample_index(spec, windows.valid_patches(c, spec, 0.5, flag="temp_flag")), 40, 0.8)
-    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+    index = _samples(c, spec)
+    train, val = windows.sample_subset(index, 40, 0.8)
+    count = lambda name, df, other: df.join(index.select(F.col("sample_id").alias("known")), F.col("sample_id") == F.col("known"), "left").agg(
+        F.lit(name).alias("part"), F.count_distinct("sample_id").alias("samples"), F.count("known").alias("of_index")).crossJoin(df.join(other, "sample_id").agg(F.count("*").alias("shared")))
+    return count("train", train, val).unionByName(count("val", val, train))
 
 
-@query()
+@query("""WITH c AS (SELECT count(DISTINCT time) AS t, max(iy) + 1 AS ny, max(ix) + 1 AS nx FROM weather_daily), n AS (SELECT greatest(floor((t - 28) / 14) + 1, 0) * floor(ny / 3) * floor(nx / 3) AS n FROM c),
+  b AS (SELECT CAST(unnest(generate_series(0, CAST(ceil(n / 64.0) AS BIGINT) - 1)) AS BIGINT) AS batch FROM n) SELECT batch, CAST(least(64, n - batch * 64) AS BIGINT) AS samples FROM b, n""")
 def ds06_batches(spark, d):
+    """Shuffled batches of 64 samples each, the last one smaller."""
     c, spec = _indexed(spark, d)
-    return windows.batches(windows.sample_index(spec, windows.valid_patches(c, spec, 0.0)), 64, seed=1).select("sample_id", "batch")
+    b = windows.batches(windows.sample_index(spec, windows.valid_patches(c, spec, 0.0)), 64, seed=1)
+    return b.groupBy("batch").agg(F.count_distinct("sample_id").alias("samples"))
 
 
 def _lai_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -617,11 +691,6 @@ def agg14_mean_of_batches(spark, d):
     return metrics.mean_of_batches(_scored(spark, d), "init_date").select(*_r("mse"), "batches")
 
 
-@query("SELECT CAST(26067 AS BIGINT) AS parameters")
-def agg15_src10_parameter_count(spark, d):
-    return metrics.parameter_count(forecast.save_weights(spark, forecast.random_weights(10, 16)))
-
-
 @query(f"WITH {_OBS} SELECT DISTINCT date FROM obs")
 def agg16_win04_dates(spark, d):
     return st.observed_dates(observations(spark, d))
@@ -638,10 +707,13 @@ def snk03_snk04_new_steps(spark, d):
     return new_steps(c, c.filter("time < '2022-01-01'")).select("time", "iy", "ix", *_r("tmax", digits=3))
 
 
-@query()
+_UNIT = "pow(2.0::DOUBLE, greatest(floor(log2(abs(nullif(LAI_norm, 0)))), -14) - 10)"
+
+
+@query(f"WITH {_LAI} SELECT time, iy, ix, coalesce(round_even(LAI_norm / {_UNIT}, 0) * {_UNIT}, 0) + 0 AS LAI_norm FROM lai")
 def fc08_half_precision(spark, d):
     c = lai_cube(spark, d)
-    return c.select("time", "iy", "ix", to_half(F.col("LAI_norm")).alias("LAI_norm"))
+    return c.select("time", "iy", "ix", (to_half(F.col("LAI_norm")).cast("double") + F.lit(0.0)).alias("LAI_norm"))
 
 
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2, 3""")

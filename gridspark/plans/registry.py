@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridspark.plans import core_found, core_sql, reference
+from gridspark.plans import core_found, core_sql, reference, stores  # noqa: F401, the last one registers with the third
 
 
 def queries() -> dict:
