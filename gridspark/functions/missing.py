@@ -24,15 +24,6 @@ def clean_floats(df: DataFrame) -> DataFrame:
     return df.select([nan_to_null(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, kinds) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def valid_flag(c: Column) -> Column:
-    """1 where present, 0 where missing."""
-    return c.isNotNull().cast("int")
-
-
-def fill_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
-
-
 def in_range(c: Column, low: float, high: float) -> Column:
     """``c`` as double where it is finite and within [low, high], else NULL."""
     d = c.cast("double")

@@ -33,6 +33,7 @@ def masked_zscore(v: Column, flag: Column, mean: float | Column, std: float | Co
 
 
 def min_max(v: Column, low: float | Column, high: float | Column) -> Column:
+    """``v`` scaled so that low is 0 and high is 1; NULL where they are equal."""
     low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low, high))
     return (v - low) / F.nullif(high - low, F.lit(0.0))
 

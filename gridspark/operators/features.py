@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions.missing import nan_to_null
-from gridspark.functions.scalar import GROUPS_6, log_zscore, masked_zscore, one_hot, zscore
+from gridspark.functions.scalar import GROUPS_6, log_zscore, masked_zscore, min_max, one_hot, zscore
 
 AGREEMENT_LIMIT = 0.05
 
@@ -130,5 +130,4 @@ def coordinate_norms(cells: DataFrame, y: str = "y", x: str = "x", names: tuple[
     r = cells.agg(F.min(y), F.max(y), F.min(x), F.max(x)).first()
     if r[0] is None:
         return cells.withColumns({n: F.lit(None).cast("double") for n in names})
-    scale = lambda c, a, b: (F.col(c) - a) / F.nullif(F.lit(float(b - a)), F.lit(0.0))
-    return cells.withColumns({names[0]: scale(y, r[0], r[1]), names[1]: scale(x, r[2], r[3])})
+    return cells.withColumns({names[0]: min_max(F.col(y), r[0], r[1]), names[1]: min_max(F.col(x), r[2], r[3])})

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridspark.functions.geo import euclidean
 from gridspark.functions.missing import finite
 from gridspark.operators.grid import Grid
 
@@ -76,13 +77,12 @@ def nearest_spacing(df: DataFrame, key: str, x: str, y: str, k: int = 1, levels:
     a = a.select("k1", "x", "y", "l", "b.bx", "b.by")
     used = own.select("l").distinct()
     other = pts.crossJoin(F.broadcast(used)).withColumns(double).select(F.col("k1").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "l", "bx", "by")
-    d2 = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)
-    pairs = a.join(other, ["l", "bx", "by"]).filter(F.col("k1") != F.col("k2")).groupBy("k1", "k2").agg(F.min(d2).alias("d2")) if need > 1 else a.join(other, ["l", "bx", "by"]).filter(F.col("k1") != F.col("k2")).select("k1", d2.alias("d2"))
+    pairs = a.join(other, ["l", "bx", "by"]).filter(F.col("k1") != F.col("k2")).withColumn("far", euclidean(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
     if need == 1:
-        near = pairs.groupBy("k1").agg(F.sqrt(F.min("d2")).alias("spacing"))
+        near = pairs.groupBy("k1").agg(F.min("far").alias("spacing"))
     else:
-        rank = F.row_number().over(Window.partitionBy("k1").orderBy("d2"))
-        near = pairs.withColumn("rank", rank).filter(F.col("rank") <= need).groupBy("k1").agg(F.avg(F.sqrt("d2")).alias("spacing"))
+        rank = F.row_number().over(Window.partitionBy("k1").orderBy("far"))
+        near = pairs.groupBy("k1", "k2").agg(F.min("far").alias("far")).withColumn("rank", rank).filter(F.col("rank") <= need).groupBy("k1").agg(F.avg("far").alias("spacing"))
     return near.withColumnRenamed("k1", key)
 
 

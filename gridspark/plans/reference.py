@@ -315,6 +315,36 @@ def int05_idw_log(spark, d):
     return interp.idw_log(o, _km(positions(spark, d)), _km(grid(KM100).cells(spark)), radius=_RADIUS_KM).select("date", "iy", "ix", *_r("value", digits=4))
 
 
+# --- the surveyed grids and radii: 20 km and 150 km for Barnes, 10 km and 50 km for inverse distance
+
+_KM20, _KM10 = 20_000.0, 10_000.0
+_K20 = repr((1.33 * 19.0) ** 2 / (4 * 0.5)) + "::DOUBLE"
+_NEAR = "JOIN s ON s.x BETWEEN n.x - {r} AND n.x + {r} AND (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <= {r} ** 2"
+
+
+@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM20, 'nm')}, o AS (SELECT date, station_id, value AS v FROM obs WHERE element = 'TMAX' AND value BETWEEN -90 AND 60),
+  s AS (SELECT station_id, {_KM} FROM sta WHERE station_id IN (SELECT station_id FROM o)), nodes AS (SELECT iy, ix, {_KM} FROM nm),
+  nb AS (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n {_NEAR.format(r='150.0::DOUBLE')}),
+  pr AS (SELECT n.station_id AS s1, s.station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM s n {_NEAR.format(r='150.0::DOUBLE')}),
+  gs AS (SELECT date, s1 AS station_id, sum(exp(-d2 / {_K20}) * v) / sum(exp(-d2 / {_K20})) AS g FROM pr JOIN o USING (station_id) GROUP BY 1, 2),
+  r AS (SELECT date, station_id, v, coalesce(v - g, 0) AS r FROM o LEFT JOIN gs USING (date, station_id))
+  SELECT date, iy, ix, round(sum(exp(-d2 / {_K20}) * v) / sum(exp(-d2 / {_K20})) + coalesce(sum(exp(-d2 / (0.3 * {_K20})) * r) / nullif(sum(exp(-d2 / (0.3 * {_K20}))), 0), 0), 5) AS value
+  FROM nb JOIN r USING (station_id) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+def int02_barnes_20km(spark, d):
+    b = interp.barnes(_tmax(spark, d), _km(positions(spark, d)), _km(grid(_KM20).cells(spark)))
+    return b.select("date", "iy", "ix", *_r("value", digits=5))
+
+
+@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM10, 'nm')}, o AS (SELECT date, station_id, ln(1 + value) AS lv FROM obs WHERE element = 'PRCP' AND value >= 0 AND value < 20000),
+  s AS (SELECT station_id, {_KM} FROM sta WHERE station_id IN (SELECT station_id FROM o)), nodes AS (SELECT iy, ix, {_KM} FROM nm),
+  g AS (SELECT date, iy, ix, count(*) AS n, min_by(CASE WHEN d2 = 0 THEN lv END, CASE WHEN d2 = 0 THEN station_id END) AS hit, sum(lv / nullif(d2, 0)) / nullif(sum(1 / nullif(d2, 0)), 0) AS m
+        FROM (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n {_NEAR.format(r='50.0::DOUBLE')}) JOIN o USING (station_id) GROUP BY 1, 2, 3)
+  SELECT date, iy, ix, round(CASE WHEN exp(coalesce(hit, m)) - 1 < 0.1 THEN 0 ELSE exp(coalesce(hit, m)) - 1 END, 4) AS value FROM g WHERE n >= 3""")
+def int05_idw_10km(spark, d):
+    o = observations(spark, d).filter((F.col("element") == "PRCP") & (F.col("value") < 20000)).select("date", "station_id", "value")
+    return interp.idw_log(o, _km(positions(spark, d)), _km(grid(_KM10).cells(spark))).select("date", "iy", "ix", *_r("value", digits=4))
+
+
 _C = grid(KM50).coarse(4 * KM50)
 
 

@@ -12,6 +12,7 @@ from gridspark.plans.reference import _FC, _LAI, _NORMS, _OBS, _WEATHER, KM100,
 from gridspark.session import new_path
 from gridspark.sources import cube as store
 from gridspark.sources import stations as st
+from gridspark.streaming.daily import grow_cube, read_arrivals, windowed_totals
 
 SPLIT = "2022-01-01"
 _CUBE = "time, iy, ix, round(CAST(tmax AS FLOAT), 3) AS tmax, round(CAST(prcp AS FLOAT), 3) AS prcp"
@@ -120,6 +121,32 @@ def flt10_flt12_renamed_dimensions(spark, d):
     return align.rename_dimensions(align.drop_variables(c, ["tmin", "prcp", "not there"])).withColumn("tmax", F.round("tmax", 3))
 
 
+# --- streams ------------------------------------------------------------------------------------------------------
+
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", event_type, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
+def stream02_totals_of_arriving_files(spark, d):
+    """Windowed totals by a streaming query over files as they arrive, its last state read back."""
+    files, out = new_path(spark, "arrivals"), new_path(spark, "totals")
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    e.repartition(3).write.parquet(files)
+    w = windowed_totals(read_arrivals(spark, files, "ts timestamp, event_type string, value double", 1), "ts", ["event_type"], "value", late="10000 days")
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(out)
+    w.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    w = spark.read.parquet(out)
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"), "n")
+
+
+@query(f"WITH {_WEATHER} SELECT {_CUBE} FROM cube")
+def stream03_growing_cube(spark, d):
+    """Cells arrive in three files, days split between them and some cells twice; the stored cube holds each once."""
+    files, path = new_path(spark, "arrivals"), new_path(spark, "cube")
+    c = weather_cube(spark, d)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
+    c.unionByName(c.filter("iy % 3 = 0")).repartition(3, "iy", "ix").write.parquet(files)
+    grow_cube(read_arrivals(spark, files, kind, 1), path, new_path(spark, "state")).awaitTermination()
+    return _values(store.scan_cube(spark, path))
+
+
 # --- forecasts ----------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {_FC}, fc AS (SELECT time AS init_date, it, 0 AS lead, iy, ix, LAI_norm FROM c WHERE it >= 3
