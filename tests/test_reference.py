@@ -334,3 +334,108 @@ def test_config(tmp_path):
     r.dump(str(tmp_path / "c.json"))
     assert RunConfig.load(str(tmp_path / "c.json")) == r and r.run_dir().exists()
     assert latest_checkpoint(["a/checkpoint_010.pth", "a/checkpoint_002.pth", "a/best.pth"]) == "a/checkpoint_010.pth" and latest_checkpoint([]) is None
+
+
+def test_spacing_of_repeated_keys_ends(spark):
+    """Rows of one key only, keys at several positions, towns beside lonely points."""
+    d = spark.createDataFrame([("a", 0.0, 0.0), ("a", 5.0, 0.0)], "k string, x double, y double")
+    assert [r["spacing"] for r in interp.nearest_spacing(d, "k", "x", "y").collect()] == [None]
+    rng = np.random.default_rng(3)
+    pts = [(f"p{i}", *v) for i, v in enumerate(np.concatenate([rng.normal(0, 0.01, (80, 2)), rng.uniform(-500, 500, (40, 2)), np.zeros((3, 2))]).tolist())]
+    pts += [("p0", 300.0, 300.0), ("p1", *pts[1][1:])]
+    for k in (1, 3):
+        got = {r["k"]: r["spacing"] for r in interp.nearest_spacing(spark.createDataFrame(pts, "k string, x double, y double"), "k", "x", "y", k).collect()}
+        for name in {p[0] for p in pts}:
+            best = {}
+            for q in pts:
+                if q[0] != name:
+                    best[q[0]] = min([best.get(q[0], 1e9)] + [math.hypot(q[1] - p[1], q[2] - p[2]) for p in pts if p[0] == name])
+            assert got[name] == pytest.approx(np.mean(sorted(best.values())[:k]), abs=1e-9)
+
+
+def test_barnes_and_idw_like_a_loop(spark, monkeypatch):
+    """Several blocks and stretches, targets in small portions, missing days, a station on a node."""
+    monkeypatch.setattr(interp, "STRETCH", 3)
+    monkeypatch.setattr(interp, "AT_ONCE", 4)
+    rng = np.random.default_rng(6)
+    where = {f"s{i}": v for i, v in enumerate(rng.uniform(0, 100, (40, 2)).tolist())} | {"on": [20.0, 20.0], "also": [20.0, 20.0]}
+    obs = {(d, s): float(rng.gamma(1, 5)) for d in range(8) for s in where if rng.random() < 0.7}
+    o = spark.createDataFrame([(DAY + dt.timedelta(days=d), s, v) for (d, s), v in obs.items()] + [(DAY, "s0", float("nan")), (None, "s0", 1.0)], "date date, station_id string, value double")
+    st_ = spark.createDataFrame([(s, *v) for s, v in where.items()], "station_id string, x double, y double")
+    nodes = {(i, j): (10.0 * j, 10.0 * i) for i in range(11) for j in range(11)}
+    n = spark.createDataFrame([(*k, *v) for k, v in nodes.items()], "iy int, ix int, x double, y double")
+    r, k = 12.0, 40.0
+
+    def near(x, y, d):
+        return sorted((s, (a - x) ** 2 + (b - y) ** 2, obs[d, s]) for s, (a, b) in where.items() if (d, s) in obs and (a - x) ** 2 + (b - y) ** 2 <= r * r)
+
+    def mean(rows, width):
+        w = [math.exp(-q / width) for _, q, _ in rows]
+        return sum(a * v for a, (*_, v) in zip(w, rows)) / sum(w)
+
+    first = {(d, s): mean(near(*where[s], d), k) for d, s in obs}
+    want_b, want_i = {}, {}
+    for d in range(8):
+        for key, (x, y) in nodes.items():
+            rows = near(x, y, d)
+            if len(rows) >= 3:
+                want_b[d, key] = mean(rows, k) + mean([(s, q, v - first[d, s]) for s, q, v in rows], 0.3 * k)
+                hit = [v for s, q, v in rows if q == 0]
+                w = [(1 / q, math.log1p(v)) for s, q, v in rows if q > 0]
+                v = hit[0] if hit else math.expm1(sum(a * b for a, b in w) / sum(a for a, _ in w))
+                want_i[d, key] = 0.0 if v < 0.1 else v
+    for got, want in ((interp.barnes(o, st_, n, r, k), want_b), (interp.idw_log(o, st_, n, r), want_i)):
+        g = {((x["date"] - DAY).days, (x["iy"], x["ix"])): x["value"] for x in got.collect()}
+        assert set(g) == set(want) and all(g[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+def test_batches_have_the_size_asked_for(spark, seed):
+    index = spark.range(1003).select((F.col("id") * 7).alias("sample_id"))
+    got = windows.batches(index, 64, seed)
+    assert sorted(r["count"] for r in got.groupBy("batch").count().collect()) == [43] + [64] * 15
+    rows = {r["sample_id"]: r["batch"] for r in got.collect()}
+    assert len(rows) == 1003 and ([rows[i * 7] for i in range(1003)] == [i // 64 for i in range(1003)]) == (seed is None)
+
+
+def test_samples_with_gaps_and_land_cover(spark):
+    """A step without any cell is zeros, land cover is that of the year in which the window starts."""
+    d, w = small_cube(spark, 8, 2, 2).withColumn("time", F.add_months("time", F.col("it") * 5)), windows.WindowSpec(8, 2, 2, 2, 1, 1, 2)
+    gone = d.filter("it <> 3 OR (iy = 0 AND ix = 0 AND false)").unionByName(d.filter("it = 3").withColumns({"iy": F.lit(9), "ix": F.lit(9)}))
+    first = {r["it"]: r["time"] for r in d.select("it", "time").distinct().collect()}
+    years = sorted({t.year for t in first.values()})[1:3]
+    lc = spark.createDataFrame([(dt.date(y, 1, 1), i, j, y - 2000, i) for y in years for i in range(2) for j in range(2)], "year_start date, iy int, ix int, lc_a int, lc_b int")
+    s = {r["seq"]: r for r in windows.materialise(gone, w, ["LAI_norm"], "LAI_norm", "LAI_flag", land_cover=lc, land_cover_features=["lc_a", "lc_b"]).collect()}
+    assert len(s) == w.n_sequences == 6
+    for q, r in s.items():
+        x = np.array(r["x"]).reshape(2, 3, 2, 2)
+        year = min(max(first[q].year, years[0]), years[1])
+        assert (x[:, 1] == year - 2000).all() and (x[:, 2] == np.array([[0, 0], [1, 1]])).all()
+        assert (x[3 - q if 0 <= 3 - q < 2 else 0, 0] == 0).all() == (q in (2, 3))
+        assert len(r["doy_x"]) == 4 and len(r["y"]) == 4 and (r["y"] == [0.0] * 4) == (q == 1) and (r["flag_y"] == [0] * 4) == (q == 1)
+
+
+def test_planes_of_groups_larger_than_a_batch(spark):
+    d = spark.range(50_000).select((F.col("id") % 2).cast("int").alias("g"), F.floor(F.col("id") / 2).cast("int").alias("c"), F.col("id").cast("double").alias("v"))
+    got = {r["g"]: r["planes"] for r in windows.planes(d, ["g"], F.col("c"), [F.col("v"), F.lit(1)], 25_000).collect()}
+    assert got[1][:3] == [1.0, 3.0, 5.0] and len(got[0]) == 50_000 and set(got[0][25_000:]) == {1.0}
+
+
+def test_forecast_run_checks_its_arguments(spark, tmp_path):
+    d = small_cube(spark).drop("it").withColumn("LAI_flag", F.lit(1.0))
+    w = forecast.random_weights(2, 2)
+    with pytest.raises(ValueError, match="go together"):
+        forecast.run_forecast(d, w, forecast.Inference(3, 2, first_lead=1))
+    with pytest.raises(ValueError, match="not within"):
+        forecast.run_forecast(d, w, forecast.Inference(3, 2, first_lead=1, last_lead=3))
+    with pytest.raises(ValueError, match="empty"):
+        forecast.run_forecast(d.limit(0), w, forecast.Inference(3, 2))
+    f, _ = forecast.run_forecast(d, w, forecast.Inference(3, 2, first_lead=2, last_lead=2, tail="drop", half=False))
+    assert {r[0] for r in f.select("lead").distinct().collect()} == {2} and f.count() == 4 * 16
+    path = str(tmp_path / "f")
+    part = d.filter(F.col("time") < DAY + dt.timedelta(days=6))
+    assert forecast.run_forecast(part, w, forecast.Inference(3, 2), output=path)[1] == 0
+    g, before = forecast.run_forecast(d, w, forecast.Inference(3, 2), output=path, append=True)
+    assert before == 4 and g.groupBy("init_date", "lead", "iy", "ix").count().filter("count > 1").isEmpty() and g.select("init_date").distinct().count() == 6
+    with pytest.raises(Exception, match="already exists"):
+        forecast.run_forecast(d, w, forecast.Inference(3, 2), output=path)
