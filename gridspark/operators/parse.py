@@ -33,7 +33,8 @@ RULES = (
     ("fixed", "lon", 2, "coordinates", DECIMAL, True, False),
     ("fixed", "elev", 3, "elev", rf"^$|{DECIMAL}", True, False),
 )
-_SEP = "\u0001"
+#: ends a field inside a line; the data's own U+0001 is doubled with U+0002 meanwhile, so nothing in it can look like this
+_MARK, _KEPT, _SEP = "\u0001", "\u0001\u0002", "\u0001\u0003"
 
 
 def _quoting_ok(parts: Column) -> Column:
@@ -53,7 +54,7 @@ def csv_fields(line: Column) -> Column:
         n = F.size(parts)
 
         def piece(s: Column, i: Column) -> Column:
-            return F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.translate(s, ",", _SEP))
+            return F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.replace(s, F.lit(","), F.lit(_SEP)))
 
         return F.struct(F.split(F.array_join(F.transform(parts, piece), ""), _SEP, -1).alias("fields"), _quoting_ok(parts).alias("sound"))
 
@@ -69,9 +70,13 @@ def split_lines(df: DataFrame, line_id: str = "line_id", file_name: str = "file_
     """
     d = df.select(F.col(line_id).alias("line_id"), F.xxhash64(F.col(line_id), F.col(file_name), F.col(line)).alias("rid"),
                   F.when(F.lower(F.trim(F.col(file_name))) == "stations.txt", F.lit("fixed")).otherwise(F.lit("csv")).alias("kind"),
-                  F.translate(F.coalesce(F.col(line), F.lit("")), _SEP, "\ufffd").alias("text"))
+                  F.coalesce(F.col(line), F.lit("")).alias("text"))
     fixed = F.struct(F.array(*[F.substring("text", a, n) for _, a, n in FIXED_COLUMNS]).alias("fields"), F.lit(True).alias("sound"))
-    d = d.withColumn("c", F.when(F.col("kind") == "csv", csv_fields(F.col("text"))).otherwise(fixed))
+    marked = F.col("text").contains(_MARK)
+    safe = F.when(marked, F.replace("text", F.lit(_MARK), F.lit(_KEPT))).otherwise(F.col("text"))
+    d = d.withColumn("c", F.when(F.col("kind") == "csv", csv_fields(safe)).otherwise(fixed))
+    back = F.transform("c.fields", lambda x: F.replace(x, F.lit(_KEPT), F.lit(_MARK)))
+    d = d.withColumn("c", F.when(marked & (F.col("kind") == "csv"), F.struct(back.alias("fields"), F.col("c.sound").alias("sound"))).otherwise(F.col("c")))
     d = d.select("line_id", "rid", "kind", "text", "c.fields", "c.sound")
     pair = lambda c, v: F.struct(F.lit(c).alias("column"), v.alias("value"))
     shape = F.when(F.col("kind") == "csv", F.array(pair("#quoting", F.when(F.col("sound"), F.lit("ok")).otherwise(F.lit("bad"))), pair("#columns", F.size("fields").cast("string")))).otherwise(

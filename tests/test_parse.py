@@ -113,3 +113,13 @@ def test_quoting_like_a_state_machine(spark, lines):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert parse_errors(df).count() == 0 and parse_clean(df).count() == 0
+
+
+def test_control_characters_survive(spark):
+    """U+0001 to U+0003 are data like any other, quoted or not."""
+    odd = "a\u0001b\u0001\u0002c\u0001\u0003d\u0003\u0002"
+    lines = [(1, "2020.csv", 1, f"S{odd},20200101,{odd},1.5,{odd},,,"), (2, "2020.csv", 2, f'S{odd},20200101,"x,{odd}",2,"{odd}",,,'), (3, "stations.txt", 3, f"{'S' + chr(1):<11}{10.0:>9}{20.0:>10}{5.0:>7} {odd}")]
+    got = {r["line_id"]: r for r in parse_clean(spark.createDataFrame(lines, "line_id bigint, file_name string, line_no int, line string")).collect()}
+    assert (got[1]["station_id"], got[1]["element"], got[1]["mflag"], got[1]["value"]) == (f"S{odd}", odd, odd, 1.5)
+    assert (got[2]["station_id"], got[2]["element"], got[2]["mflag"]) == (f"S{odd}", f"x,{odd}", odd)
+    assert (got[3]["station_id"], got[3]["name"], got[3]["lat"]) == ("S\u0001", odd, 10.0)
