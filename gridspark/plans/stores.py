@@ -123,7 +123,7 @@ def flt10_flt12_renamed_dimensions(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------------------------
 
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", event_type, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", event_type, round(sum(value), 4) AS total, round(avg(value), 9) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
 def stream02_totals_of_arriving_files(spark, d):
     """Windowed totals by a streaming query over files as they arrive, its last state read back."""
     files, out = new_path(spark, "arrivals"), new_path(spark, "totals")
@@ -133,7 +133,7 @@ def stream02_totals_of_arriving_files(spark, d):
     save = lambda batch, n: batch.write.mode("overwrite").parquet(out)
     w.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     w = spark.read.parquet(out)
-    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"), "n")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("total", 4).alias("total"), F.round("mean", 9).alias("mean"), "n")
 
 
 @query(f"WITH {_WEATHER} SELECT {_CUBE} FROM cube")
