@@ -97,7 +97,7 @@ def _groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tup
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-chars // AUTOMATON_CHARS) or 1
     for k in range(n):
-        yield [(r["i"], r["t"]) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).toLocalIterator()]
+        yield [(r["i"], r["t"]) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).collect()]
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", where: bool = False) -> DataFrame:
