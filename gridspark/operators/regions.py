@@ -1,6 +1,6 @@
 """Points in regions and points near points.
 
-Regions are simple polygons, cut into triangles by ear clipping. Points and triangles are spread over the cluster
+Regions are simple polygons, with holes or in several parts, cut into triangles by ear clipping. Points and triangles are spread over the cluster
 by the leaves of a bounding-volume hierarchy over the plane: each point goes to one leaf, each triangle to the
 leaves its box meets. Inside a leaf a second hierarchy over the triangles' boxes gives each point its candidate
 triangles, which are tested exactly. All triangles of a region that meet a leaf stay together, so a point that
@@ -135,6 +135,63 @@ def ear_clip(xs: list[float], ys: list[float]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _ring(xs: list[float], ys: list[float], left: bool) -> list[tuple[float, float]]:
+    """The ring's points without its repeated end, running left (counter-clockwise) or right round."""
+    p = list(zip(xs, ys))
+    p = p[:-1] if len(p) > 1 and p[0] == p[-1] else p
+    area = sum(p[i - 1][0] * p[i][1] - p[i][0] * p[i - 1][1] for i in range(len(p)))
+    return p if (area > 0) == left else p[::-1]
+
+
+def _opens(ring: list[tuple[float, float]], i: int, to: tuple[float, float]) -> bool:
+    """Whether the way from corner ``i`` of a ring that runs left to ``to`` starts inside it."""
+    at, a, b = ring[i], ring[i - 1], ring[(i + 1) % len(ring)]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    if side(a, at, b) > 0:
+        return side(at, to, a) > 0 and side(to, at, b) > 0
+    return not (side(at, to, b) >= 0 and side(to, at, a) >= 0)
+
+
+def bridge_holes(xs: list[float], ys: list[float], holes: list[tuple[list[float], list[float]]]) -> tuple[list[float], list[float]]:
+    """One ring for a polygon with holes: each hole is tied in at its rightmost point by a bridge to a corner that this
+    point can see, so that ear clipping applies. A hole that lies outside is a ValueError."""
+    ring = _ring(xs, ys, True)
+    rings = [r for r in (_ring(list(x), list(y), False) for x, y in holes) if len(set(r)) >= 3]
+    for hole in sorted(rings, key=max, reverse=True):
+        k = hole.index(max(hole))
+        mx, my = hole[k]
+        # the first edge that a ray to the right meets
+        best, corner = math.inf, -1
+        for i in range(len(ring)):
+            (ax, ay), (bx, by) = ring[i - 1], ring[i]
+            if min(ay, by) <= my <= max(ay, by) and ay != by:
+                at = ax + (my - ay) * (bx - ax) / (by - ay)
+                # ring's edges run upwards where its inside is on their left
+                if mx <= at < best and by > ay:
+                    best, corner = at, (i - 1) % len(ring) if ax > bx else i
+        if corner < 0:
+            raise ValueError("a hole lies outside its polygon")
+        cx, cy = ring[corner]
+        if (cx, cy) != (best, my):
+            # a corner within the triangle of point, edge and corner hides the corner: the one nearest to the ray is seen
+            seen = None
+            for i, (x, y) in enumerate(ring):
+                if (x, y) == (cx, cy) or x < mx:
+                    continue
+                d = [(best - mx) * (y - my), (cx - best) * (y - my) - (cy - my) * (x - best), (mx - cx) * (y - cy) - (my - cy) * (x - cx)]
+                (ax, ay), (bx, by) = ring[i - 1], ring[(i + 1) % len(ring)]
+                reflex = (x - ax) * (by - ay) - (y - ay) * (bx - ax) <= 0
+                if reflex and (all(v >= 0 for v in d) or all(v <= 0 for v in d)):
+                    slope = (abs(y - my) / max(x - mx, 1e-300), x)
+                    if seen is None or slope < seen[0]:
+                        seen = slope, i
+            corner = seen[1] if seen else corner
+        # of corners at the same place (ends of earlier bridges) the one whose inner angle opens towards the hole
+        corner = next((i for i, at in enumerate(ring) if at == ring[corner] and _opens(ring, i, (mx, my))), corner)
+        ring = [*ring[: corner + 1], *hole[k:], *hole[: k + 1], *ring[corner:]]
+    return [x for x, _ in ring], [y for _, y in ring]
+
+
 class BoxTree:
     """Hierarchy of bounding boxes over triangles; levels of ``FAN`` children, built by recursive median order."""
 
@@ -294,48 +351,59 @@ def plan_leaves(points: DataFrame, triangles: DataFrame) -> tuple[Plan, dict[int
 
 # --- the join -------------------------------------------------------------------------------------------------
 
-def triangulate(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
-    """Triangles ``rk, x1, y1, x2, y2, x3, y3`` of polygons given as arrays of coordinates."""
+def _rings(regions: DataFrame, key: str, xs: str, ys: str, holes: str | None) -> DataFrame:
+    holed = F.col(holes).cast("array<struct<xs:array<double>,ys:array<double>>>") if holes else F.lit(None).cast("array<struct<xs:array<double>,ys:array<double>>>")
+    return regions.select(F.col(key).alias("rk"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"), holed.alias("holes"))
+
+
+def _polygon(x, y, holes) -> tuple[list[float], list[float]] | None:
+    """One ring of finite coordinates, or None."""
+    parts = [(x, y), *((h["xs"], h["ys"]) for h in (holes if holes is not None else []) if h is not None)]
+    for a, b in parts:
+        if a is None or b is None or len(a) != len(b) or not (np.isfinite(a).all() and np.isfinite(b).all()):
+            return None
+    return (list(x), list(y)) if len(parts) == 1 else bridge_holes(list(x), list(y), [(list(a), list(b)) for a, b in parts[1:]])
+
+
+def triangulate(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys", holes: str | None = None) -> DataFrame:
+    """Triangles ``rk, x1, y1, x2, y2, x3, y3`` of polygons given as arrays of coordinates, with ``holes`` (an array of such
+    pairs of arrays) cut out. Rows that share a key are parts of one region."""
     kind = regions.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, x, y in zip(pdf["rk"], pdf["xs"], pdf["ys"]):
-                if x is None or y is None or len(x) != len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
-                    continue
+            for k, x, y, h in zip(pdf["rk"], pdf["xs"], pdf["ys"], pdf["holes"]):
                 try:
-                    rows += [(k, x[a], y[a], x[b], y[b], x[c], y[c]) for a, b, c in ear_clip(list(x), list(y))]
+                    ring = _polygon(x, y, h)
+                    if ring is not None:
+                        x, y = ring
+                        rows += [(k, x[a], y[a], x[b], y[b], x[c], y[c]) for a, b, c in ear_clip(x, y)]
                 except ValueError as e:
                     raise ValueError(f"region {k!r}: {e}") from None
             yield pd.DataFrame(rows, columns=["rk", "x1", "y1", "x2", "y2", "x3", "y3"])
 
-    d = regions.select(F.col(key).alias("rk"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys")).filter(F.col("rk").isNotNull())
-    return d.mapInPandas(cut, f"rk {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    return _rings(regions, key, xs, ys, holes).filter(F.col("rk").isNotNull()).mapInPandas(cut, f"rk {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
 
 
-def broken_regions(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
+def broken_regions(regions: DataFrame, key: str, xs: str = "xs", ys: str = "ys", holes: str | None = None) -> DataFrame:
     """``key, reason`` of the polygons that can't be cut into triangles."""
     kind = regions.schema[key].dataType.simpleString()
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, x, y in zip(pdf["rk"], pdf["xs"], pdf["ys"]):
-                reason = None
-                if x is None or y is None or len(x) != len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
-                    reason = "coordinates are missing"
-                else:
-                    try:
-                        reason = None if ear_clip(list(x), list(y)) else "no area"
-                    except ValueError as e:
-                        reason = str(e)
+            for k, x, y, h in zip(pdf["rk"], pdf["xs"], pdf["ys"], pdf["holes"]):
+                try:
+                    ring = _polygon(x, y, h)
+                    reason = "coordinates are missing" if ring is None else None if ear_clip(*ring) else "no area"
+                except ValueError as e:
+                    reason = str(e)
                 if reason:
                     rows.append((k, reason))
             yield pd.DataFrame(rows, columns=["rk", "reason"])
 
-    d = regions.select(F.col(key).alias("rk"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
-    return d.mapInPandas(test, f"rk {kind}, reason string").withColumnRenamed("rk", key)
+    return _rings(regions, key, xs, ys, holes).mapInPandas(test, f"rk {kind}, reason string").withColumnRenamed("rk", key)
 
 
 CORNERS = ("x1", "y1", "x2", "y2", "x3", "y3")
@@ -408,10 +476,10 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, slack: float =
     return p.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(leaf_join, f"pk {pk}, rk {rk}")
 
 
-def assign_regions(points: DataFrame, regions: DataFrame, point_key: str, x: str, y: str, region_key: str) -> DataFrame:
+def assign_regions(points: DataFrame, regions: DataFrame, point_key: str, x: str, y: str, region_key: str, holes: str | None = None) -> DataFrame:
     """``point_key, region_key``: the region that holds each point (the smallest key on shared boundaries)."""
     p = points.select(F.col(point_key).alias("pk"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    pairs = points_in_triangles(cut_lineage(p), cut_lineage(triangulate(regions, region_key)))
+    pairs = points_in_triangles(cut_lineage(p), cut_lineage(triangulate(regions, region_key, holes=holes)))
     return pairs.groupBy("pk").agg(F.min("rk").alias("rk")).select(F.col("pk").alias(point_key), F.col("rk").alias(region_key))
 
 

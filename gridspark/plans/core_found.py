@@ -74,19 +74,21 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("nearest_km", F.round("nearest_km", 5))
 
 
-#: simple polygons (longitudes, latitudes), one of them concave, two sharing an edge
+#: polygons (longitudes, latitudes; holes), one of them concave, two sharing an edge, one with a hole and over two others
 SECTORS = (
-    ("east", (-100.0, -91.0, -91.0, -100.0), (23.0, 23.0, 39.0, 39.0)),
-    ("west_hook", (-110.0, -100.0, -100.0, -104.0, -104.0, -110.0), (23.0, 23.0, 39.0, 39.0, 30.0, 30.0)),
-    ("north_west", (-109.5, -104.5, -107.0), (31.0, 31.5, 38.75)),
+    ("a_ring", (-103.0, -95.0, -95.0, -103.0), (25.0, 25.0, 35.0, 35.0), (((-101.0, -97.0, -99.0), (27.0, 28.0, 33.0)),)),
+    ("east", (-100.0, -91.0, -91.0, -100.0), (23.0, 23.0, 39.0, 39.0), ()),
+    ("west_hook", (-110.0, -100.0, -100.0, -104.0, -104.0, -110.0), (23.0, 23.0, 39.0, 39.0, 30.0, 30.0), ()),
+    ("north_west", (-109.5, -104.5, -107.0), (31.0, 31.5, 38.75), ()),
 )
 
 
 def p3_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Sector of each positioned station."""
-    shapes = spark.createDataFrame([(n, list(x), list(y)) for n, x, y in SECTORS], "sector string, xs array<double>, ys array<double>")
+    """Sector of each positioned station (the first by name where they overlap)."""
+    shapes = spark.createDataFrame([(n, list(x), list(y), [(list(a), list(b)) for a, b in holes]) for n, x, y, holes in SECTORS],
+                                   "sector string, xs array<double>, ys array<double>, holes array<struct<xs:array<double>,ys:array<double>>>")
     s = table(spark, d, "stations").filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).groupBy("station_id").agg(F.min(F.struct("lat", "lon")).alias("at"))
-    return assign_regions(s.select("station_id", "at.lat", "at.lon"), shapes, "station_id", "lon", "lat", "sector")
+    return assign_regions(s.select("station_id", "at.lat", "at.lon"), shapes, "station_id", "lon", "lat", "sector", holes="holes")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -133,7 +133,8 @@ UNION ALL SELECT station_id, date, element, value, false, true FROM t WHERE impo
 def _sectors() -> str:
     from gridspark.plans.core_found import SECTORS
 
-    rows = [(n, x[k], y[k], x[(k + 1) % len(x)], y[(k + 1) % len(x)]) for n, x, y in SECTORS for k in range(len(x))]
+    # a point lies inside where a ray meets an odd number of edges, those of the holes among them
+    rows = [(n, x[k], y[k], x[(k + 1) % len(x)], y[(k + 1) % len(x)]) for n, *outer, holes in SECTORS for x, y in (outer, *holes) for k in range(len(x))]
     return ", ".join(f"('{n}', {a}, {b}, {c}, {e})" for n, a, b, c, e in rows)
 
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridspark.operators import regions
-from gridspark.operators.regions import BoxTree, Plan, assign_regions, broken_regions, ear_clip, in_triangle, neighbour_counts, neighbours, place_points, plan_leaves, triangulate
+from gridspark.operators.regions import BoxTree, Plan, assign_regions, bridge_holes, broken_regions, ear_clip, in_triangle, neighbour_counts, neighbours, place_points, plan_leaves, triangulate
 
 SCHEMA = "station_id string, lat double, lon double, id string, km string, rk string"
 
@@ -170,3 +170,32 @@ def test_copies_do_not_grow_with_the_data(spark, monkeypatch, n):
     blocks = sum(n_p[k] * -(-n_t.get(k, 1) // regions.LEAF_TRIANGLES) for k in n_p) / n
     assert blocks < 1.05 and sum(n_t.values()) / n < 3
     assert max(n_p.values()) <= 2 * regions.LEAF_POINTS
+
+
+def test_polygons_with_holes():
+    """Random stars with round holes: the triangles' area is that of the polygon without the holes."""
+    rng = np.random.default_rng(9)
+    circle = lambda cx, cy, r, n: ([cx + r * math.cos(2 * math.pi * k / n) for k in range(n)], [cy + r * math.sin(2 * math.pi * k / n) for k in range(n)])
+    for _ in range(60):
+        n = int(rng.integers(5, 40))
+        r = rng.uniform(8, 14, n)
+        x, y = (r * f(2 * np.pi * np.arange(n) / n) for f in (np.cos, np.sin))
+        spots = [(a, b) for a in (-3.0, 0.0, 3.0) for b in (-3.0, 0.0, 3.0)]
+        holes = [circle(*spots[i], rng.uniform(0.3, 1.4), int(rng.integers(3, 9))) for i in rng.choice(9, rng.integers(1, 9), replace=False)]
+        holes = [(a[::-1], b[::-1]) if rng.random() < 0.5 else (a, b) for a, b in holes]
+        if n < 7 or min(r) * math.cos(math.pi / n) < 6:
+            continue
+        bx, by = bridge_holes(x.tolist(), y.tolist(), holes)
+        t = ear_clip(bx, by)
+        want = area(x, y) - sum(area(*h) for h in holes)
+        assert sum(area([bx[i] for i in p], [by[i] for i in p]) for p in t) == pytest.approx(want, rel=1e-9)
+    with pytest.raises(ValueError, match="outside"):
+        bridge_holes([0, 1, 1, 0], [0, 0, 1, 1], [([5, 6, 6], [0, 0, 1])])
+
+
+def test_regions_in_parts_and_with_holes(spark):
+    kind = "k string, xs array<double>, ys array<double>, holes array<struct<xs:array<double>,ys:array<double>>>"
+    shapes = spark.createDataFrame([("a", [0.0, 9.0, 9.0, 0.0], [0.0, 0.0, 9.0, 9.0], [([2.0, 4.0, 4.0, 2.0], [2.0, 2.0, 4.0, 4.0]), ([6.0, 8.0, 7.0], [6.0, 6.0, 8.0])]),
+                                    ("a", [20.0, 21.0, 20.0], [0.0, 0.0, 1.0], None), ("b", [2.5, 3.5, 3.5, 2.5], [2.5, 2.5, 3.5, 3.5], [])], kind)
+    pts = spark.createDataFrame([("in", 1.0, 1.0), ("hole", 2.2, 2.2), ("b", 3.0, 3.0), ("second", 7.0, 6.5), ("part", 20.2, 0.2), ("out", 15.0, 1.0)], "p string, x double, y double")
+    assert {tuple(r) for r in assign_regions(pts, shapes, "p", "x", "y", "k", holes="holes").collect()} == {("in", "a"), ("b", "b"), ("part", "a")}
