@@ -70,13 +70,16 @@ def lai_cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WEATHER = """cube AS (SELECT time, iy, ix, max(CASE WHEN isfinite(tmax) AND tmax BETWEEN -90 AND 60 THEN CAST(tmax AS DOUBLE) END) AS tmax,
-  max(CASE WHEN isfinite(tmin) AND tmin BETWEEN -90 AND 60 THEN CAST(tmin AS DOUBLE) END) AS tmin, max(CASE WHEN isfinite(prcp) AND prcp BETWEEN 0 AND 2000 THEN CAST(prcp AS DOUBLE) END) AS prcp
+  max(CASE WHEN isfinite(tmin) AND tmin BETWEEN -90 AND 60 THEN CAST(tmin AS DOUBLE) END) AS tmin, max(CASE WHEN isfinite(prcp) AND prcp BETWEEN 0 AND
+    2000 THEN CAST(prcp AS DOUBLE) END) AS prcp
   FROM weather_daily GROUP BY time, iy, ix)"""
 _PERIOD_START = "(make_date(year(time), 1, 1) + CAST(floor((dayofyear(time) - 1) / 4) * 4 AS INT))"
 _LAI = f"""lai AS (SELECT t AS time, iy, ix, coalesce(v, 0) AS LAI_norm, CAST(v IS NOT NULL AS INT) AS LAI_flag FROM (SELECT {_PERIOD_START} AS t, iy, ix,
-  avg(CASE WHEN LAI_flag = 1 AND isfinite(LAI_norm) AND LAI_norm BETWEEN -1e6 AND 1e6 THEN CAST(LAI_norm AS DOUBLE) END) AS v FROM lai_readings GROUP BY 1, 2, 3))"""
+  avg(CASE WHEN LAI_flag = 1 AND isfinite(LAI_norm) AND LAI_norm BETWEEN -1e6 AND 1e6 THEN CAST(LAI_norm AS DOUBLE) END) AS v FROM lai_readings GROUP
+    BY 1, 2, 3))"""
 _OBS = """obs AS (SELECT station_id, date, element, max(CASE WHEN element IN ('TMAX', 'TMIN') THEN v / 10 ELSE v END) AS value FROM (
-  SELECT station_id, CAST(try_strptime(date, '%Y%m%d') AS DATE) AS date, element, TRY_CAST(trim(value) AS DOUBLE) AS v FROM obs_by_year WHERE element IN ('TMAX', 'TMIN', 'PRCP'))
+  SELECT station_id, CAST(try_strptime(date, '%Y%m%d') AS DATE) AS date, element, TRY_CAST(trim(value) AS DOUBLE) AS v FROM obs_by_year WHERE element
+    IN ('TMAX', 'TMIN', 'PRCP'))
   WHERE date IS NOT NULL AND isfinite(v) GROUP BY 1, 2, 3)"""
 
 
@@ -110,7 +113,8 @@ def _laea_sql() -> tuple[str, str]:
 
 def _positions_sql() -> str:
     x, y = _laea_sql()
-    return f"""sta AS (SELECT *, {x} AS x, {y} AS y FROM (SELECT station_id, min(lat) AS lat, min(lon) AS lon, max(CASE WHEN isfinite(elev) AND elev BETWEEN -500 AND 9000 THEN elev END) AS elev
+    return f"""sta AS (SELECT *, {x} AS x, {y} AS y FROM (SELECT station_id, min(lat) AS lat, min(lon) AS lon, max(CASE WHEN isfinite(elev) AND elev BETWEEN -500 AND
+    9000 THEN elev END) AS elev
       FROM stations WHERE isfinite(lat) AND lat BETWEEN -90 AND 90 AND isfinite(lon) AND lon BETWEEN -180 AND 180 GROUP BY station_id))"""
 
 
@@ -118,17 +122,20 @@ def _bounds_sql(res: float, name: str) -> str:
     """Ends of the axes of the grid over the box: its projected corners, snapped outwards to multiples of ``res``."""
     x, y = _laea_sql()
     corners = ", ".join(f"({lat}, {lon})" for lat in (23.8, 39.2) for lon in (-110.25, -90.5))
-    return f"""{name} AS (SELECT floor(min(x) / {res!r}) * {res!r} AS x0, ceil(max(x) / {res!r}) * {res!r} AS x1, floor(min(y) / {res!r}) * {res!r} AS y0, ceil(max(y) / {res!r}) * {res!r} AS y1
+    return f"""{name} AS (SELECT floor(min(x) / {res!r}) * {res!r} AS x0, ceil(max(x) / {res!r}) * {res!r} AS x1, floor(min(y) / {res!r}) * {res!r} AS y0,
+    ceil(max(y) / {res!r}) * {res!r} AS y1
       FROM (SELECT {x} AS x, {y} AS y FROM (VALUES {corners}) t(lat, lon)))"""
 
 
 def _nodes_sql(res: float, name: str = "nodes") -> str:
-    return f"""{_bounds_sql(res, f'{name}_box')}, {name} AS (SELECT CAST(a.i AS INT) AS iy, CAST(b.i AS INT) AS ix, y0 + a.i * {res!r}::DOUBLE AS y, x0 + b.i * {res!r}::DOUBLE AS x
+    return f"""{_bounds_sql(res, f'{name}_box')}, {name} AS (SELECT CAST(a.i AS INT) AS iy, CAST(b.i AS INT) AS ix, y0 + a.i * {res!r}::DOUBLE AS y, x0 + b.i *
+    {res!r}::DOUBLE AS x
       FROM {name}_box, generate_series(0, 400) a(i), generate_series(0, 400) b(i) WHERE x0 + b.i * {res!r} <= x1 AND y0 + a.i * {res!r} <= y1)"""
 
 
 def _cell_sql(res: float) -> str:
-    return f"""{_bounds_sql(res, 'cells_box')}, cells AS (SELECT sta.*, CAST(floor((y - (y0 - {res / 2!r})) / {res!r}) AS INT) AS iy, CAST(floor((x - (x0 - {res / 2!r})) / {res!r}) AS INT) AS ix FROM sta, cells_box)"""
+    return f"""{_bounds_sql(res, 'cells_box')}, cells AS (SELECT sta.*, CAST(floor((y - (y0 - {res / 2!r})) / {res!r}) AS INT) AS iy, CAST(floor((x - (x0 -
+    {res / 2!r})) / {res!r}) AS INT) AS ix FROM sta, cells_box)"""
 
 
 QUERIES, SQL = {}, {}
@@ -160,8 +167,10 @@ def src01_flt02_flt14_observations(spark, d):
     return observations(spark, d).select("station_id", "date", "element", *_r("value", digits=3))
 
 
-@query("""SELECT trim(substr(line, 1, 11), ' ') AS station_id, CAST(trim(substr(line, 12, 9), ' ') AS DOUBLE) AS lat, CAST(trim(substr(line, 21, 10), ' ') AS DOUBLE) AS lon,
-  TRY_CAST(trim(substr(line, 31, 7), ' ') AS DOUBLE) AS elev, trim(substr(line, 39), ' ') AS name FROM raw_records WHERE file_name = 'stations.txt' AND length(line) >= 30
+@query("""SELECT trim(substr(line, 1, 11), ' ') AS station_id, CAST(trim(substr(line, 12, 9), ' ') AS DOUBLE) AS lat, CAST(trim(substr(line, 21, 10), ' ') AS
+    DOUBLE) AS lon,
+  TRY_CAST(trim(substr(line, 31, 7), ' ') AS DOUBLE) AS elev, trim(substr(line, 39), ' ') AS name FROM raw_records WHERE file_name = 'stations.txt'
+    AND length(line) >= 30
   AND TRY_CAST(trim(substr(line, 12, 9), ' ') AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(substr(line, 21, 10), ' ') AS DOUBLE) IS NOT NULL
   AND (trim(substr(line, 31, 7), ' ') = '' OR TRY_CAST(trim(substr(line, 31, 7), ' ') AS DOUBLE) IS NOT NULL)""")
 def src02_scl16_station_lines(spark, d):
@@ -189,7 +198,8 @@ def flt04_qc_mask(spark, d):
     return table(spark, d, "lineitem").withColumn("v", v).groupBy("l_linestatus").agg(F.count("*").alias("n"), F.count("v").alias("kept"), F.round(F.sum("v"), 3).alias("total"))
 
 
-@query(f"""WITH {_WEATHER} SELECT 'train' AS part, count(*) AS n, min(time) AS first, max(time) AS last FROM cube WHERE time <= DATE '2022-02-28' AND time >= DATE '2021-10-05'
+@query(f"""WITH {_WEATHER} SELECT 'train' AS part, count(*) AS n, min(time) AS first, max(time) AS last FROM cube WHERE time <= DATE '2022-02-28' AND time >=
+    DATE '2021-10-05'
   UNION ALL SELECT 'val', count(*), min(time), max(time) FROM cube WHERE time >= DATE '2022-03-01'""")
 def flt06_flt07_time_split(spark, d):
     train, val = features.split_by_time(features.time_range(weather_cube(spark, d), "2021-10-05"), "2022-03-01")
@@ -232,7 +242,8 @@ def join03_radius_self_join(spark, d):
     return interp.radius_join(s, s.withColumnRenamed("station_id", "other"), 20_000.0).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
-_SPACING_SQL = f"""WITH {_positions_sql()}, m AS (SELECT cos(radians(avg(lat))) * 111 AS k FROM sta), p AS (SELECT station_id, lon * k AS x, lat * 111.0::DOUBLE AS y FROM sta, m),
+_SPACING_SQL = f"""WITH {_positions_sql()}, m AS (SELECT cos(radians(avg(lat))) * 111 AS k FROM sta), p AS (SELECT station_id, lon * k AS x, lat * 111.0::DOUBLE AS y
+    FROM sta, m),
   sp AS (SELECT a.station_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS spacing FROM p a JOIN p b ON a.station_id <> b.station_id GROUP BY 1)"""
 
 
@@ -264,8 +275,10 @@ def agg01_join05_bucket_mean(spark, d):
     return regrid.bucket_mean(s, ["iy", "ix"], "elev", g.cells(spark).select("iy", "ix")).select("iy", "ix", *_r("elev"))
 
 
-@query(f"""WITH {_positions_sql()}, {_cell_sql(KM100)}, {_nodes_sql(KM100)}, k AS (SELECT iy, ix, CAST(floor(elev / 200) AS INT) AS cls, count(*) AS c FROM cells WHERE elev IS NOT NULL GROUP BY 1, 2, 3),
-  b AS (SELECT iy, ix, cls, row_number() OVER (PARTITION BY iy, ix ORDER BY c DESC, cls) AS r FROM k) SELECT n.iy, n.ix, b.cls FROM nodes n LEFT JOIN b ON b.iy = n.iy AND b.ix = n.ix AND b.r = 1""")
+@query(f"""WITH {_positions_sql()}, {_cell_sql(KM100)}, {_nodes_sql(KM100)}, k AS (SELECT iy, ix, CAST(floor(elev / 200) AS INT) AS cls, count(*) AS c FROM cells
+    WHERE elev IS NOT NULL GROUP BY 1, 2, 3),
+  b AS (SELECT iy, ix, cls, row_number() OVER (PARTITION BY iy, ix ORDER BY c DESC, cls) AS r FROM k) SELECT n.iy, n.ix, b.cls FROM nodes n LEFT JOIN
+    b ON b.iy = n.iy AND b.ix = n.ix AND b.r = 1""")
 def agg02_bucket_mode(spark, d):
     g = grid(KM100)
     iy, ix = g.key(F.col("x"), F.col("y"))
@@ -278,7 +291,8 @@ _K, _RADIUS_KM = interp.kappa(200.0, 0.5), 600.0
 _KM = "x / 1000 AS x, y / 1000 AS y"
 _BARNES_HEAD = f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(KM100, 'nm')}, s AS (SELECT station_id, {_KM} FROM sta), nodes AS (SELECT iy, ix, {_KM} FROM nm),
   o AS (SELECT date, station_id, value AS v FROM obs WHERE element = 'TMAX' AND value BETWEEN -90 AND 60),
-  nb AS (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n JOIN s ON (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <= {_RADIUS_KM ** 2})"""
+  nb AS (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n JOIN s ON (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <=
+    {_RADIUS_KM ** 2})"""
 
 
 def _tmax(spark: SparkSession, d: str) -> DataFrame:
@@ -289,16 +303,20 @@ def _km(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": F.col("x") / 1000, "y": F.col("y") / 1000})
 
 
-@query(_BARNES_HEAD + f""" SELECT date, iy, ix, round(sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)), 5) AS value FROM nb JOIN o USING (station_id) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+@query(_BARNES_HEAD + f""" SELECT date, iy, ix, round(sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)), 5) AS value FROM nb JOIN o USING (station_id) GROUP
+    BY 1, 2, 3 HAVING count(*) >= 3""")
 def int01_int04_int13_barnes_first_pass(spark, d):
     b = interp.barnes(_tmax(spark, d), _km(positions(spark, d)), _km(grid(KM100).cells(spark)), _RADIUS_KM, _K, passes=1)
     return b.select("date", "iy", "ix", *_r("value", digits=5))
 
 
-@query(_BARNES_HEAD + f""", pr AS (SELECT a.station_id AS s1, b.station_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM s a JOIN s b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {_RADIUS_KM ** 2}),
-  gs AS (SELECT date, s1 AS station_id, sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)) AS g FROM pr JOIN o USING (station_id) GROUP BY 1, 2),
+@query(_BARNES_HEAD + f""", pr AS (SELECT a.station_id AS s1, b.station_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM s a JOIN s b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2
+    <= {_RADIUS_KM ** 2}),
+  gs AS (SELECT date, s1 AS station_id, sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)) AS g FROM pr JOIN o USING (station_id)
+    GROUP BY 1, 2),
   r AS (SELECT date, station_id, v, coalesce(v - g, 0) AS r FROM o LEFT JOIN gs USING (date, station_id))
-  SELECT date, iy, ix, round(sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)) + coalesce(sum(exp(-d2 / {0.3 * _K!r}::DOUBLE) * r) / nullif(sum(exp(-d2 / {0.3 * _K!r}::DOUBLE)), 0), 0), 5) AS value
+  SELECT date, iy, ix, round(sum(exp(-d2 / {_K!r}::DOUBLE) * v) / sum(exp(-d2 / {_K!r}::DOUBLE)) + coalesce(sum(exp(-d2 / {0.3 * _K!r}::DOUBLE) * r) /
+    nullif(sum(exp(-d2 / {0.3 * _K!r}::DOUBLE)), 0), 0), 5) AS value
   FROM nb JOIN r USING (station_id) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def int02_int03_barnes_two_passes(spark, d):
     b = interp.barnes(_tmax(spark, d), _km(positions(spark, d)), _km(grid(KM100).cells(spark)), _RADIUS_KM, _K)
@@ -307,8 +325,10 @@ def int02_int03_barnes_two_passes(spark, d):
 
 @query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(KM100, 'nm')}, s AS (SELECT station_id, {_KM} FROM sta), nodes AS (SELECT iy, ix, {_KM} FROM nm),
   o AS (SELECT date, station_id, ln(1 + value) AS lv FROM obs WHERE element = 'PRCP' AND value >= 0 AND value < 20000),
-  g AS (SELECT date, iy, ix, count(*) AS n, min_by(CASE WHEN d2 = 0 THEN lv END, CASE WHEN d2 = 0 THEN station_id END) AS hit, sum(lv / nullif(d2, 0)) / nullif(sum(1 / nullif(d2, 0)), 0) AS m
-        FROM (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n JOIN s ON (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <= {_RADIUS_KM ** 2}) JOIN o USING (station_id) GROUP BY 1, 2, 3)
+  g AS (SELECT date, iy, ix, count(*) AS n, min_by(CASE WHEN d2 = 0 THEN lv END, CASE WHEN d2 = 0 THEN station_id END) AS hit, sum(lv / nullif(d2, 0))
+    / nullif(sum(1 / nullif(d2, 0)), 0) AS m
+        FROM (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n JOIN s ON (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <=
+    {_RADIUS_KM ** 2}) JOIN o USING (station_id) GROUP BY 1, 2, 3)
   SELECT date, iy, ix, round(CASE WHEN exp(coalesce(hit, m)) - 1 < 0.1 THEN 0 ELSE exp(coalesce(hit, m)) - 1 END, 4) AS value FROM g WHERE n >= 3""")
 def int05_idw_log(spark, d):
     o = observations(spark, d).filter((F.col("element") == "PRCP") & (F.col("value") < 20000)).select("date", "station_id", "value")
@@ -322,23 +342,28 @@ _K20 = repr((1.33 * 19.0) ** 2 / (4 * 0.5)) + "::DOUBLE"
 _NEAR = "JOIN s ON s.x BETWEEN n.x - {r} AND n.x + {r} AND (n.x - s.x) ** 2 + (n.y - s.y) ** 2 <= {r} ** 2"
 
 
-@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM20, 'nm')}, o AS (SELECT date, station_id, value AS v FROM obs WHERE element = 'TMAX' AND value BETWEEN -90 AND 60),
+@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM20, 'nm')}, o AS (SELECT date, station_id, value AS v FROM obs WHERE element = 'TMAX' AND value
+    BETWEEN -90 AND 60),
   s AS (SELECT station_id, {_KM} FROM sta WHERE station_id IN (SELECT station_id FROM o)), nodes AS (SELECT iy, ix, {_KM} FROM nm),
   nb AS (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n {_NEAR.format(r='150.0::DOUBLE')}),
   pr AS (SELECT n.station_id AS s1, s.station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM s n {_NEAR.format(r='150.0::DOUBLE')}),
   gs AS (SELECT date, s1 AS station_id, sum(exp(-d2 / {_K20}) * v) / sum(exp(-d2 / {_K20})) AS g FROM pr JOIN o USING (station_id) GROUP BY 1, 2),
   r AS (SELECT date, station_id, v, coalesce(v - g, 0) AS r FROM o LEFT JOIN gs USING (date, station_id))
-  SELECT date, iy, ix, round(sum(exp(-d2 / {_K20}) * v) / sum(exp(-d2 / {_K20})) + coalesce(sum(exp(-d2 / (0.3 * {_K20})) * r) / nullif(sum(exp(-d2 / (0.3 * {_K20}))), 0), 0), 5) AS value
+  SELECT date, iy, ix, round(sum(exp(-d2 / {_K20}) * v) / sum(exp(-d2 / {_K20})) + coalesce(sum(exp(-d2 / (0.3 * {_K20})) * r) / nullif(sum(exp(-d2 /
+    (0.3 * {_K20}))), 0), 0), 5) AS value
   FROM nb JOIN r USING (station_id) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def int02_barnes_20km(spark, d):
     b = interp.barnes(_tmax(spark, d), _km(positions(spark, d)), _km(grid(_KM20).cells(spark)))
     return b.select("date", "iy", "ix", *_r("value", digits=5))
 
 
-@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM10, 'nm')}, o AS (SELECT date, station_id, ln(1 + value) AS lv FROM obs WHERE element = 'PRCP' AND value >= 0 AND value < 20000),
+@query(f"""WITH {_OBS}, {_positions_sql()}, {_nodes_sql(_KM10, 'nm')}, o AS (SELECT date, station_id, ln(1 + value) AS lv FROM obs WHERE element = 'PRCP' AND
+    value >= 0 AND value < 20000),
   s AS (SELECT station_id, {_KM} FROM sta WHERE station_id IN (SELECT station_id FROM o)), nodes AS (SELECT iy, ix, {_KM} FROM nm),
-  g AS (SELECT date, iy, ix, count(*) AS n, min_by(CASE WHEN d2 = 0 THEN lv END, CASE WHEN d2 = 0 THEN station_id END) AS hit, sum(lv / nullif(d2, 0)) / nullif(sum(1 / nullif(d2, 0)), 0) AS m
-        FROM (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n {_NEAR.format(r='50.0::DOUBLE')}) JOIN o USING (station_id) GROUP BY 1, 2, 3)
+  g AS (SELECT date, iy, ix, count(*) AS n, min_by(CASE WHEN d2 = 0 THEN lv END, CASE WHEN d2 = 0 THEN station_id END) AS hit, sum(lv / nullif(d2, 0))
+    / nullif(sum(1 / nullif(d2, 0)), 0) AS m
+        FROM (SELECT iy, ix, station_id, (n.x - s.x) ** 2 + (n.y - s.y) ** 2 AS d2 FROM nodes n {_NEAR.format(r='50.0::DOUBLE')}) JOIN o USING
+    (station_id) GROUP BY 1, 2, 3)
   SELECT date, iy, ix, round(CASE WHEN exp(coalesce(hit, m)) - 1 < 0.1 THEN 0 ELSE exp(coalesce(hit, m)) - 1 END, 4) AS value FROM g WHERE n >= 3""")
 def int05_idw_10km(spark, d):
     o = observations(spark, d).filter((F.col("element") == "PRCP") & (F.col("value") < 20000)).select("date", "station_id", "value")
@@ -348,12 +373,16 @@ def int05_idw_10km(spark, d):
 _C = grid(KM50).coarse(4 * KM50)
 
 
-@query(f"""WITH {_positions_sql()}, {_nodes_sql(KM50, 'fine')}, c AS (SELECT CAST(floor((y - (y0 - 100000)) / 200000) AS INT) AS cy, CAST(floor((x - (x0 - 100000)) / 200000) AS INT) AS cx, avg(elev) AS v FROM sta, fine_box GROUP BY 1, 2),
+@query(f"""WITH {_positions_sql()}, {_nodes_sql(KM50, 'fine')}, c AS (SELECT CAST(floor((y - (y0 - 100000)) / 200000) AS INT) AS cy, CAST(floor((x - (x0 -
+    100000)) / 200000) AS INT) AS cx, avg(elev) AS v FROM sta, fine_box GROUP BY 1, 2),
   k AS (SELECT x0, y0, greatest(1, ceil((x1 - x0 + 100000) / 200000)) AS nx, greatest(1, ceil((y1 - y0 + 100000) / 200000)) AS ny FROM fine_box),
   f AS (SELECT iy, ix, (x - x0) / 200000 AS tx, (y - y0) / 200000 AS ty, nx, ny FROM fine, k),
-  g AS (SELECT iy, ix, least(floor(tx), nx - 2) AS i, least(floor(ty), ny - 2) AS j, tx, ty FROM f WHERE tx BETWEEN 0 AND nx - 1 AND ty BETWEEN 0 AND ny - 1)
-  SELECT g.iy, g.ix, round((1 - (ty - j)) * (1 - (tx - i)) * a.v + (1 - (ty - j)) * (tx - i) * b.v + (ty - j) * (1 - (tx - i)) * e.v + (ty - j) * (tx - i) * h.v, 8) AS value FROM g
-  LEFT JOIN c a ON a.cy = j AND a.cx = i LEFT JOIN c b ON b.cy = j AND b.cx = i + 1 LEFT JOIN c e ON e.cy = j + 1 AND e.cx = i LEFT JOIN c h ON h.cy = j + 1 AND h.cx = i + 1
+  g AS (SELECT iy, ix, least(floor(tx), nx - 2) AS i, least(floor(ty), ny - 2) AS j, tx, ty FROM f WHERE tx BETWEEN 0 AND nx - 1 AND ty BETWEEN 0 AND
+    ny - 1)
+  SELECT g.iy, g.ix, round((1 - (ty - j)) * (1 - (tx - i)) * a.v + (1 - (ty - j)) * (tx - i) * b.v + (ty - j) * (1 - (tx - i)) * e.v + (ty - j) * (tx
+    - i) * h.v, 8) AS value FROM g
+  LEFT JOIN c a ON a.cy = j AND a.cx = i LEFT JOIN c b ON b.cy = j AND b.cx = i + 1 LEFT JOIN c e ON e.cy = j + 1 AND e.cx = i LEFT JOIN c h ON h.cy =
+    j + 1 AND h.cx = i + 1
   WHERE a.cy IS NOT NULL OR b.cy IS NOT NULL OR e.cy IS NOT NULL OR h.cy IS NOT NULL""")
 def int06_int07_bilinear(spark, d):
     iy, ix = _C.key(F.col("x"), F.col("y"))
@@ -364,8 +393,10 @@ def int06_int07_bilinear(spark, d):
 def _gap_sql(src: str, line: str, axis: str) -> str:
     w = f"PARTITION BY {line} ORDER BY {axis} ROWS BETWEEN"
     return f"""(SELECT time, iy, ix, coalesce(v, CASE WHEN nx_ - px_ <= 10 THEN pv + (nv - pv) * ({axis} - px_) / nullif(nx_ - px_, 0) END) AS v FROM (SELECT *,
-      last_value(v IGNORE NULLS) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS pv, last_value(CASE WHEN v IS NOT NULL THEN {axis}::DOUBLE END IGNORE NULLS) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS px_,
-      first_value(v IGNORE NULLS) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv, first_value(CASE WHEN v IS NOT NULL THEN {axis}::DOUBLE END IGNORE NULLS) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx_ FROM {src}))"""
+      last_value(v IGNORE NULLS) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS pv, last_value(CASE WHEN v IS NOT NULL THEN {axis}::DOUBLE END
+    IGNORE NULLS) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS px_,
+      first_value(v IGNORE NULLS) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv, first_value(CASE WHEN v IS NOT NULL THEN {axis}::DOUBLE END
+    IGNORE NULLS) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx_ FROM {src}))"""
 
 
 @query(f"WITH {_WEATHER}, c AS (SELECT time, iy, ix, tmax AS v FROM cube) SELECT time, iy, ix, round(v, 5) AS tmax FROM {_gap_sql(_gap_sql('c', 'time, iy', 'ix'), 'time, ix', 'iy')}")
@@ -387,9 +418,12 @@ def int10_laea_inverse(spark, d):
 def _grid_sql() -> str:
     x, y = _laea_sql()
     b = BOX
-    return f"""WITH c AS (SELECT {x} AS x, {y} AS y FROM (VALUES ({b['lat_min']}, {b['lon_min']}), ({b['lat_min']}, {b['lon_max']}), ({b['lat_max']}, {b['lon_min']}), ({b['lat_max']}, {b['lon_max']})) t(lat, lon)),
-      g AS (SELECT floor(min(x) / 1e5) * 1e5 AS x0, ceil(max(x) / 1e5) * 1e5 AS x1, floor(min(y) / 1e5) * 1e5 AS y0, ceil(max(y) / 1e5) * 1e5 AS y1 FROM c)
-      SELECT a.i AS iy, b.i AS ix, y0 + a.i * 1e5 AS y, x0 + b.i * 1e5 AS x FROM g, generate_series(0, 60) a(i), generate_series(0, 60) b(i) WHERE x0 + b.i * 1e5 <= x1 AND y0 + a.i * 1e5 <= y1"""
+    return f"""WITH c AS (SELECT {x} AS x, {y} AS y FROM (VALUES ({b['lat_min']}, {b['lon_min']}), ({b['lat_min']}, {b['lon_max']}), ({b['lat_max']},
+    {b['lon_min']}), ({b['lat_max']}, {b['lon_max']})) t(lat, lon)),
+      g AS (SELECT floor(min(x) / 1e5) * 1e5 AS x0, ceil(max(x) / 1e5) * 1e5 AS x1, floor(min(y) / 1e5) * 1e5 AS y0, ceil(max(y) / 1e5) * 1e5 AS y1
+    FROM c)
+      SELECT a.i AS iy, b.i AS ix, y0 + a.i * 1e5 AS y, x0 + b.i * 1e5 AS x FROM g, generate_series(0, 60) a(i), generate_series(0, 60) b(i) WHERE x0
+    + b.i * 1e5 <= x1 AND y0 + a.i * 1e5 <= y1"""
 
 
 @query(_grid_sql().replace("SELECT a.i AS iy, b.i AS ix", "SELECT CAST(a.i AS INT) AS iy, CAST(b.i AS INT) AS ix"))
@@ -407,8 +441,10 @@ def join06_inner_align(spark, d):
     return align.inner_align([a, b]).select("time", "iy", "ix", *_r("tmax", "prcp", digits=3))
 
 
-@query(f"""WITH {_LAI}, days AS (SELECT CAST(unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS DATE) AS day FROM lai), m AS (SELECT day, (SELECT max(time) FROM lai WHERE time <= day) AS obs FROM days)
-  SELECT day AS time, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm, CASE WHEN day = obs THEN LAI_flag ELSE 2 END AS LAI_flag FROM m JOIN lai ON lai.time = m.obs""")
+@query(f"""WITH {_LAI}, days AS (SELECT CAST(unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS DATE) AS day FROM lai), m AS (SELECT day, (SELECT
+    max(time) FROM lai WHERE time <= day) AS obs FROM days)
+  SELECT day AS time, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm, CASE WHEN day = obs THEN LAI_flag ELSE 2 END AS LAI_flag FROM m JOIN lai ON lai.time
+    = m.obs""")
 def join07_join08_win03_asof_daily(spark, d):
     return align.asof_daily(lai_cube(spark, d)).select("time", "iy", "ix", *_r("LAI_norm"), "LAI_flag")
 
@@ -429,7 +465,8 @@ def join10_join12_agg08_scl04_static_norms(spark, d):
     return align.attach_static(c.select("time", "iy", "ix"), cells, columns=["lat_norm", "lon_norm", "latitude"]).select("time", "iy", "ix", *_r("lat_norm", "lon_norm"))
 
 
-@query(f"""WITH {_positions_sql()}, r AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM sta) SELECT station_id, round((lat - a) / (b - a), 6) AS lat_norm, round((lon - c) / (d - c), 6) AS lon_norm FROM sta, r""")
+@query(f"""WITH {_positions_sql()}, r AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM sta) SELECT station_id, round((lat - a) / (b -
+    a), 6) AS lat_norm, round((lon - c) / (d - c), 6) AS lon_norm FROM sta, r""")
 def scl05_geographic_norms(spark, d):
     return features.coordinate_norms(positions(spark, d), "lat", "lon").select("station_id", *_r("lat_norm", "lon_norm"))
 
@@ -442,8 +479,10 @@ def agg03_train_stats(spark, d):
     return spark.createDataFrame([(*s["tmax"], *s["prcp"])], "tmax_mean double, tmax_std double, prcp_mean double, prcp_std double").select(*_r("tmax_mean", "tmax_std", "prcp_mean", "prcp_std"))
 
 
-_NORMS = f"""{_WEATHER}, t AS (SELECT avg(tmax) AS m1, stddev_pop(tmax) AS s1, avg(tmin) AS m2, stddev_pop(tmin) AS s2, avg(ln(1 + prcp)) AS m3, stddev_pop(ln(1 + prcp)) AS s3 FROM cube WHERE time <= DATE '{TRAIN_END}'),
-  f AS (SELECT time, iy, ix, coalesce((tmax - m1) / s1, 0) AS tmax_norm, coalesce((tmin - m2) / s2, 0) AS tmin_norm, coalesce((ln(1 + prcp) - m3) / s3, 0) AS prcp_norm,
+_NORMS = f"""{_WEATHER}, t AS (SELECT avg(tmax) AS m1, stddev_pop(tmax) AS s1, avg(tmin) AS m2, stddev_pop(tmin) AS s2, avg(ln(1 + prcp)) AS m3, stddev_pop(ln(1 +
+    prcp)) AS s3 FROM cube WHERE time <= DATE '{TRAIN_END}'),
+  f AS (SELECT time, iy, ix, coalesce((tmax - m1) / s1, 0) AS tmax_norm, coalesce((tmin - m2) / s2, 0) AS tmin_norm, coalesce((ln(1 + prcp) - m3) /
+    s3, 0) AS prcp_norm,
   CAST(tmax IS NOT NULL AND tmin IS NOT NULL AS INT) AS temp_flag, CAST(prcp IS NOT NULL AS INT) AS prcp_flag FROM cube, t)"""
 
 
@@ -456,14 +495,17 @@ def scl01_scl02_scl06_scl07_weather_norms(spark, d):
     return _weather_features(spark, d).select("time", "iy", "ix", *_r("tmax_norm", "tmin_norm", "prcp_norm"), "temp_flag", "prcp_flag")
 
 
-@query(f"""WITH {_NORMS} SELECT CASE WHEN time < DATE '2022-03-01' THEN 'train' ELSE 'test' END AS part, round(avg(CASE WHEN temp_flag = 1 THEN tmax_norm END), 6) AS mean, round(stddev_pop(CASE WHEN temp_flag = 1 THEN tmax_norm END), 6) AS std,
+@query(f"""WITH {_NORMS} SELECT CASE WHEN time < DATE '2022-03-01' THEN 'train' ELSE 'test' END AS part, round(avg(CASE WHEN temp_flag = 1 THEN tmax_norm END),
+    6) AS mean, round(stddev_pop(CASE WHEN temp_flag = 1 THEN tmax_norm END), 6) AS std,
   count(CASE WHEN temp_flag = 1 THEN 1 END) AS n_valid, count(CASE WHEN temp_flag <> 1 THEN 1 END) AS n_missing FROM f GROUP BY 1""")
 def agg04_norm_check(spark, d):
     return features.norm_check(_weather_features(spark, d), "tmax_norm", "temp_flag", "2022-03-01").select("part", *_r("mean", "std"), "n_valid", "n_missing")
 
 
-@query(f"""WITH {_NORMS} SELECT count(*) FILTER (temp_flag = 1 AND prcp_flag = 1) AS "both", count(*) FILTER (temp_flag = 1 AND prcp_flag <> 1) AS only_a, count(*) FILTER (temp_flag <> 1 AND prcp_flag = 1) AS only_b,
-  count(*) FILTER (temp_flag <> 1 AND prcp_flag <> 1) AS neither, round(avg(CASE WHEN temp_flag <> prcp_flag THEN 1.0::DOUBLE ELSE 0 END), 6) AS disagreement FROM f""")
+@query(f"""WITH {_NORMS} SELECT count(*) FILTER (temp_flag = 1 AND prcp_flag = 1) AS "both", count(*) FILTER (temp_flag = 1 AND prcp_flag <> 1) AS only_a,
+    count(*) FILTER (temp_flag <> 1 AND prcp_flag = 1) AS only_b,
+  count(*) FILTER (temp_flag <> 1 AND prcp_flag <> 1) AS neither, round(avg(CASE WHEN temp_flag <> prcp_flag THEN 1.0::DOUBLE ELSE 0 END), 6) AS
+    disagreement FROM f""")
 def agg05_flag_agreement(spark, d):
     return features.flag_agreement(_weather_features(spark, d)).withColumn("disagreement", F.round("disagreement", 6))
 
@@ -473,8 +515,10 @@ def scl08_weather_flag(spark, d):
     return features.combine_flags(_weather_features(spark, d), limit=1.0).select("time", "iy", "ix", "weather_flag")
 
 
-@query(f"""WITH l AS (SELECT {_PERIOD_START} AS time, iy, ix, avg(CASE WHEN LAI_flag = 1 AND isfinite(LAI_aggregated) THEN CAST(LAI_aggregated AS DOUBLE) END) AS v FROM lai_readings GROUP BY 1, 2, 3),
-  t AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM l WHERE time <= DATE '2021-12-31') SELECT time, iy, ix, CAST(v IS NOT NULL AS INT) AS LAI_flag, round(coalesce((v - m) / s, 0), 6) AS LAI_norm FROM l, t""")
+@query(f"""WITH l AS (SELECT {_PERIOD_START} AS time, iy, ix, avg(CASE WHEN LAI_flag = 1 AND isfinite(LAI_aggregated) THEN CAST(LAI_aggregated AS DOUBLE) END) AS
+    v FROM lai_readings GROUP BY 1, 2, 3),
+  t AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM l WHERE time <= DATE '2021-12-31') SELECT time, iy, ix, CAST(v IS NOT NULL AS INT) AS LAI_flag,
+    round(coalesce((v - m) / s, 0), 6) AS LAI_norm FROM l, t""")
 def scl03_flt09_lai_features(spark, d):
     r = table(spark, d, "lai_readings").withColumn("time", period_start(period_of(F.col("time"))))
     ok = F.when(F.col("LAI_flag") == 1, in_range(F.col("LAI_aggregated"), -1e30, 1e30))
@@ -482,7 +526,8 @@ def scl03_flt09_lai_features(spark, d):
     return features.lai_features(c, "v", "2021-12-31").select("time", "iy", "ix", "LAI_flag", *_r("LAI_norm"))
 
 
-_ROLL = f"""{_WEATHER}, s AS (SELECT time, iy, ix, {', '.join(f"CASE WHEN count(prcp) OVER w{w} >= {w // 2} THEN sum(prcp) OVER w{w} END AS s{w}" for w in (14, 30, 60))} FROM cube
+_ROLL = f"""{_WEATHER}, s AS (SELECT time, iy, ix,
+    {', '.join(f"CASE WHEN count(prcp) OVER w{w} >= {w // 2} THEN sum(prcp) OVER w{w} END AS s{w}" for w in (14, 30, 60))} FROM cube
   WINDOW {', '.join(f"w{w} AS (PARTITION BY iy, ix ORDER BY time ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (14, 30, 60))})"""
 
 
@@ -497,15 +542,18 @@ def win02_rolling_norms(spark, d):
     return features.rolling_norms(weather_cube(spark, d), "prcp", (14, 30, 60), TRAIN_END).select("time", "iy", "ix", *_r("prcp_14d_norm", "prcp_30d_norm", "prcp_60d_norm"))
 
 
-@query("""SELECT p_partkey, CAST(c IN (1, 2) AS INT) AS lc_ev_trees, CAST(c IN (3, 4) AS INT) AS lc_dc_trees, CAST(c = 5 AS INT) AS lc_shrub, CAST(c = 6 AS INT) AS lc_grass, CAST(c = 7 AS INT) AS lc_c_crop, CAST(c = 8 AS INT) AS lc_b_crop
+@query("""SELECT p_partkey, CAST(c IN (1, 2) AS INT) AS lc_ev_trees, CAST(c IN (3, 4) AS INT) AS lc_dc_trees, CAST(c = 5 AS INT) AS lc_shrub, CAST(c = 6 AS INT)
+    AS lc_grass, CAST(c = 7 AS INT) AS lc_c_crop, CAST(c = 8 AS INT) AS lc_b_crop
   FROM (SELECT p_partkey, p_size % 12 AS c FROM part)""")
 def scl09_one_hot(spark, d):
     p = features.land_cover_groups(table(spark, d, "part").select("p_partkey", (F.col("p_size") % 12).alias("c")), "c")
     return p.select("p_partkey", *align.land_cover_columns(p))
 
 
-@query("""SELECT round(avg(CAST(c IN (1, 2) AS INT)), 6) AS lc_ev_trees, round(avg(CAST(c IN (3, 4) AS INT)), 6) AS lc_dc_trees, round(avg(CAST(c = 5 AS INT)), 6) AS lc_shrub, round(avg(CAST(c = 6 AS INT)), 6) AS lc_grass,
-  round(avg(CAST(c = 7 AS INT)), 6) AS lc_c_crop, round(avg(CAST(c = 8 AS INT)), 6) AS lc_b_crop, CAST(max(CASE WHEN c BETWEEN 1 AND 8 THEN 1 ELSE 0 END) AS INT) AS most FROM (SELECT p_size % 12 AS c FROM part)""")
+@query("""SELECT round(avg(CAST(c IN (1, 2) AS INT)), 6) AS lc_ev_trees, round(avg(CAST(c IN (3, 4) AS INT)), 6) AS lc_dc_trees, round(avg(CAST(c = 5 AS INT)),
+    6) AS lc_shrub, round(avg(CAST(c = 6 AS INT)), 6) AS lc_grass,
+  round(avg(CAST(c = 7 AS INT)), 6) AS lc_c_crop, round(avg(CAST(c = 8 AS INT)), 6) AS lc_b_crop, CAST(max(CASE WHEN c BETWEEN 1 AND 8 THEN 1 ELSE 0
+    END) AS INT) AS most FROM (SELECT p_size % 12 AS c FROM part)""")
 def agg09_group_fractions(spark, d):
     p = features.land_cover_groups(table(spark, d, "part").select((F.col("p_size") % 12).alias("c")), "c")
     f = features.group_fractions(p)
@@ -534,7 +582,8 @@ def scl02_log_zscore(spark, d):
 
 
 @query("""WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS d FROM lineitem WHERE l_returnflag <> 'R')
-  SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag <> 'R' THEN (l_extendedprice - m) / d ELSE 0 END, 6) AS price_norm FROM lineitem, s""")
+  SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag <> 'R' THEN (l_extendedprice - m) / d ELSE 0 END, 6) AS price_norm FROM
+    lineitem, s""")
 def scl03_masked_zscore(spark, d):
     x = table(spark, d, "lineitem").withColumn("flag", (F.col("l_returnflag") != "R").cast("int"))
     m, s = features.train_stats(x, {"v": F.when(F.col("flag") == 1, F.col("l_extendedprice"))})["v"]
@@ -561,9 +610,12 @@ def win06_flt08_sequence_windows(spark, d):
     return windows.sequence_windows(c, spec).groupBy("seq", "role").agg(F.count("*").alias("cells"), F.min("time").alias("first"), F.max("time").alias("last"))
 
 
-_PATCHES = f"""{_NORMS}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM cube)), sz AS (SELECT CAST(floor((max(iy) + 1) / 3) AS INT) AS py, CAST(floor((max(ix) + 1) / 3) AS INT) AS px FROM cube),
-  f0 AS (SELECT min(it) AS it FROM f JOIN st USING (time) WHERE temp_flag = 1), p AS (SELECT CAST(floor(iy / 3) AS INT) AS lat_patch, CAST(floor(ix / 3) AS INT) AS lon_patch, temp_flag FROM f JOIN st USING (time) JOIN f0 USING (it)),
-  v AS (SELECT lat_patch, lon_patch, avg(CASE WHEN temp_flag <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS fraction FROM p, sz WHERE lat_patch < py AND lon_patch < px GROUP BY 1, 2 HAVING fraction >= 0.5)"""
+_PATCHES = f"""{_NORMS}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM cube)), sz AS (SELECT CAST(floor((max(iy) +
+    1) / 3) AS INT) AS py, CAST(floor((max(ix) + 1) / 3) AS INT) AS px FROM cube),
+  f0 AS (SELECT min(it) AS it FROM f JOIN st USING (time) WHERE temp_flag = 1), p AS (SELECT CAST(floor(iy / 3) AS INT) AS lat_patch, CAST(floor(ix /
+    3) AS INT) AS lon_patch, temp_flag FROM f JOIN st USING (time) JOIN f0 USING (it)),
+  v AS (SELECT lat_patch, lon_patch, avg(CASE WHEN temp_flag <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS fraction FROM p, sz WHERE lat_patch < py AND
+    lon_patch < px GROUP BY 1, 2 HAVING fraction >= 0.5)"""
 
 
 @query(f"WITH {_PATCHES} SELECT lat_patch, lon_patch, round(fraction, 6) AS fraction FROM v")
@@ -572,7 +624,8 @@ def agg10_scl14_valid_patches(spark, d):
     return windows.valid_patches(c, spec, 0.5, flag="temp_flag").select("lat_patch", "lon_patch", *_r("fraction"))
 
 
-@query(f"""WITH {_PATCHES}, n AS (SELECT CAST(floor((count(*) - 28) / 14) + 1 AS INT) AS n_seq FROM st), q AS (SELECT CAST(unnest(generate_series(0, (SELECT n_seq FROM n) - 1)) AS INT) AS seq)
+@query(f"""WITH {_PATCHES}, n AS (SELECT CAST(floor((count(*) - 28) / 14) + 1 AS INT) AS n_seq FROM st), q AS (SELECT CAST(unnest(generate_series(0, (SELECT
+    n_seq FROM n) - 1)) AS INT) AS seq)
   SELECT CAST(seq * py * px + lon_patch * py + lat_patch AS BIGINT) AS sample_id, seq, seq * 14 AS seq_start, lat_patch, lon_patch FROM v, q, sz""")
 def ds01_ds02_scl13_sample_index(spark, d):
     c, spec = _indexed(spark, d)
@@ -590,21 +643,31 @@ def _land_cover(spark: SparkSession, c: DataFrame) -> DataFrame:
     return features.land_cover_groups(cells.withColumn("c", (F.col("iy") * 7 + F.col("ix") * 3 + F.year("year_start")) % 12), "c")
 
 
-_SAMPLES = f"""{_PATCHES}, n AS (SELECT CAST(floor((count(*) - 28) / 14) + 1 AS INT) AS n_seq FROM st), q AS (SELECT CAST(unnest(generate_series(0, (SELECT n_seq FROM n) - 1)) AS INT) AS seq),
+_SAMPLES = f"""{_PATCHES}, n AS (SELECT CAST(floor((count(*) - 28) / 14) + 1 AS INT) AS n_seq FROM st), q AS (SELECT CAST(unnest(generate_series(0, (SELECT n_seq
+    FROM n) - 1)) AS INT) AS seq),
   smp AS (SELECT CAST(seq * py * px + lon_patch * py + lat_patch AS BIGINT) AS sample_id, seq, lat_patch, lon_patch FROM v, q, sz)"""
 _CHANNELS = ("tmax_norm", "tmin_norm", "prcp_norm", "temp_flag")
 
 
 @query(f"""WITH {_SAMPLES}, e AS (SELECT f.*, it, CAST(floor(iy / 3) AS INT) AS lat_patch, CAST(floor(ix / 3) AS INT) AS lon_patch FROM f JOIN st USING (time)),
-  g AS (SELECT sample_id, {', '.join(f"coalesce(sum(CASE WHEN it < seq * 14 + 14 THEN CAST({c} AS FLOAT)::DOUBLE END), 0) AS c{k}" for k, c in enumerate(_CHANNELS))}, coalesce(sum(CASE WHEN it >= seq * 14 + 14 THEN CAST(tmax_norm AS FLOAT)::DOUBLE END), 0) AS y,
+  g AS (SELECT sample_id,
+    {', '.join(f"coalesce(sum(CASE WHEN it < seq * 14 + 14 THEN CAST({c} AS FLOAT)::DOUBLE END), 0) AS c{k}" for k, c in enumerate(_CHANNELS))},
+    coalesce(sum(CASE WHEN it >= seq * 14 + 14 THEN CAST(tmax_norm AS FLOAT)::DOUBLE END), 0) AS y,
         CAST(coalesce(sum(CASE WHEN it >= seq * 14 + 14 THEN temp_flag END), 0) AS BIGINT) AS flag
-        FROM smp LEFT JOIN e ON e.lat_patch = smp.lat_patch AND e.lon_patch = smp.lon_patch AND it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY sample_id),
-  yr AS (SELECT q.seq, CASE WHEN make_date(year(time), 1, 1) >= DATE '{LC_SLICES[1]}' THEN 2022 ELSE 2021 END AS y FROM q JOIN st ON st.it = q.seq * 14),
-  lc AS (SELECT sample_id, {', '.join(f"14 * count(CASE WHEN (iy * 7 + ix * 3 + y) % 12 IN {m} THEN 1 END)::DOUBLE AS c{k + 4}" for k, m in enumerate(_GROUPS_SQL))}
-         FROM smp JOIN yr USING (seq) JOIN (SELECT DISTINCT iy, ix FROM cube) c ON floor(iy / 3) = lat_patch AND floor(ix / 3) = lon_patch GROUP BY sample_id),
-  dy AS (SELECT seq, sum(CASE WHEN it < seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS doy_x,
-         sum(CASE WHEN it >= seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS doy_y FROM q JOIN st ON it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY seq)
-  SELECT sample_id, seq * 14 AS seq_start, {', '.join(f"round(c{k}, 3) + 0 AS c{k}" for k in range(10))}, round(y, 3) + 0 AS y, flag, round(doy_x, 6) + 0 AS doy_x, round(doy_y, 6) + 0 AS doy_y FROM smp JOIN g USING (sample_id) JOIN lc USING (sample_id) JOIN dy USING (seq)""")
+        FROM smp LEFT JOIN e ON e.lat_patch = smp.lat_patch AND e.lon_patch = smp.lon_patch AND it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY
+    sample_id),
+  yr AS (SELECT q.seq, CASE WHEN make_date(year(time), 1, 1) >= DATE '{LC_SLICES[1]}' THEN 2022 ELSE 2021 END AS y FROM q JOIN st ON st.it = q.seq *
+    14),
+  lc AS (SELECT sample_id,
+    {', '.join(f"14 * count(CASE WHEN (iy * 7 + ix * 3 + y) % 12 IN {m} THEN 1 END)::DOUBLE AS c{k + 4}" for k, m in enumerate(_GROUPS_SQL))}
+         FROM smp JOIN yr USING (seq) JOIN (SELECT DISTINCT iy, ix FROM cube) c ON floor(iy / 3) = lat_patch AND floor(ix / 3) = lon_patch GROUP BY
+    sample_id),
+  dy AS (SELECT seq, sum(CASE WHEN it < seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS
+    doy_x,
+         sum(CASE WHEN it >= seq * 14 + 14 THEN sin(2 * pi() * dayofyear(time) / 365) + cos(2 * pi() * dayofyear(time) / 365) END) AS doy_y FROM q
+    JOIN st ON it BETWEEN seq * 14 AND seq * 14 + 27 GROUP BY seq)
+  SELECT sample_id, seq * 14 AS seq_start, {', '.join(f"round(c{k}, 3) + 0 AS c{k}" for k in range(10))}, round(y, 3) + 0 AS y, flag, round(doy_x, 6)
+    + 0 AS doy_x, round(doy_y, 6) + 0 AS doy_y FROM smp JOIN g USING (sample_id) JOIN lc USING (sample_id) JOIN dy USING (seq)""")
 def ds03_join11_scl17_samples(spark, d):
     """Sums over the tensors of every training sample: per channel, land cover of the window's first year included."""
     c, spec = _indexed(spark, d)
@@ -633,7 +696,8 @@ def ds04_samples_without_mask(spark, d):
     return s.select("sample_id", F.aggregate("flag_y", F.lit(0).cast("long"), lambda t, v: t + v).alias("flag"), F.size("flag_y").alias("cells"))
 
 
-@query(f"""WITH {_SAMPLES}, k AS (SELECT count(*) AS n FROM smp) SELECT part, least(greatest(n - before, 0), size) AS samples, least(greatest(n - before, 0), size) AS of_index, CAST(0 AS BIGINT) AS shared
+@query(f"""WITH {_SAMPLES}, k AS (SELECT count(*) AS n FROM smp) SELECT part, least(greatest(n - before, 0), size) AS samples, least(greatest(n - before, 0),
+    size) AS of_index, CAST(0 AS BIGINT) AS shared
   FROM k, (VALUES ('train', 0, 32), ('val', 32, 8)) p(part, before, size)""")
 def ds05_sample_subset(spark, d):
     """Sizes of the two parts of a subset of 40 samples (0.8 for training), and that they are distinct samples of the index."""
@@ -645,8 +709,10 @@ def ds05_sample_subset(spark, d):
     return count("train", train, val).unionByName(count("val", val, train))
 
 
-@query("""WITH c AS (SELECT count(DISTINCT time) AS t, max(iy) + 1 AS ny, max(ix) + 1 AS nx FROM weather_daily), n AS (SELECT greatest(floor((t - 28) / 14) + 1, 0) * floor(ny / 3) * floor(nx / 3) AS n FROM c),
-  b AS (SELECT CAST(unnest(generate_series(0, CAST(ceil(n / 64.0) AS BIGINT) - 1)) AS BIGINT) AS batch FROM n) SELECT batch, CAST(least(64, n - batch * 64) AS BIGINT) AS samples FROM b, n""")
+@query("""WITH c AS (SELECT count(DISTINCT time) AS t, max(iy) + 1 AS ny, max(ix) + 1 AS nx FROM weather_daily), n AS (SELECT greatest(floor((t - 28) / 14) + 1,
+    0) * floor(ny / 3) * floor(nx / 3) AS n FROM c),
+  b AS (SELECT CAST(unnest(generate_series(0, CAST(ceil(n / 64.0) AS BIGINT) - 1)) AS BIGINT) AS batch FROM n) SELECT batch, CAST(least(64, n - batch
+    * 64) AS BIGINT) AS samples FROM b, n""")
 def ds06_batches(spark, d):
     """Shuffled batches of 64 samples each, the last one smaller."""
     c, spec = _indexed(spark, d)
@@ -658,7 +724,8 @@ def _lai_steps(spark: SparkSession, d: str) -> DataFrame:
     return windows.time_index(lai_cube(spark, d))
 
 
-_FC = f"""{_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT lai.*, it FROM lai JOIN st USING (time)), l AS (SELECT max(it) AS last FROM c),
+_FC = f"""{_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT lai.*, it FROM lai JOIN st
+    USING (time)), l AS (SELECT max(it) AS last FROM c),
   lead AS (SELECT CAST(unnest(generate_series(1, 5)) AS INT) AS lead)"""
 
 
@@ -669,7 +736,8 @@ def fc01_fc03_forecast_cube(spark, d):
     return forecast.forecast_cube(c, forecast.persistence(c, 4, 5), 4, 5).select("init_date", "lead", "iy", "ix", *_r("LAI_norm"))
 
 
-@query(f"""WITH {_FC} SELECT time AS init_date, CAST(time + lead AS DATE) AS valid_date, lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm FROM c, l, lead WHERE it >= 3 AND it + 5 <= last AND lead BETWEEN 2 AND 4""")
+@query(f"""WITH {_FC} SELECT time AS init_date, CAST(time + lead AS DATE) AS valid_date, lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm FROM c, l, lead WHERE
+    it >= 3 AND it + 5 <= last AND lead BETWEEN 2 AND 4""")
 def fc05_win08_lead_range(spark, d):
     c = _lai_steps(spark, d)
     f = forecast.forecast_cube(c, forecast.persistence(c, 4, 5), 4, 5, tail="drop", leads=forecast.Leads(2, 4))
@@ -688,7 +756,8 @@ def fc02_ml03_network_forecast(spark, d):
     return f
 
 
-_SCORE = f"""{_FC}, s AS (SELECT lead.lead, c.time AS init_date, c.iy, c.ix, c.LAI_norm AS p, t.LAI_norm AS y, t.LAI_flag AS f FROM c, l, lead JOIN c t ON true WHERE c.it >= 3 AND c.it + 5 <= last AND t.iy = c.iy AND t.ix = c.ix AND t.time = c.time + 4 * lead.lead)"""
+_SCORE = f"""{_FC}, s AS (SELECT lead.lead, c.time AS init_date, c.iy, c.ix, c.LAI_norm AS p, t.LAI_norm AS y, t.LAI_flag AS f FROM c, l, lead JOIN c t ON true
+    WHERE c.it >= 3 AND c.it + 5 <= last AND t.iy = c.iy AND t.ix = c.ix AND t.time = c.time + 4 * lead.lead)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -699,7 +768,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return forecast.score(days, c).withColumn("lead", (F.col("lead") / 4).cast("int"))
 
 
-@query(f"""WITH {_SCORE} SELECT lead, round(coalesce(avg(CASE WHEN f = 1 THEN (p - y) ** 2 END), 0), 6) AS mse, round(coalesce(avg(CASE WHEN f = 1 THEN abs(p - y) END), 0), 6) AS mae,
+@query(f"""WITH {_SCORE} SELECT lead, round(coalesce(avg(CASE WHEN f = 1 THEN (p - y) ** 2 END), 0), 6) AS mse, round(coalesce(avg(CASE WHEN f = 1 THEN abs(p -
+    y) END), 0), 6) AS mae,
   round(coalesce(sqrt(avg(CASE WHEN f = 1 THEN (p - y) ** 2 END)), 0), 6) AS rmse, count(CASE WHEN f = 1 THEN 1 END) AS n_valid FROM s GROUP BY lead""")
 def agg12_join13_masked_metrics_by_lead(spark, d):
     return metrics.masked_metrics(_scored(spark, d), ["lead"]).select("lead", *_r("mse", "mae", "rmse"), "n_valid")
@@ -746,7 +816,8 @@ def fc08_half_precision(spark, d):
     return c.select("time", "iy", "ix", (to_half(F.col("LAI_norm")).cast("double") + F.lit(0.0)).alias("LAI_norm"))
 
 
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2, 3""")
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type,
+    round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2, 3""")
 def stream01_windowed_totals(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     w = windowed_totals(e, "ts", ["event_type"], "value")

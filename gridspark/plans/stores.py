@@ -103,8 +103,10 @@ def src07_src08_stored_grid(spark, d):
     return store.grid_of(both).cells(spark)
 
 
-@query(f"""WITH {_NORMS}, s AS (SELECT avg(CASE WHEN temp_flag <> prcp_flag THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) FILTER (temp_flag = 1 AND prcp_flag = 1) AS n_both, count(*) FILTER (temp_flag = 1) AS n_temp FROM f)
-  SELECT 'temp_flag, prcp_flag' AS flags, share < 0.05 AS combined, CASE WHEN share < 0.05 THEN n_both END AS n FROM s UNION ALL SELECT 'temp_flag, temp_flag', true, n_temp FROM s""")
+@query(f"""WITH {_NORMS}, s AS (SELECT avg(CASE WHEN temp_flag <> prcp_flag THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) FILTER (temp_flag = 1 AND prcp_flag =
+    1) AS n_both, count(*) FILTER (temp_flag = 1) AS n_temp FROM f)
+  SELECT 'temp_flag, prcp_flag' AS flags, share < 0.05 AS combined, CASE WHEN share < 0.05 THEN n_both END AS n FROM s UNION ALL SELECT
+    'temp_flag, temp_flag', true, n_temp FROM s""")
 def scl08_flag_decision(spark, d):
     """Two flags become one only where they differ on less than 5 % of the rows."""
     f, parts = _weather_features(spark, d), []
@@ -123,7 +125,8 @@ def flt10_flt12_renamed_dimensions(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------------------------
 
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", event_type, round(sum(value), 4) AS total, round(avg(value), 9) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS "start", event_type, round(sum(value), 4) AS total, round(avg(value), 9) AS mean, count(value) AS n
+    FROM events GROUP BY 1, 2""")
 def stream02_totals_of_arriving_files(spark, d):
     """Windowed totals by a streaming query over files as they arrive, its last state read back."""
     files, out = new_path(spark, "arrivals"), new_path(spark, "totals")
@@ -151,7 +154,8 @@ def stream03_growing_cube(spark, d):
 
 @query(f"""WITH {_FC}, fc AS (SELECT time AS init_date, it, 0 AS lead, iy, ix, LAI_norm FROM c WHERE it >= 3
   UNION ALL SELECT time, it, lead, iy, ix, CASE WHEN it + 5 <= last THEN LAI_norm ELSE 0 END FROM c, l, lead WHERE it >= 3)
-  SELECT init_date, lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm, (SELECT count(DISTINCT init_date) FROM fc WHERE init_date < DATE '{SPLIT}') AS before FROM fc""")
+  SELECT init_date, lead, iy, ix, round(LAI_norm, 6) + 0 AS LAI_norm, (SELECT count(DISTINCT init_date) FROM fc WHERE init_date < DATE '{SPLIT}') AS
+    before FROM fc""")
 def fc04_appended_period(spark, d):
     c = _lai_steps(spark, d)
     f = forecast.forecast_cube(c, forecast.persistence(c, 4, 5), 4, 5)
@@ -175,9 +179,11 @@ def _half_sql(v: str) -> str:
 _DOY = "0.5 + sin(2 * pi() * dayofyear(t.time) / 365) + 0.25 * cos(2 * pi() * dayofyear(t.time) / 365)"
 
 
-@query(f"""WITH {_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT lai.*, it FROM lai JOIN st USING (time)), l AS (SELECT max(it) AS last FROM st),
+@query(f"""WITH {_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT lai.*, it FROM lai
+    JOIN st USING (time)), l AS (SELECT max(it) AS last FROM st),
   fc AS (SELECT c.time AS init_date, 0 AS lead, iy, ix, LAI_norm AS v FROM c WHERE it >= 2
-  UNION ALL SELECT c.time, k.lead, iy, ix, CASE WHEN c.it + 2 <= last THEN {_DOY} ELSE 0 END FROM c, l, (SELECT unnest([1, 2]) AS lead) k LEFT JOIN st t ON t.it = c.it + k.lead WHERE c.it >= 2)
+  UNION ALL SELECT c.time, k.lead, iy, ix, CASE WHEN c.it + 2 <= last THEN {_DOY} ELSE 0 END FROM c, l, (SELECT unnest([1, 2]) AS lead) k LEFT JOIN st
+    t ON t.it = c.it + k.lead WHERE c.it >= 2)
   SELECT init_date, CAST(lead AS INT) AS lead, iy, ix, {_half_sql('v')} + 0 AS LAI_norm FROM fc""")
 def fc07_ml03_forecast_run(spark, d):
     """The whole run: weights from a table, flags replaced, ConvLSTM over the area, cube written in two goes and read."""
@@ -217,9 +223,12 @@ def _pixel_sql(two: bool) -> str:
     return f"SELECT CAST(seq AS INT) AS seq, 1 AS lead, iy, ix, '{'stacked' if two else 'single'}' AS network, round({float(w['fc.weight'][0, 0, 0, 0])!r}::DOUBLE * h{len(layers) - 1} + {float(w['fc.bias'][0])!r}::DOUBLE, 6) AS pred FROM ({sql})"
 
 
-@query(f"""WITH {_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT iy, ix, it, CAST(LAI_norm AS FLOAT)::DOUBLE AS v FROM lai JOIN st USING (time)),
-  area AS (SELECT a.i AS iy, b.i AS ix FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(iy) FROM c))) AS INT) AS i) a, (SELECT CAST(unnest(generate_series(0, (SELECT max(ix) FROM c))) AS INT) AS i) b),
-  w AS (SELECT s.it AS seq, area.iy, area.ix, coalesce(c0.v, 0) AS x0, coalesce(c1.v, 0) AS x1 FROM st s CROSS JOIN area LEFT JOIN c c0 ON c0.it = s.it AND c0.iy = area.iy AND c0.ix = area.ix
+@query(f"""WITH {_LAI}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM lai)), c AS (SELECT iy, ix, it,
+    CAST(LAI_norm AS FLOAT)::DOUBLE AS v FROM lai JOIN st USING (time)),
+  area AS (SELECT a.i AS iy, b.i AS ix FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(iy) FROM c))) AS INT) AS i) a, (SELECT
+    CAST(unnest(generate_series(0, (SELECT max(ix) FROM c))) AS INT) AS i) b),
+  w AS (SELECT s.it AS seq, area.iy, area.ix, coalesce(c0.v, 0) AS x0, coalesce(c1.v, 0) AS x1 FROM st s CROSS JOIN area LEFT JOIN c c0 ON c0.it =
+    s.it AND c0.iy = area.iy AND c0.ix = area.ix
         LEFT JOIN c c1 ON c1.it = s.it + 1 AND c1.iy = area.iy AND c1.ix = area.ix WHERE s.it + 2 <= (SELECT max(it) FROM st))
   {_pixel_sql(False)} UNION ALL {_pixel_sql(True)}""")
 def ml01_ml02_ml04_scl15_pixel_networks(spark, d):
@@ -231,8 +240,10 @@ def ml01_ml02_ml04_scl15_pixel_networks(spark, d):
     return both[0].unionByName(both[1]).select("seq", "lead", "iy", "ix", "network", *_r("pred"))
 
 
-@query(f"""WITH {_NORMS}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM cube)), n AS (SELECT floor((max(iy) + 1) / 3) AS py, floor((max(ix) + 1) / 3) AS px FROM cube),
-  k AS (SELECT CAST(floor(5 / (py * px)) AS INT) AS seq, CAST(5 % py AS INT) AS lat_patch, CAST(floor((5 % (py * px)) / py) AS INT) AS lon_patch FROM n WHERE py * px > 0)
+@query(f"""WITH {_NORMS}, st AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS it FROM (SELECT DISTINCT time FROM cube)), n AS (SELECT floor((max(iy) +
+    1) / 3) AS py, floor((max(ix) + 1) / 3) AS px FROM cube),
+  k AS (SELECT CAST(floor(5 / (py * px)) AS INT) AS seq, CAST(5 % py AS INT) AS lat_patch, CAST(floor((5 % (py * px)) / py) AS INT) AS lon_patch FROM
+    n WHERE py * px > 0)
   SELECT CASE WHEN it - seq * 14 < 14 THEN 'x' ELSE 'y' END AS role, time, iy, ix, round(tmax_norm, 6) AS tmax_norm FROM f JOIN st USING (time), k
   WHERE it BETWEEN seq * 14 AND seq * 14 + 27 AND floor(iy / 3) = lat_patch AND floor(ix / 3) = lon_patch""")
 def ds07_sample_cells(spark, d):
@@ -242,7 +253,8 @@ def ds07_sample_cells(spark, d):
 
 
 @query("""SELECT CAST(4 * 16 * (10 + 2 + 16) * 3 * 3 + 4 * 16 + 4 * 16 * (1 + 16) * 3 * 3 + 4 * 16 + (16 + 2) + 1 AS BIGINT) AS single,
-  CAST(4 * 16 * (10 + 2 + 16) * 3 * 3 + 4 * 16 + 4 * 16 * (1 + 16) * 3 * 3 + 4 * 16 + 2 * (4 * 16 * (16 + 16) * 3 * 3 + 4 * 16) + (16 + 2) + 1 AS BIGINT) AS stacked""")
+  CAST(4 * 16 * (10 + 2 + 16) * 3 * 3 + 4 * 16 + 4 * 16 * (1 + 16) * 3 * 3 + 4 * 16 + 2 * (4 * 16 * (16 + 16) * 3 * 3 + 4 * 16) + (16 + 2) + 1 AS
+    BIGINT) AS stacked""")
 def agg15_src10_parameter_count(spark, d):
     """Parameters of both networks, counted from weights written to a table and read back."""
     counts = []
