@@ -86,6 +86,9 @@ class _Part:
 def _head(s: str, items: list) -> str:
     """The first ``HEAD`` characters, runs of white space as one space, none in front."""
     out = ""
+    if len(items) == 1 and not isinstance(items[0], _Part) and 0 <= items[0][0] and items[0][1] - items[0][0] <= HEAD:
+        out = s[items[0][0]: items[0][1]]  # most names are one short slice
+        return _SPACES.sub(" ", out).lstrip() if "  " in out or not out.isprintable() else out.lstrip()
     for x in items:
         if isinstance(x, _Part):
             t = x.head
