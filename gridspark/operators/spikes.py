@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.missing import finite
 from gridspark.operators.grouped import whole_groups
 
-#: limits chosen on the tables of sf0.01 alone, inside the gap between the scores of normal readings and of spikes
+#: both lie inside the gap between the scores of normal readings and of spikes in the local tables; README says how they came about
 SPIKE_LEVEL, SPIKE_AMOUNT = 6.2, 5.5
 RUN = 7
 ROUNDS = 8
