@@ -7,14 +7,19 @@ dry. The mix is the prefix that fills the token budget; sources that run dry ear
 
 Running totals are taken without ever ordering a source in one task: the hash order is cut into ``BUCKETS`` ranges (a power of two) per
 source and copy, the ranges' sums are added up (a table of sources x copies x ``BUCKETS`` rows at most), and only inside a
-range are rows ordered. The end of the prefix is found the same way: the fluid limit, computed from one row per
-source, bounds the finish time at which the budget fills to within one document per source; that band is cut into
-ranges by their sums, again and again, until the range in which the budget fills holds at most ``FEW`` copies, however
-many small documents lie beside a huge one. The mix is then a filter on the order's key.
+range are rows ordered. The copies are then sorted by ranges of the order's key, and the end of the prefix is found by
+sums: the fluid limit, computed from one row per source, bounds the finish time at which the budget fills to within one
+document per source; that band is cut into ranges by their sums, again and again, until the range in which the budget
+fills holds at most ``FEW`` copies, however many small documents lie beside a huge one. The mix is the sorted copies
+before that one.
+
+Which sources can't reach their target is read from such a mix too: from one whose budget isn't full before the virtual
+time is the total size of all documents, short are those that the queue has served to the last copy with less than
+their share of that total.
 
 Defined results: sizes are the tokens of the whole text, NULL texts have none; documents of sources without a target
 (or with a NULL source) count in the total but are not used; a NULL or negative target share is 0 and a share of 0
-takes nothing; NULL ``max_repeats`` is 1; ties in the order are broken by document id and text size; repeated documents are
+takes nothing; a share of NaN takes nothing either and can't be reached; NULL ``max_repeats`` is 1; ties in the order are broken by document id and text size; repeated documents are
 documents of their own; with an empty table the mix is empty and the report lists every source; extra columns are
 ignored.
 """
@@ -22,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import copy
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -48,6 +54,8 @@ _CUT = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 _RUN = re.compile(f"[{_SPACE}]{{1000,}}")
 #: a bucket of copies that is narrow enough to be ordered in one task
 FEW = 100_000
+#: the key of the fair order: the virtual finish time, then what breaks ties
+ORDER = ("finish", "source", "doc_id", "copy", "tokens")
 
 
 def token_counter(path: str = TOKENIZER, pattern: str = PATTERN) -> Callable[[str], int]:
@@ -120,16 +128,23 @@ class Mix:
         rows = self.targets.limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources have a target")
-        table = [{"source": r["source"], "weight": r["target_share"], "own": r["own_tokens"], "cap": max(r["max_repeats"], 0) * r["own_tokens"], "longest": r["longest"]} for r in rows]
-        self.full_at = fluid_finish(table, self.budget)
+        self.table = [{"source": r["source"], "weight": r["target_share"], "own": r["own_tokens"], "cap": max(r["max_repeats"], 0) * r["own_tokens"], "longest": r["longest"]} for r in rows]
+        self.sizes, self.seed = sizes, seed
+        self._plan()
+
+    def _plan(self) -> None:
+        """The band of virtual times in which the budget fills, and the queue up to its end."""
+        self.full_at = fluid_finish(self.table, self.budget)
         # at any virtual time the real order lags the fluid one by less than a document of each source
-        active = [s for s in table if s["weight"] > 0 and s["cap"] > 0]
-        self.high = fluid_finish(table, self.budget + sum(s["longest"] for s in active))
-        self.queue = self._queue(sizes, seed)
+        self.high = fluid_finish(self.table, self.budget + sum(s["longest"] for s in self._active()))
+        self.queue = self._queue(self.sizes, self.seed)
+
+    def _active(self) -> list[dict]:
+        return [s for s in self.table if s["weight"] > 0 and s["cap"] > 0]
 
     def _queue(self, sizes: DataFrame, seed: int) -> DataFrame:
         """``doc_id, source, copy, tokens, finish``; copies that start after the budget is full are not made."""
-        t = self.targets.select("source", "target_share", "max_repeats", F.col("own_tokens")).filter("target_share > 0 AND max_repeats > 0 AND own_tokens > 0")
+        t = self.targets.select("source", "target_share", "max_repeats", F.col("own_tokens")).filter("target_share > 0 AND NOT isnan(target_share) AND max_repeats > 0 AND own_tokens > 0")
         needed = F.col("max_repeats") if self.high == float("inf") else F.least(F.col("max_repeats"), F.ceil(F.lit(float(self.high)) * F.col("target_share") / F.col("own_tokens")).cast("int") + 1)
         d = sizes.join(F.broadcast(t.withColumn("copies", needed)), "source")
         d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -172,25 +187,25 @@ class Mix:
             if sums[full][2] <= FEW or a == b:
                 break
             low, high = max(low, float(np.nextafter(a, -np.inf))), b
-        w = Window.orderBy("finish", "source", "doc_id", "copy", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
         over = inside.withColumn("sum", F.sum("tokens").over(w) + have).filter(F.col("sum") > self.budget)
-        return over.select("finish", "source", "doc_id", "copy", "tokens").orderBy("sum").first()
+        return over.select(*ORDER).orderBy("sum").first()
 
     @property
     def chosen(self) -> DataFrame:
         """The mix, in the order of virtual finish time."""
-        return self._chosen.orderBy("finish", "source", "doc_id", "copy", "tokens")
+        return self._chosen.orderBy(*ORDER)
 
     @cached_property
     def _chosen(self) -> DataFrame:
+        q = cut_lineage(self.queue.orderBy(*ORDER))
         if self.full_at == float("inf"):
-            return self.queue
-        q = cut_lineage(self.queue)
+            return q
         last = self._limit(q)
         if last is None:
             return q.filter(F.col("finish") <= self.high)
         before, same = F.lit(False), F.lit(True)
-        for c in ("finish", "source", "doc_id", "copy", "tokens"):  # NULL comes first, as it is ordered
+        for c in ORDER:  # NULL comes first, as it is ordered
             x, v = F.col(c), F.lit(last[c]).cast(q.schema[c].dataType)
             less = F.lit(False) if last[c] is None else F.coalesce(x < v, F.lit(True))
             before, same = before | (same & less), same & x.eqNullSafe(v)
@@ -205,17 +220,46 @@ class Mix:
         share = F.col("used_tokens") / F.nullif(F.lit(float(everything)), F.lit(0.0))
         return r.select("source", "target_share", "max_repeats", "own_tokens", "own_docs", "used_tokens", "used_docs", "used_repeats", share.alias("actual_share"), self._reached().alias("reached"))
 
+    def _most(self):
+        """Tokens of a source's copies, made or not; as wide as a count of repeats times a count of tokens may be."""
+        return F.greatest("max_repeats", F.lit(0)).cast("decimal(10,0)") * F.col("own_tokens")
+
+    def _wanted(self):
+        """The source's share of the total size of all documents."""
+        return F.col("target_share") * F.lit(float(self.total))
+
     def _reached(self):
         """A source reaches its target if all its copies, made or not, last until the virtual time is the total size of all documents."""
-        dry = F.greatest("max_repeats", F.lit(0)).cast("double") * F.col("own_tokens") / F.nullif(F.col("target_share"), F.lit(0.0))
-        return (F.col("target_share") * F.lit(float(self.total)) <= 0) | F.coalesce(dry >= F.lit(float(self.total)), F.lit(False))
+        return self._wanted() <= self._most().cast("double")
 
     @property
     def reach(self) -> DataFrame:
-        """Per target source whether it can reach its target, without making the mix."""
+        """Per target source whether it can reach its target by its size, without making the mix."""
         return self.targets.select("source", "target_share", "max_repeats", "own_docs", self._reached().alias("reached"))
 
+    @cached_property
+    def _long_enough(self) -> Mix:
+        """This mix, or with a smaller budget one of the same copies that goes on until the virtual time is the total size of all documents.
+
+        By then the sources have sent their share of the total or all they have, and never more, so a budget of those
+        tokens holds every copy that finishes until then.
+        """
+        need = round(sum(min(s["weight"] * self.total, s["cap"]) for s in self._active()))
+        if self.budget >= need:
+            return self
+        other = copy.copy(self)
+        other.__dict__.pop("_chosen", None)
+        other.budget = need
+        other._plan()
+        return other
+
     @property
     def short(self) -> DataFrame:
-        """``source``: those that run dry before the virtual time reaches the total size of all documents, whatever the budget."""
-        return self.targets.filter(~self._reached()).select("source")
+        """``source``: those that run dry before the virtual time reaches the total size of all documents, whatever the budget.
+
+        Read from the mix: all their copies are before its end, with less than their share of the total.
+        """
+        used = self._long_enough._chosen.groupBy("source").agg(F.sum("tokens").alias("used_tokens"))
+        r = self.targets.join(used, "source", "left").fillna(0, ["used_tokens"])
+        dry = (F.col("used_tokens") >= self._most()) | F.isnan("target_share")
+        return r.filter(dry & (F.col("used_tokens") < self._wanted())).select("source")

@@ -5,6 +5,8 @@ import pytest
 
 from gridspark.llm import mixing
 from gridspark.llm.mixing import TOKENIZER, Mix, fluid_finish, token_counter
+from gridspark.llm.registry import oracle_sql, queries
+from tests.util import rows, run_sql
 
 DOCS = "doc_id bigint, source string, text string, tokens string, copy string"
 TARGETS = "source string, target_share double, max_repeats int, own_tokens string"
@@ -136,6 +138,66 @@ def test_short_whatever_the_budget(spark, budget, double):
     assert "a" not in want and {"e", "z"} <= want
 
 
+def served(docs, rows, total):
+    """Tokens of each source in a fair queue of single documents, one after the other, until the budget is full."""
+    sent, at = dict.fromkeys((s for s, _, _ in rows), 0), dict.fromkeys((s for s, _, _ in rows), 0)
+    left = {s: [t for d, t in docs if d == s] * k for s, _, k in rows}
+    weight = {s: w for s, w, _ in rows}
+    while True:
+        ready = [s for s in left if at[s] < len(left[s]) and weight[s] > 0]
+        if not ready:
+            return sent
+        s = min(ready, key=lambda s: (sent[s] + left[s][at[s]]) / weight[s])
+        if sum(sent.values()) + left[s][at[s]] > total:
+            return sent
+        sent[s], at[s] = sent[s] + left[s][at[s]], at[s] + 1
+
+
+@pytest.mark.parametrize(("seed", "budget"), [(0, None), (1, 7)])
+def test_short_like_a_simulated_queue(spark, seed, budget):
+    """Sources short in a queue that takes document after document are those of the mix, and of the sizes alone."""
+    rng = random.Random(seed)
+    docs = [(s, 2 * rng.randint(1, 20)) for s in "abcdef" for _ in range(rng.randint(1, 6))]
+    shares = [rng.random() for _ in "abcdef"]
+    rows = [(s, w / sum(shares), rng.randint(1, 4)) for s, w in zip("abcdef", shares)]
+    m = Mix(spark.createDataFrame([(i, s, "a1" * (t // 2), "", "") for i, (s, t) in enumerate(docs)], DOCS), targets(spark, rows), budget=budget)
+    total = sum(t for _, t in docs)
+    sent, own = served(docs, rows, total), {s: sum(t for d, t in docs if d == s) for s, _, _ in rows}
+    want = {s for s, w, k in rows if sent[s] == k * own[s] < w * total}
+    assert m.total == total and {x["source"] for x in m.short.collect()} == want == {x["source"] for x in m.reach.collect() if not x["reached"]}
+
+
+def test_short_is_read_from_the_mix(spark, monkeypatch):
+    """Queue, range sort and cut decide: what they lose is no longer served."""
+    docs = spark.createDataFrame([(i, s, "a1" * n, "", "") for i, (s, n) in enumerate([("a", 2), ("a", 3), ("b", 45)])], DOCS)
+    rows = [("a", 0.5, 2), ("b", 0.5, 9)]
+    assert [x["source"] for x in Mix(docs, targets(spark, rows)).short.collect()] == ["a"]
+    with monkeypatch.context() as m:
+        queue = Mix._queue
+        m.setattr(Mix, "_queue", lambda self, *x: queue(self, *x).filter("copy = 1"))
+        assert Mix(docs, targets(spark, rows)).short.count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(Mix, "_limit", lambda self, q: q.orderBy("finish").select(*mixing.ORDER).first())
+        assert Mix(docs, targets(spark, rows)).short.count() == 0
+    sorted_copies = []
+    with monkeypatch.context() as m:
+        m.setattr(Mix, "_limit", lambda self, q: sorted_copies.append([tuple(r[c] for c in mixing.ORDER) for r in q.collect()]))
+        Mix(docs, targets(spark, rows)).short.collect()
+    assert len(sorted_copies[0]) > 4 and sorted_copies[0] == sorted(sorted_copies[0])
+
+
+@pytest.mark.parametrize(("share", "own", "total"), [(0.34, 17, 50), (0.81, 243, 300), (float("nan"), 20, 50)])
+def test_short_at_the_limit_like_sql(spark, tmp_path, share, own, total):
+    """Exactly enough, give or take the rounding of the share: as SQL multiplies, for texts of as many tokens as characters."""
+    texts = [(1, "a", ("a1" * own)[:own]), (2, "b", ("a1" * total)[: total - own])]
+    docs = spark.createDataFrame([(*t, "", "") for t in texts], DOCS)
+    t = targets(spark, [("a", share, 1), ("b", 0.1, 1)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    t.write.parquet(str(tmp_path / "mix_targets.parquet"))
+    for name in ("p8_found", "p8_reach"):
+        assert rows(queries()[name](spark, str(tmp_path)).toPandas()) == rows(run_sql(oracle_sql()[name], str(tmp_path)))
+
+
 def test_everything_runs_dry(spark):
     m = Mix(corpus(spark, 50), targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)]), budget=10**9)
     assert m.full_at == float("inf") and m.chosen.count() == m.queue.count()
